@@ -131,25 +131,26 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Encodes and decodes every text in one pass; counts and digests of both."""
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes every text in one pass; counts and digests of both, and the ids themselves if wanted."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 
     def run(batches):
         coder = Encoder(path)
         for batch in batches:
             for ids, texts in _parts(batch):
                 coded = [coder.encode(t or "") for t in texts.to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids,
-                        pa.array([len(x) for x in coded], pa.int64()),
-                        pa.array([hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in coded], pa.string()),
-                        pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in coded], pa.string()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                packed = [np.array(x, "<u4").tobytes() for x in coded]
+                columns = [
+                    ids,
+                    pa.array([len(x) for x in coded], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()),
+                    pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in coded], pa.string()),
+                ]
+                columns += [pa.array(packed, pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def _parts(batch: pa.RecordBatch, rows: int = 64):

@@ -46,7 +46,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(kind: str, n: int) -> np.ndarray:
+def power(kind: str, n: int) -> np.ndarray:
     if len(_powers[kind]) < n:
         factors = np.full(max(n, SLICE_BYTES + 1), _BASE if kind == "base" else _BASE_INV, np.uint64)
         factors[0] = 1
@@ -87,8 +87,8 @@ class Words:
         if self._hashes is None:
             n = len(self.low)
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.low.astype(np.uint64) + _U(1)) * _power("base", n + 1)[:n], out=sums[1:])
-            self._hashes = mixed((sums[self.ends] - sums[self.starts]) * _power("inverse", n + 1)[self.starts])
+            np.cumsum((self.low.astype(np.uint64) + _U(1)) * power("base", n + 1)[:n], out=sums[1:])
+            self._hashes = mixed((sums[self.ends] - sums[self.starts]) * power("inverse", n + 1)[self.starts])
         return self._hashes
 
     def grams(self, k: int) -> np.ndarray:
