@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelake.llm import bpe, decontaminate, licenses, near_dup, quality, substring_dedup, vocab
+from gatelake.llm import bpe, chat, decontaminate, licenses, near_dup, quality, sstable, substring_dedup, tries, vocab, wrappers
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,10 +21,32 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.counts(_read(spark, sf_dir, "documents"), vocab.tiktoken_path())
+
+
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.report(_read(spark, sf_dir, "documents"), vocab.tokenizers_path())
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+#: A conversation whose texts look like other templates' control strings.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op6_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.report(rows.unionByName(probe), vocab.tiktoken_path())
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_read(spark, sf_dir, "pages"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.report(_read(spark, sf_dir, "documents"))
 
@@ -37,6 +59,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.facts(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_substring_dedup, op5_decontamination, op8_near_duplicates, op9_license_scan, op10_quality_rules)}
+_OPERATORS = (
+    op1_byte_bpe,
+    op2_substring_dedup,
+    op3_token_counts,
+    op4_token_shards,
+    op5_decontamination,
+    op6_chat_trees,
+    op7_main_text,
+    op8_near_duplicates,
+    op9_license_scan,
+    op10_quality_rules,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 
 ORACLE: dict[str, str] = {}
