@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from gatelake.llm import shared
 
 
-def _seal(edges: DataFrame) -> tuple[int, int]:
-    """Tells whether a round changed anything: number of links and a sum of their hashes."""
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    return int(row[0]), int(row[1] or 0)
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, and that has none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    other = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
+    return other.isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,22 +21,14 @@ def components(links: DataFrame) -> DataFrame:
     Each round writes its links to the shared folder, so lineage stays short and a lost executor costs a task."""
     spark = links.sparkSession
     edges, path = shared.written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links")
-    nodes, old = edges, [path]
-    seal = _seal(edges)
-    first = path
-    while True:
+    while not _is_star(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.join(least, both.u == least.w).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         small = large.join(low, large.u == low.w).select(F.col("v").alias("a"), F.col("u").alias("b"), "m")
         out = small.select(F.col("a").alias("u"), F.col("m").alias("v")).unionByName(small.select(F.col("b").alias("u"), F.col("m").alias("v"))).where("u != v").distinct()
-        edges, path = shared.written(out, "links")
-        now = _seal(edges)
-        shared.remove(spark, *[p for p in old if p != first])
-        old = [path]
-        if now == seal:
-            break
-        seal = now
-    every = nodes.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    return every.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        old, (edges, path) = path, shared.written(out, "links")
+        shared.remove(spark, old)
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

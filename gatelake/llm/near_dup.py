@@ -12,8 +12,10 @@ limit of 0.75, over 0.999999 at 0.82.
 3. Keys of a collection that only one class has are dropped before pairs of keys are formed.
 4. In each table bucket, members are linked with one member (a star, not all pairs), and links are checked on the full
    sets from the texts. This is repeated with other centres for buckets that still hold several components.
+   After the first round a class that has no link yet, and of whose shingles over a quarter stand in no other class of
+   such buckets, leaves them: its overlap with any set is below the limit, whatever it is compared with.
 5. For the buckets that still do, each pair of classes in different components is checked. So after it every pair of
-   classes that shares a bucket is in one component or has been compared; no bucket is capped.
+   classes that shares a bucket is in one component, has been compared, or can't be linked; no bucket is capped.
 
 A class is named by 64 bits of its digest. Defined results: a null or empty text, or one without words, has an empty
 set, is linked with nothing, and is its own component; a row with a null doc_id is linked with nothing, its
@@ -38,7 +40,7 @@ PERCENT = 75
 ROWS = 3
 SIDE = 18
 #: Rounds of stars before what is left is compared pair by pair.
-STARS = 3
+STARS = 2
 
 _N = 2 * SIDE * ROWS
 _random = np.random.Generator(np.random.PCG64(20240607))
@@ -173,23 +175,48 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     held = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").join(owners, ["doc_id", "text_key"])
     texts, path = shared.written(held.dropDuplicates(["doc_id", "text_key"]).select("node", "text"), "texts")
     paths.append(path)
-    found = labels = still = None
+    labels = still = at_labels = None
     for turn in range(STARS + 1):
         if turn == 1:  # from here on only buckets that a star has not made one component
             tables = _tables(candidates, labels)
             still, path = shared.written(tables.join(_mixed(tables), "bucket").select("bucket", "node"), "buckets")
             paths.append(path)
+            still, path = shared.written(_without_loners(still, labels, texts), "buckets")
+            paths.append(path)
         tables = _rooted(still, labels) if turn else _tables(candidates, None)
         new, path = shared.written(_verified(_star(tables, turn) if turn < STARS else _across(tables), texts), "verified")
         paths.append(path)
-        found = new if found is None else found.unionByName(new)
-        labels, last = shared.written(graph.components(found), "components")
-        if turn < STARS:
-            paths.append(last)
+        if labels is not None and new.isEmpty():
+            continue
+        known = new if labels is None else new.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        if labels is not None:
+            paths.append(at_labels)
+        labels, at_labels = shared.written(graph.components(known), "components")
     shared.remove(spark, *paths)
     return labels
 
 
+def _without_loners(still: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Bucket rows without the classes that no other can be linked with: those not linked yet of whose shingles over a
+    quarter stand in no other class of the buckets. Their overlap with any other set is too small for the limit."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, bounds in tx.slices(batch):
+                sets = sets_of(data, bounds)
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    nodes = still.select("node").distinct()
+    sets = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    common = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("shingle")
+    single = texts.join(nodes.join(labels, "node", "left_anti"), "node", "left_semi").select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    own = single.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    able = own.join(common, "shingle").groupBy("node", "size").count().where(f"100 * count >= {PERCENT} * size").select("node")
+    linked = labels.select("node")
+    return still.join(able.unionByName(linked), "node", "left_semi")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """A row a document: n_shingles, component_id (the smallest doc_id that links reach) and kept."""
     table, _ = shared.written(sketches(docs), "sketches")
