@@ -7,7 +7,8 @@ diagonal, neighbouring diagonals of a template (up to SLACK words inserted or le
 spans are verified on the words themselves.
 
 Base phrases must stand word by word, so one diagonal has to hold all their grams. Passages of known licenses
-may differ: a span counts if, word for word along its diagonals, at least COVER of the template's words are there. A
+may differ: a span counts if, word for word along its diagonals, at least COVER of the template's words are there
+and at least COMMON of its grams stand in the document. A
 label scores its verified share of the template; a document scores its best label.
 
 Defined results: null and empty texts have no words, null first and last words, empty labels and score 0; a null doc_id
@@ -26,6 +27,8 @@ from gatelake.llm import text as tx
 K = 2
 SLACK = 2
 COVER = 0.7
+#: Share of a passage's grams that must stand in a document before its spans are verified.
+COMMON = 0.5
 
 #: The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -61,20 +64,31 @@ def _places(spark) -> DataFrame:
 
 def grams(docs: DataFrame) -> DataFrame:
     """For each document a row with all its rolling grams, and a row with the sentinel, its count of words and, if any
-    gram is one of a template's, its text for the verification."""
-    wanted = np.array(sorted({g for words, _, _ in TEMPLATES for g in _grams_of(words)}), np.int64)
+    template has enough of its grams there, its text for the verification."""
+    sets = [(set(g := _grams_of(words)), len(set(g)) if exact else COMMON * len(set(g))) for words, _, exact in TEMPLATES]
+    wanted = np.array(sorted(set().union(*(grams for grams, _ in sets))), np.int64)
+
+    def enough(found: np.ndarray) -> bool:
+        """Whether some template has enough of its grams in a document for a span to be verified."""
+        held = set(found.tolist())
+        return any(len(held & grams) >= least for grams, least in sets)
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, bounds in tx.slices(batch):
                 words = tx.Words(data, bounds, tx.ALNUM)
                 every = words.grams(K).view(np.int64)
+                hit = np.isin(every, wanted)
                 some = np.zeros(len(every) + 1, np.int64)
-                np.cumsum(np.isin(every, wanted), out=some[1:])
+                np.cumsum(hit, out=some[1:])
                 first, n = words.first, len(every)
                 ends = np.maximum(np.minimum(first[1:] - K + 1, n), np.minimum(first[:-1], n))
                 hits = some[ends] - some[np.minimum(first[:-1], n)]
-                texts = [data[bounds[i] : bounds[i + 1]].decode("utf-8") if hits[i] else None for i in range(hi - lo)]
+                opens = np.minimum(first[:-1], n)
+                texts = [None] * (hi - lo)
+                for i in np.flatnonzero(hits):
+                    if enough(every[opens[i] : ends[i]][hit[opens[i] : ends[i]]]):
+                        texts[i] = data[bounds[i] : bounds[i + 1]].decode("utf-8")
                 part = batch.slice(lo, hi - lo)
                 rows = len(part)
                 lists = [every[a:b] for a, b in zip(np.minimum(first[:-1], n).tolist(), ends.tolist(), strict=True)]
