@@ -12,10 +12,9 @@ limit of 0.75, over 0.999999 at 0.82.
 3. Keys of a collection that only one class has are dropped before pairs of keys are formed.
 4. In each table bucket, members are linked with one member (a star, not all pairs), and links are checked on the full
    sets from the texts. This is repeated with other centres for buckets that still hold several components.
-   After the first round a class that has no link yet, and of whose shingles over a quarter stand in no other class of
-   such buckets, leaves them: its overlap with any set is below the limit, whatever it is compared with.
-5. For the buckets that still do, each pair of classes in different components is checked. So after it every pair of
-   classes that shares a bucket is in one component, has been compared, or can't be linked; no bucket is capped.
+5. Between the classes of the buckets that still do, pairs in different components are found by an exact prefix filter
+   on their full sets, and checked. So after it every pair of classes that shares a bucket is in one component or
+   is known not to be linked; no bucket is capped and no group is paired off with itself.
 
 A class is named by 64 bits of its digest. Defined results: a null or empty text, or one without words, has an empty
 set, is linked with nothing, and is its own component; a row with a null doc_id is linked with nothing, its
@@ -158,11 +157,37 @@ def _star(tables: DataFrame, turn: int) -> DataFrame:
     return stars.select("a", F.col("node").alias("b")).distinct()
 
 
-def _across(tables: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that are in different components."""
-    left = tables.join(_mixed(tables), "bucket")
-    right = left.select("bucket", F.col("node").alias("b"), F.col("root").alias("other"))
-    return left.join(right, "bucket").where("root < other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+def _across(nodes: DataFrame, labels: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Pairs of ``nodes`` in different components that may still be similar enough, none left out; and written tables.
+
+    Shingles are ordered by how many of the nodes have them, rare ones first. Two sets with a similarity at the limit
+    share one of the rarest quarter of each, and their first common one leaves enough room behind it in both for the
+    overlap that their sizes ask for. A shingle that one node has holds a place and no row. Of the components that share
+    a shingle the largest is not joined with itself, so a big group of copies costs its members times the outsiders."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, bounds in tx.slices(batch):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.view(np.int64) for x in sets_of(data, bounds)], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    sets, at_sets = shared.written(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, shingles array<long>"), "sets")
+    every = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    spread = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = every.join(spread, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
+    alone = F.col("size") - F.size("ranked")
+    prefix = F.greatest(F.lit(0), F.floor(F.col("size") * (100 - PERCENT) / 100) + 1 - alone).cast("int")
+    rows = ranked.select("node", "size", alone.alias("alone"), F.posexplode(F.slice("ranked", F.lit(1), prefix)).alias("i", "r"))
+    rows = _rooted(rows.select("node", "size", (F.col("alone") + F.col("i")).alias("place"), F.col("r.shingle").alias("shingle")), labels)
+    rows, at_rows = shared.written(rows, "prefixes")
+    by_root = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.min("size").alias("size"))
+    top = by_root.groupBy("shingle").agg(F.max_by("root", "n").alias("top"), F.min("size").alias("smallest"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    room = F.col("size") - F.col("place")
+    enough = lambda left, a, b: (100 + PERCENT) * left >= PERCENT * (a + b)
+    outside = rows.join(top, "shingle").where(F.col("root") != F.col("top")).where(enough(room, F.col("size"), F.col("smallest"))).select("shingle", "node", "root", "size", room.alias("room"))
+    other = rows.select("shingle", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), room.alias("room_b"))
+    pairs = outside.join(other, "shingle").where(F.col("root") != F.col("root_b")).where(enough(F.least("room", "room_b"), F.col("size"), F.col("size_b")))
+    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), [at_sets, at_rows]
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -181,10 +206,12 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
             tables = _tables(candidates, labels)
             still, path = shared.written(tables.join(_mixed(tables), "bucket").select("bucket", "node"), "buckets")
             paths.append(path)
-            still, path = shared.written(_without_loners(still, labels, texts), "buckets")
-            paths.append(path)
-        tables = _rooted(still, labels) if turn else _tables(candidates, None)
-        new, path = shared.written(_verified(_star(tables, turn) if turn < STARS else _across(tables), texts), "verified")
+        if turn < STARS:
+            pairs = _star(_rooted(still, labels) if turn else _tables(candidates, None), turn)
+        else:
+            pairs, more = _across(still.select("node").distinct(), labels, texts)
+            paths += more
+        new, path = shared.written(_verified(pairs, texts), "verified")
         paths.append(path)
         if labels is not None and new.isEmpty():
             continue
@@ -196,27 +223,6 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return labels
 
 
-def _without_loners(still: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Bucket rows without the classes that no other can be linked with: those not linked yet of whose shingles over a
-    quarter stand in no other class of the buckets. Their overlap with any other set is too small for the limit."""
-
-    def run(batches):
-        for batch in batches:
-            for lo, hi, data, bounds in tx.slices(batch):
-                sets = sets_of(data, bounds)
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    nodes = still.select("node").distinct()
-    sets = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, shingles array<long>")
-    common = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("shingle")
-    single = texts.join(nodes.join(labels, "node", "left_anti"), "node", "left_semi").select("node", "text").mapInArrow(run, "node long, shingles array<long>")
-    own = single.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    able = own.join(common, "shingle").groupBy("node", "size").count().where(f"100 * count >= {PERCENT} * size").select("node")
-    linked = labels.select("node")
-    return still.join(able.unionByName(linked), "node", "left_semi")
-
-
 def report(docs: DataFrame) -> DataFrame:
     """A row a document: n_shingles, component_id (the smallest doc_id that links reach) and kept."""
     table, _ = shared.written(sketches(docs), "sketches")
