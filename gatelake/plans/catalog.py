@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gatelake.plans import corpus, graphs
+from gatelake.plans import corpus, evaluation, graphs
 
-QUERIES = {k: v for m in (corpus, graphs) for k, v in m.QUERIES.items()}
-ORACLE = {k: v for m in (corpus, graphs) for k, v in m.ORACLE.items()}
+_MODULES = (corpus, graphs, evaluation)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
