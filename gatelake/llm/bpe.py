@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelake.llm import vocab
+from gatelake.llm import shared, vocab
 
 LEAF_CHARS = 2048
 LEAF_BYTES = 256
@@ -116,7 +116,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for ids, texts in _parts(batch):
                 yield pa.RecordBatch.from_arrays([ids, pa.array([np.array(coder.encode(t or ""), "<u4").tobytes() for t in texts.to_pylist()], pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(shared.arrow, run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -128,7 +128,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             for ids, data in _parts(batch):
                 yield pa.RecordBatch.from_arrays([ids, pa.array([coder.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in data.to_pylist()], pa.binary())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
+    return encoded.select("doc_id", "ids").transform(shared.arrow, run, "doc_id long, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -150,7 +150,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 columns += [pa.array(packed, pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(shared.arrow, run, schema)
 
 
 def _parts(batch: pa.RecordBatch, rows: int = 64):

@@ -122,7 +122,7 @@ def packs(conversations: DataFrame, path: str) -> DataFrame:
     keyed = whole.withColumn("path", F.transform("turns", lambda t: F.xxhash64(t.role, t.text)))
     n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartitionByRange(n, "path", "conv_id").sortWithinPartitions("path", "conv_id")
-    return dealt.select("conv_id", "turns").mapInArrow(run, PACK)
+    return dealt.select("conv_id", "turns").transform(shared.arrow, run, PACK)
 
 
 REPORT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -161,7 +161,7 @@ def read_back(packed: DataFrame, path: str) -> DataFrame:
                 kinds = [pa.string() if n.endswith("sha256") else pa.int64() for n in names]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(len(names))], names=names)
 
-    return packed.mapInArrow(run, REPORT)
+    return packed.transform(shared.arrow, run, REPORT)
 
 
 def report(conversations: DataFrame, path: str) -> DataFrame:

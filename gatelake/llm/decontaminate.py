@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatelake.llm import shared
 from gatelake.llm import text as tx
 
 WINDOW = 10
@@ -199,7 +200,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     the text, from the first to the last byte of their words; a document of which more than ``coverage`` of the words
     is hit goes. Cutting is repeated until no window is left, as what then stands side by side can be one again."""
     for number, block in enumerate(blocks(benchmark)):
-        docs = docs.mapInArrow(_cleaner(docs, number, block, window, coverage), docs.schema)
+        docs = docs.transform(shared.arrow, _cleaner(docs, number, block, window, coverage), docs.schema)
     return docs
 
 
@@ -242,15 +243,15 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     """Counts of each document. With one block of items a document's row is ready at once; with more, the rows that
     the blocks give for it are merged by its id."""
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
-    parts = [texts.mapInArrow(_matcher(docs, i, block, window), MATCHES) for i, block in enumerate(blocks(benchmark))]
-    parts = parts or [texts.mapInArrow(_matcher(docs, 0, [], window), MATCHES)]
+    parts = [texts.transform(shared.arrow, _matcher(docs, i, block, window), MATCHES) for i, block in enumerate(blocks(benchmark))]
+    parts = parts or [texts.transform(shared.arrow, _matcher(docs, 0, [], window), MATCHES)]
     if len(parts) == 1:
-        return parts[0].mapInArrow(_digest, REPORT)
+        return parts[0].transform(shared.arrow, _digest, REPORT)
     every = parts[0].withColumn("block", F.lit(0))
     for i, part in enumerate(parts[1:], 1):
         every = every.unionByName(part.withColumn("block", F.lit(i)))
     merged = every.groupBy("doc_id", "key", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.count_if(F.col("block") == 0).cast("int").alias("copies"))
-    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "key", "n_words", "spans", "items").mapInArrow(_digest, REPORT)
+    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "key", "n_words", "spans", "items").transform(shared.arrow, _digest, REPORT)
 
 
 def _digest(batches):

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatelake.llm import shared
 from gatelake.llm import text as tx
 
 K = 2
@@ -96,7 +97,7 @@ def grams(docs: DataFrame) -> DataFrame:
                 for text, held in ((pa.nulls(rows, pa.string()), lists), (pa.array(texts, pa.string()), [[_SENTINEL]] * rows)):
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), counts, text, pa.array(held, pa.list_(pa.int64()))], names=[x.split()[0] for x in SCAN.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"), "text").mapInArrow(run, SCAN)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"), "text").transform(shared.arrow, run, SCAN)
 
 
 def votes(docs: DataFrame) -> DataFrame:
@@ -165,4 +166,4 @@ def report(docs: DataFrame) -> DataFrame:
         F.max(F.when(own, F.col("votes"))).alias("copies"),  # a sentinel a row, so as many as the row repeats
         F.collect_list(F.when(~own, F.struct("template", "diagonal", "votes"))).alias("found"),
     )
-    return one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies").mapInArrow(run, REPORT)
+    return one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies").transform(shared.arrow, run, REPORT)

@@ -93,7 +93,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     names=[x.split()[0] for x in SKETCH.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").transform(shared.arrow, run, SKETCH)
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long")
+    return with_a.select("a", "b", "text_a", "text_b").transform(shared.arrow, run, "u long, v long")
 
 
 def _mixed(tables: DataFrame, *more: Column) -> DataFrame:
@@ -171,7 +171,7 @@ def _across(nodes: DataFrame, labels: DataFrame, texts: DataFrame) -> tuple[Data
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.view(np.int64) for x in sets_of(data, bounds)], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    sets, at_sets = shared.written(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, shingles array<long>"), "sets")
+    sets, at_sets = shared.written(texts.join(nodes, "node", "left_semi").select("node", "text").transform(shared.arrow, run, "node long, shingles array<long>"), "sets")
     every = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     spread = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     ranked = every.join(spread, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatelake.llm import shared
 from gatelake.llm import text as tx
 
 #: Documents on which costs and rejections are estimated, and the longest taken; they set the order of rules only.
@@ -151,7 +152,7 @@ def cascade(docs: DataFrame) -> DataFrame:
                 mask[lo + verdicts(facts, order)] = True
             yield batch.filter(pa.array(mask))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.transform(shared.arrow, keep, docs.schema)
 
 
 FACTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
@@ -170,4 +171,4 @@ def facts(docs: DataFrame) -> DataFrame:
                 columns = [f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *map(pa.array, columns), pa.array(failed), pa.array(kept)], names=[x.split()[0] for x in FACTS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, FACTS)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(shared.arrow, count, FACTS)

@@ -8,6 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch at most: texts make long rows, and a batch is held by Spark and by its Python worker.
+BATCH_ROWS = 1024
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow(function, schema)`` in batches of at most BATCH_ROWS rows."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS)) <= BATCH_ROWS:
+        conf.set(_ROWS, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder: ``spark.checkpoint.dir``, or a new one where that is unset (as in tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

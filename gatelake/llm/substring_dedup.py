@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gatelake.llm import shared
 from gatelake.llm import text as tx
 
 UNIT_WORDS = 3
@@ -75,7 +76,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("rank"), part.column("text_key"), pa.array(lists, pa.list_(pa.int64()))], names=["rank", "text_key", "digests"])
 
     rank, key = _keyed()
-    lists = docs.select(rank.alias("rank"), key.alias("text_key"), "text").mapInArrow(run, "rank long, text_key long, digests array<long>")
+    lists = docs.select(rank.alias("rank"), key.alias("text_key"), "text").transform(shared.arrow, run, "rank long, text_key long, digests array<long>")
     units = lists.select("rank", "text_key", F.explode("digests").alias("digest"))
     earliest = units.groupBy("digest").agg(F.min("rank").alias("earliest"), F.max("rank").alias("latest")).where("earliest != latest").select("digest", "earliest")
     later = units.join(earliest, "digest").where("rank != earliest")
@@ -147,7 +148,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     joined = joined.select(*others, F.col(inner[at]).alias("_text"), F.col("digests").alias("_digests"))
     types = {n: docs.schema[i] for i, n in enumerate(inner)}
     schema = T.StructType([T.StructField(n, types[n].dataType, True) for n in others] + [T.StructField("_text", T.StringType()), T.StructField("_removed", T.ArrayType(T.ArrayType(T.LongType())))])
-    done = joined.mapInArrow(_cut(others, [f.name for f in schema]), schema)
+    done = joined.transform(shared.arrow, _cut(others, [f.name for f in schema]), schema)
     last = "removed"
     while last in docs.columns:
         last = "_" + last

@@ -48,7 +48,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def power(kind: str, n: int) -> np.ndarray:
     if len(_powers[kind]) < n:
-        factors = np.full(max(n, SLICE_BYTES + 1), _BASE if kind == "base" else _BASE_INV, np.uint64)
+        factors = np.full(max(n, min(2 * n, SLICE_BYTES + 1)), _BASE if kind == "base" else _BASE_INV, np.uint64)
         factors[0] = 1
         _powers[kind] = np.cumprod(factors, dtype=np.uint64)
     return _powers[kind]

@@ -293,7 +293,7 @@ def token_rows(pages: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("links", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(rows, pa.string()), pa.array(weights, kind)], names=["host", "row", "weights"])
 
-    return pages.select("url", "html").mapInArrow(run, "host string, row string, weights array<struct<path:string,chars:long,links:long>>")
+    return pages.select("url", "html").transform(shared.arrow, run, "host string, row string, weights array<struct<path:string,chars:long,links:long>>")
 
 
 def _merged(group: pd.DataFrame) -> pd.DataFrame:
@@ -326,7 +326,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 content.append(content_slots(wrapper, {x["path"]: (x["chars"], x["links"]) for x in held or ()}))
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(regexes, pa.string()), pa.array(content, pa.list_(pa.string()))], names=["host", "wrapper", "content"])
 
-    out, _ = shared.written(level.join(by_host, "host", "left").select("host", "row", "weights").mapInArrow(judge, "host string, wrapper string, content array<string>"), "wrappers")
+    out, _ = shared.written(level.join(by_host, "host", "left").select("host", "row", "weights").transform(shared.arrow, judge, "host string, wrapper string, content array<string>"), "wrappers")
     shared.remove(pages.sparkSession, *paths)
     return out
 
@@ -350,4 +350,4 @@ def extract(pages: DataFrame) -> DataFrame:
     plans = F.broadcast(plans) if size <= BROADCAST_BYTES else plans
     host = F.coalesce(F.lower(F.regexp_extract("url", _HOST.pattern.replace("^", "(?i)^", 1), 1)), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host"))
-    return keyed.join(plans, "host", "left").select("page_id", "url", "html", "content").mapInArrow(run, REPORT)
+    return keyed.join(plans, "host", "left").select("page_id", "url", "html", "content").transform(shared.arrow, run, REPORT)
