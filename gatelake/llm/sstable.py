@@ -15,8 +15,8 @@ may be there, a binary search over the sparse index finds its block, and one blo
 documents by (doc_id, digest of the text), so repeated ids are dealt out too. A shard appears under its name only when
 it is whole, and only shards of the tasks that Spark counted are listed, so a lost executor leaves no half a file behind.
 
-Encoding keeps the ids of distinct words: a space after a non-space always begins a pre-token, so a text is cut there;
-pre-tokens of units not seen before are encoded by the tokenizers library in batches.
+Encoding keeps the ids of distinct units: a text is cut where a pre-token begins in any case, units not seen before
+are encoded by the tokenizers library in batches, and a text's ids are gathered from those of its units.
 
 Defined results: a null or empty text has the end id alone; a null doc_id sorts first; rows that repeat are stored each;
 an empty table gives no shards and no rows; only doc_id and text are read.
@@ -25,7 +25,7 @@ an empty table gives no shards and no rows; only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
-import re
+import itertools
 import struct
 import uuid
 import zlib
@@ -34,11 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelake.llm import shared, vocab
+from gatelake.llm import text as tx
 
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS = 10
@@ -47,9 +47,8 @@ END_ID = 2
 MAGIC = b"GLSST001"
 _FOOTER = struct.Struct("<QQQQQQII8s")
 _INDEX = struct.Struct("<9sQIIQ")
-CACHE_UNITS = 500_000
-
-_ODD_SPACE = re.compile(r"\s ")
+CACHE_UNITS = 600_000
+RUN_UNITS = 256
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -186,43 +185,124 @@ class Reader:
         return found
 
 
+_random = np.random.Generator(np.random.PCG64(1618))
+_BYTES = _random.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RAW = np.arange(256)
+_ASCII_WORD = ((_RAW >= 48) & (_RAW <= 57)) | ((_RAW >= 65) & (_RAW <= 90)) | ((_RAW >= 97) & (_RAW <= 122))
+_ASCII_SOLID = (_RAW > 32) & (_RAW < 127)
+_MARK = np.isin(_RAW, list(b".,;:!?)"))
+
+
+def unit_starts(data: bytes, bounds: np.ndarray) -> np.ndarray:
+    """Byte places at which a pre-token begins, whatever stands around, with the document bounds.
+
+    These are: a space or line break after a non-space; a mark after an ASCII letter or digit; an ASCII letter or digit
+    after a line break that follows a non-space alone. Doubtful places are left out, which only makes units longer."""
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return bounds[:-1]
+    begins = np.zeros(len(raw), bool)
+    solid, word = _ASCII_SOLID[raw], _ASCII_WORD[raw]
+    # a byte of a longer character counts as a non-space unless it can be the last of a Unicode space
+    wide = (raw >= 0x80) & ~np.isin(raw, [0x80, 0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF, *range(0x81, 0x8B)])
+    latin = np.zeros(len(raw), bool)
+    latin[1:] = (raw[1:] >= 0x80) & (raw[:-1] >= 0xC3) & (raw[:-1] < 0xE0)  # two-byte characters past U+00BF are no spaces
+    full = solid | wide | latin
+    gap = (raw == 32) | (raw == 10)
+    begins[1:] = (gap[1:] & full[:-1]) | (_MARK[raw[1:]] & word[:-1])
+    begins[2:] |= word[2:] & (raw[1:-1] == 10) & full[:-2]
+    begins[bounds[:-1][bounds[:-1] < len(raw)]] = True
+    return np.flatnonzero(begins)
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, the ids of distinct words kept."""
+    """Ids of whole texts by the tokenizers library. Texts are cut into units at places that begin a pre-token in any
+    case; each distinct unit is encoded once by the library and kept under two 64-bit hashes of its bytes."""
 
     def __init__(self, path: str, width: int):
-        import public_tokenizers
-
-        self.tokenizer, self.dtype = vocab.tokenizer(path), f"<u{width}"
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # the space before a unit is put back with its first piece
-        cut = [text.split(" ") if self._plain(text) else None for text in texts]
-        wanted = set().union(*(units[1:] for units in cut if units)) - self.units.keys()
-        fresh = {unit: self.split(" " + unit) for unit in wanted}
-        heads = [self.split(units[0] if units else text) for units, text in zip(cut, texts, strict=True)]
-        pieces = set().union(*fresh.values(), *heads) - self.pieces.keys()
-        if pieces:
-            new = list(pieces)
-            for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.pieces[piece] = np.array(found.ids, self.dtype).tobytes()
-        piece, unit = self.pieces.__getitem__, self.units.__getitem__
-        for name, parts in fresh.items():
-            self.units[name] = b"".join(map(piece, parts))
-        out = [b"".join(map(piece, head)) + (b"".join(map(unit, units[1:])) if units else b"") for head, units in zip(heads, cut, strict=True)]
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
-            self.pieces.clear()
+        self.tokenizer, self.dtype = vocab.tokenizer(path), np.dtype(f"<u{width}")
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the byte-level sign for a space
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.second = np.zeros(0, np.uint64)
+        self.lengths = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, self.dtype)
+
+    def _hashes(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        raw, n, out = np.frombuffer(data, np.uint8), len(data), []
+        for table in _BYTES:
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(table[raw] * tx.power("base", n + 1)[:n], out=sums[1:])
+            out.append(tx.mixed((sums[ends] - sums[starts]) * tx.power("inverse", n + 1)[starts]))
         return out
 
-    @staticmethod
-    def _plain(text: str) -> bool:
-        """Whether every space follows a non-space, so that a pre-token begins at it."""
-        if "  " in text or "\n " in text:
-            return False
-        return _ODD_SPACE.search(text) is None
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each unit, and all ids. A space and letters is one pre-token wherever it stands, so such
+        units are encoded many at a time; the ids whose token begins with a space tell where each begins."""
+        plain = np.array([u[0] == " " and u[1:].isalpha() for u in units], bool)
+        words = [u for u, p in zip(units, plain.tolist(), strict=True) if p]
+        rest = self._library([u for u, p in zip(units, plain.tolist(), strict=True) if not p])
+        runs = [words[i : i + RUN_UNITS] for i in range(0, len(words), RUN_UNITS)]
+        counts, ids = [], []
+        for run, x in zip(runs, self.tokenizer.encode_batch_fast(["".join(run) for run in runs], add_special_tokens=False), strict=True):
+            found = np.array(x.ids, self.dtype)
+            begins = np.flatnonzero(self.spaced[found])
+            if len(begins) == len(run):
+                counts.append(np.diff(begins, append=len(found)))
+                ids.append(found)
+            else:  # the library's letters are not Python's
+                each = self._library(run)
+                counts.append(np.array([len(y) for y in each], np.int64))
+                ids.append(np.fromiter(itertools.chain.from_iterable(each), self.dtype))
+        lengths = np.zeros(len(units), np.int64)
+        if words:
+            lengths[plain] = np.concatenate(counts)
+        lengths[~plain] = np.fromiter(map(len, rest), np.int64, len(rest))
+        flat = np.zeros(int(lengths.sum()), self.dtype)
+        whose = np.repeat(plain, lengths)
+        if words:
+            flat[whose] = np.concatenate(ids)
+        flat[~whose] = np.fromiter(itertools.chain.from_iterable(rest), self.dtype)
+        return lengths, flat
+
+    def encode(self, data: bytes, bounds: np.ndarray) -> list[bytes]:
+        """Ids of each document of a slice."""
+        if len(self.known) > CACHE_UNITS:
+            self._clear()
+        starts = unit_starts(data, bounds)
+        ends = np.append(starts[1:], len(data))
+        full = ends > starts
+        starts, ends = starts[full], ends[full]
+        first, second = self._hashes(data, starts, ends)
+        distinct, at, inverse = np.unique(first, return_index=True, return_inverse=True)
+        rows = np.array([self.known.get(h, -1) for h in distinct.tolist()], np.int64)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            places = at[new]
+            lengths, flat = self._units([data[a:b].decode("utf-8") for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)])
+            rows[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(distinct[new].tolist(), rows[new].tolist(), strict=True))
+            self.second = np.concatenate([self.second, second[places]])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.flat = np.concatenate([self.flat, flat])
+        row = rows[inverse]
+        if not np.array_equal(self.second[row], second):  # two units with one hash
+            return [np.array(x, self.dtype).tobytes() for x in self._library([data[a:b].decode("utf-8") for a, b in itertools.pairwise(bounds.tolist())])]
+        lengths = self.lengths[row]
+        held = np.zeros(len(self.lengths) + 1, np.int64)
+        np.cumsum(self.lengths, out=held[1:])
+        total = np.zeros(len(row) + 1, np.int64)
+        np.cumsum(lengths, out=total[1:])
+        out = self.flat[np.repeat(held[row] - total[:-1], lengths) + np.arange(total[-1])]
+        cuts = total[np.searchsorted(starts, bounds)]
+        return [out[a:b].tobytes() for a, b in itertools.pairwise(cuts.tolist())]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -252,13 +332,11 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, width: int = 2) ->
         coder, end = _encoder(tokenizer_path, width), np.array([END_ID], f"<u{width}").tobytes()
         n_docs, writer, out = 0, None, None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi, data, bounds in tx.slices(batch):
                 if writer is None:
                     out = store.open_output_stream(name + ".part")
                     writer = Writer(out, width)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
+                for doc_id, ids in zip(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), coder.encode(data, bounds), strict=True):
                     writer.add(key_of(doc_id), ids + end)
                     n_docs += 1
         if writer is not None:
@@ -270,7 +348,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, width: int = 2) ->
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
     ranged = keyed.repartitionByRange(n, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
-    return ranged.select("doc_id", "text").mapInArrow(run, MANIFEST)
+    return ranged.select("doc_id", "text").transform(shared.arrow, run, MANIFEST)
 
 
 def open_shard(path: str) -> Reader:
@@ -305,7 +383,7 @@ def read(manifest: DataFrame) -> DataFrame:
     ordered = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard, not a document
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(ordered), F.lit(0)))
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.select("path", "before").repartition(n).mapInArrow(run, REPORT)
+    return placed.select("path", "before").repartition(n).transform(shared.arrow, run, REPORT)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
