@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelake.llm import vocab
+from gatelake.llm import shared, vocab
 
 MAX_NODES = 1_000_000
 LONG = 512
@@ -82,8 +82,9 @@ class Trie:
 
     def total(self, tokens: list[str]) -> int:
         counts = self.counts
-        for token in set(tokens) - counts.keys():
-            self.count(token)
+        for token in set(tokens):
+            if token not in counts:
+                self.count(token)
         try:
             return sum(map(counts.__getitem__, tokens))
         except KeyError:  # a long pre-token
@@ -118,4 +119,4 @@ def counts(docs: DataFrame, path: str) -> DataFrame:
                     held.clear()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(map(itemgetter(i), out)), pa.int64()) for i in (0, 1))], names=["doc_id", "n_pretokens", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, REPORT)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(shared.arrow, run, REPORT)
