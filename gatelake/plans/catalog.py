@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gatelake.plans import corpus, evaluation, graphs
+from gatelake.plans import corpus, evaluation, files, graphs
 
-_MODULES = (corpus, graphs, evaluation)
+_MODULES = (corpus, graphs, evaluation, files)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
