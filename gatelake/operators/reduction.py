@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelake.functions import rng, scalars
+from gatelake.sources import scratch
 
 SEED, DROP_RATE, KEEP_RATIO, DAMPING, SPAN = 42, 0.3, 0.8, 0.85, 10.0
 
@@ -73,12 +74,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, round
 
 
 def pagerank_rounds(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = DAMPING) -> DataFrame:
-    """A fixed number of PageRank rounds as joins and sums, for graphs too large for a task."""
+    """A fixed number of PageRank rounds as joins and sums, for graphs too large for a task. A round reads the state
+    more than once, so every third one is written down, or the plan would double with each."""
     links = edges.select("graph_id", "src", "dst").distinct()
     out = links.groupBy("graph_id", F.col("src").alias("node_id")).agg(F.count("*").alias("out"))
     w = Window.partitionBy("graph_id")
     state = nodes.select("graph_id", "node_id").join(out, ["graph_id", "node_id"], "left").withColumn("n", F.count("*").over(w)).withColumn("rank", 1.0 / F.col("n"))
-    for _ in range(rounds):
+    for i in range(rounds):
+        if i and i % 3 == 0:
+            path = scratch.folder(nodes.sparkSession, "pagerank")
+            state.write.parquet(path)
+            state = nodes.sparkSession.read.schema(state.schema).parquet(path)
         sent = state.where("out is not null").select("graph_id", F.col("node_id").alias("src"), (F.col("rank") / F.col("out")).alias("share"))
         got = links.join(sent, ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.sum("share").alias("got"))
         dead = F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).over(w) / F.col("n")
