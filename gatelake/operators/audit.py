@@ -157,3 +157,31 @@ def mapped(rows: DataFrame, plan: DataFrame, *columns: str) -> DataFrame:
 def done_keys(done: DataFrame, n_algorithms: int) -> DataFrame:
     """Graphs that every algorithm has processed."""
     return done.groupBy("graph_id").agg(F.count_distinct("algo").alias("n")).where(F.col("n") == n_algorithms).select("graph_id")
+
+
+def reconciliation(parsed: DataFrame) -> DataFrame:
+    """The audit's summary as (section, item, metric, value)."""
+
+    def long(df: DataFrame, section: str, item: Column, metrics: list[str]) -> DataFrame:
+        held = df.select(item.cast("string").alias("item"), *[F.col(m).cast("long").alias(m) for m in metrics])
+        return held.unpivot(["item"], metrics, "metric", "value").select(F.lit(section).alias("section"), "item", "metric", "value")
+
+    sets = long(set_report(parsed), "sets", F.col("tier"), ["perfect", "missing_pt", "csv_ghosts", "pt_orphans", "aig_unlisted"])
+    stores = long(store_diagnostics(parsed), "stores", F.col("store"), ["tier0", "tier1", "tier2", "unrecognized", "messy"])
+    links = long(tier2_links(parsed), "links", F.col("store"), ["needed", "linked", "broken"])
+    gaps = long(generation_gaps(parsed, 2).groupBy("dst").agg(F.count("*").alias("missing")), "gaps", F.col("dst"), ["missing"])
+    return sets.unionByName(stores).unionByName(links).unionByName(gaps)
+
+
+def known_paths(rows: DataFrame, column: str, manifest: DataFrame, listing: DataFrame) -> DataFrame:
+    """Rows whose path a manifest has, and of the others those that a listing has: only unknown paths are probed."""
+    sure = rows.join(manifest.select(F.col("path").alias(column)).distinct(), column, "left_semi")
+    open_ = rows.join(manifest.select(F.col("path").alias(column)).distinct(), column, "left_anti")
+    return sure.unionByName(open_.join(listing.select(F.col("path").alias(column)).distinct(), column, "left_semi"))
+
+
+def indexed_counts(rows: DataFrame, manifest: DataFrame, index: DataFrame, tag: str) -> DataFrame:
+    """Node counts from a manifest, else from a global index where its tag is the wanted one."""
+    m = manifest.select("graph_path", F.col("num_nodes").alias("_m"))
+    i = index.where(F.col("tag") == tag).select("graph_path", F.col("num_nodes").alias("_i"))
+    return rows.join(m, "graph_path", "left").join(i, "graph_path", "left").withColumn("num_nodes", F.coalesce("_m", "_i")).drop("_m", "_i")

@@ -166,3 +166,37 @@ def shrink_shares(master: DataFrame) -> DataFrame:
     total = counts.agg(F.lit(0).alias("tier"), F.sum("n").alias("n"), F.sum("n_shrunk").alias("n_shrunk"))
     share = F.round(scalars.percent(F.col("n_shrunk"), F.col("n")), 6)
     return counts.unionByName(total).select("tier", "n", "n_shrunk", share.alias("shrunk_pct"), F.round(scalars.percent(F.col("n") - F.col("n_shrunk"), F.col("n")), 6).alias("other_pct"))
+
+
+def with_inputs(rows: DataFrame, listing: DataFrame) -> DataFrame:
+    """Rows of which the input graph is in a listing of stored paths."""
+    return rows.join(listing.select(F.col("path").alias("graph_path")).distinct(), "graph_path", "left_semi")
+
+
+def unparsed_sources(master: DataFrame) -> DataFrame:
+    """One row: tier 2 rows, and those of which the name tells no first optimizer."""
+    source = names.tier2_source(names.stem(F.col("file_path")), F.col("design"))
+    return master.where("tier_id = 2").agg(F.count("*").alias("n"), F.count_if(source.isNull()).alias("n_unparsed"))
+
+
+def mismatched_designs(files: DataFrame) -> DataFrame:
+    """Files (path, expected) of which the name gives another design than the folder they were looked for in."""
+    found = names.artifact(names.basename(F.col("path")))
+    return files.withColumn("found", found.design).where((F.col("expected") != "") & ~F.col("expected").eqNullSafe(F.col("found")))
+
+
+def task_ids(files: DataFrame, *order: str) -> DataFrame:
+    """Files numbered from 1 in an explicit order, by ranges of the first column so that no task numbers them all."""
+    from pyspark.sql import Window
+
+    first = order[0]
+    counts = files.groupBy(first).agg(F.count("*").alias("_n"))
+    before = counts.select(first, (F.sum("_n").over(Window.orderBy(first)) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(first).orderBy(*order))
+    return files.withColumn("_within", within).join(before, first).withColumn("task_id", F.col("_before") + F.col("_within")).drop("_within", "_before")
+
+
+def first_of_key(rows: DataFrame, keys: Sequence[str], order: str, *columns: str) -> DataFrame:
+    """The first row of each key in the order of a column."""
+    picked = rows.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.col(order)).alias("_r"))
+    return picked.select(*keys, "_r.*")

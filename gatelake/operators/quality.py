@@ -101,3 +101,26 @@ def archive_gaps(master: DataFrame) -> DataFrame:
 def column_spread(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Each row's group deviation beside it."""
     return rows.withColumn("spread", F.stddev_samp(value).over(Window.partitionBy(key)))
+
+
+def master_report(master: DataFrame) -> DataFrame:
+    """The report on a master table as (section, item, metric, value), for a reader or a check to pick from."""
+    from gatelake.operators import lineage
+
+    def long(df: DataFrame, section: str, item, metrics: list[str]) -> DataFrame:
+        held = df.select(item.cast("string").alias("item"), *[F.col(m).cast("double").alias(m) for m in metrics])
+        return held.unpivot(["item"], metrics, "metric", "value").select(F.lit(section).alias("section"), "item", "metric", F.round("value", 6).alias("value"))
+
+    steps = ["n", "n_orphans", "n_more_nodes", "n_same_nodes", "n_more_depth"]
+    parts = [
+        long(composition(master).withColumn("item", F.concat_ws("|", "part", "tier", "algorithm", "root_design")), "rows", F.col("item"), ["n"]),
+        long(tier_means(master), "means", F.col("tier_id"), ["mean_nodes", "mean_depth"]),
+        long(label_ranges(master).withColumn("item", F.concat_ws("|", "tier_id", "algorithm")), "labels", F.col("item"), ["min_opt", "max_opt", "n_zero", "n_depth_worse"]),
+        long(lineage.step_report(master, 1), "tier1", F.col("algorithm"), steps),
+        long(lineage.step_report(master, 2), "tier2", F.col("algorithm"), steps),
+        long(invariants(master).groupBy("problem").agg(F.count("*").alias("n")), "invariants", F.col("problem"), ["n"]),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -153,3 +153,29 @@ def booktabs(rows: DataFrame, caption: str, label: str) -> str:
     lines = [" & ".join(r) + r" \\" for r in body]
     frame = [r"\begin{table}[h]", r"\centering", rf"\caption{{{caption}}}", rf"\label{{{label}}}", rf"\begin{{tabular}}{{{''.join('r' if n else 'l' for n in numeric)}}}", r"\toprule", head, r"\midrule"]
     return "\n".join([*frame, *lines, r"\bottomrule", r"\end{tabular}", r"\end{table}", ""])
+
+
+def hardware_bars(costs: DataFrame) -> DataFrame:
+    """The bars of the hardware figure, long: one row a run and measure."""
+    measures = ["mean_time", "graphs_per_s", "mean_vram", "max_vram", "mean_reserved"]
+    return costs.withColumn("method", F.coalesce("method", F.lit(""))).unpivot(["kind", "method"], measures, "measure", "value")
+
+
+def offline_bars(*families: tuple[str, DataFrame]) -> DataFrame:
+    """Mean milliseconds a graph of every method of the given families."""
+    out = None
+    for kind, df in families:
+        part = df.groupBy("method").agg(F.round(F.avg("ms"), 6).alias("ms_per_graph")).select(F.lit(kind).alias("kind"), "method", "ms_per_graph")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def accuracy_bars(scores: DataFrame) -> DataFrame:
+    """Scores of the reduced runs beside the lines of the run on whole graphs."""
+    base = scores.where("kind = 'none'").agg(F.avg("rmse").alias("base_rmse"), F.avg("r2").alias("base_r2"))
+    return scores.where("kind != 'none'").crossJoin(F.broadcast(base)).select("kind", F.coalesce("method", F.lit("")).alias("method"), "rmse", "r2", "base_rmse", "base_r2")  # one row
+
+
+def realigned(order: DataFrame, values: DataFrame) -> DataFrame:
+    """Values that a model gave in batch order, beside the sample each is of: ``order`` has (batch_id, pos, idx)."""
+    return order.join(values, ["batch_id", "pos"]).select("idx", "batch_id", "pos", "value")

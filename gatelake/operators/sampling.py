@@ -164,3 +164,19 @@ def guard(rows: DataFrame, tokens: str, cap: float) -> DataFrame:
     """The first graph of each batch at which its running total of tokens is over the cap."""
     running = rows.withColumn("total", F.sum(tokens).over(Window.partitionBy("batch_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     return running.where(F.col("total") > cap).groupBy("batch_id").agg(F.min("pos").alias("pos"), F.min("total").alias("total"))
+
+
+def exclusions(*documents: DataFrame) -> DataFrame:
+    """Distinct paths of several splits documents, in order of the document, then of the path."""
+    out = None
+    for i, df in enumerate(documents):
+        part = df.select("path", F.lit(i).alias("document"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("path").agg(F.min("document").alias("document"))
+
+
+def same_meta(held: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """(field, held, wanted) of what differs between a splits document's record and the wanted one; empty: reuse it."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("field"), F.lit(v).alias("wanted")) for k, v in wanted.items()])
+    long = held.select(F.col("meta"), F.explode(pairs).alias("p"))
+    return long.select("p.field", F.col("meta")[F.col("p.field")].alias("held"), "p.wanted").where(~F.col("held").eqNullSafe(F.col("wanted")))

@@ -468,3 +468,87 @@ def dq09(spark: SparkSession, sf: str) -> DataFrame:
 def jon17(spark: SparkSession, sf: str) -> DataFrame:
     parsed = _parsed(spark, sf)
     return audit.mapped(parsed.where("store = 'pt'").select("path"), audit.rename_plan(parsed, "pt"), "path").groupBy("path").agg(F.count("*").alias("n"))
+
+
+# Filters, orders and reports over the corpus
+
+
+@register("flt02_existing_inputs", ", s AS (" + _TIER1 + ") SELECT graph_path, algorithm, count(*) AS n FROM s WHERE graph_path IN (SELECT concat_ws('/', 'graphs/tier0', root_design, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.aig$', '.pt')) FROM fx_master WHERE tier_id = 0 AND nodes % 2 = 0) GROUP BY ALL", "master")
+def flt02(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.master(spark, sf)
+    held = rows.where("tier_id = 0 and nodes % 2 = 0").select(F.concat_ws("/", F.lit("graphs/tier0"), "root_design", F.regexp_replace(names.basename(F.col("file_path")), r"\.aig$", ".pt")).alias("path"))
+    return lineage.with_inputs(lineage.tier1_samples(rows), held).groupBy("graph_path", "algorithm").agg(F.count("*").alias("n"))
+
+
+@register("flt03_unparsed_sources", "SELECT count(*) AS n, count(*) FILTER (NOT regexp_matches(substr(regexp_extract(file_path, '([^/]*)$', 1), length(design) + 2), '^(Orchestrate|Deepsyn|Syn4|C2RS)_')) AS n_unparsed FROM fx_master WHERE tier_id = 2", "master")
+def flt03(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.unparsed_sources(fx.master(spark, sf))
+
+
+@register("flt01_tier_and_algorithm", "SELECT tier_id, algorithm, count(*) AS n FROM fx_master WHERE tier_id = 1 AND algorithm IN ('Orchestrate', 'Deepsyn', 'Syn4', 'C2RS') GROUP BY ALL", "master")
+def flt01(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.master(spark, sf).where((F.col("tier_id") == 1) & F.col("algorithm").isin(*names.ALGORITHMS)).groupBy("tier_id", "algorithm").agg(F.count("*").alias("n"))
+
+
+@register("flt08_known_paths", ", m AS (SELECT path FROM fx_stores WHERE store = 'aig'), l AS (SELECT path FROM fx_stores WHERE store = 'csv' AND length(path) % 2 = 0) SELECT tier_id, count(*) AS n FROM fx_master WHERE file_path IN (SELECT path FROM m) OR file_path IN (SELECT path FROM l) GROUP BY 1", "stores")
+def flt08(spark: SparkSession, sf: str) -> DataFrame:
+    held = fx.stores(spark, sf)
+    rows = fx.master(spark, sf).select("file_path", "tier_id")
+    return audit.known_paths(rows, "file_path", held.where("store = 'aig'"), held.where("store = 'csv' and length(path) % 2 = 0")).groupBy("tier_id").agg(F.count("*").alias("n"))
+
+
+@register("flt09_mismatched_designs", KEYS + ", f AS (SELECT path, CASE WHEN length(path) % 3 = 0 THEN '' WHEN length(path) % 5 = 0 THEN 'other' ELSE design END AS expected, design AS found FROM fx_keys WHERE store = 'aig') SELECT path, expected, found FROM f WHERE expected <> '' AND expected <> found", "stores")
+def flt09(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _parsed(spark, sf).where("store = 'aig'")
+    expected = F.when(F.length("path") % 3 == 0, "").when(F.length("path") % 5 == 0, "other").otherwise(F.col("design"))
+    return lineage.mismatched_designs(rows.select("path", expected.alias("expected")))
+
+
+@register("jon23_indexed_counts", ", r AS (SELECT graph_path, max(pre_nodes) AS n FROM fx_samples GROUP BY 1) SELECT graph_path, CASE WHEN length(graph_path) % 2 = 0 THEN n WHEN n % 3 = 0 THEN n + 1 END AS num_nodes FROM r", "samples")
+def jon23(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.samples(spark, sf).groupBy("graph_path").agg(F.max("pre_nodes").alias("num_nodes"))
+    held = rows.where(F.length("graph_path") % 2 == 0)
+    index = rows.select("graph_path", (F.col("num_nodes") + 1).alias("num_nodes"), F.when(F.col("num_nodes") % 3 == 0, "v2").otherwise("v1").alias("tag"))
+    return audit.indexed_counts(rows.select("graph_path"), held, index, "v2")
+
+
+@register("win07_first_occurrence", "SELECT graph_path, arg_min(design, sample_id) AS design, arg_min(pre_nodes, sample_id) AS pre_nodes FROM fx_samples GROUP BY 1", "samples")
+def win07(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.first_of_key(fx.samples(spark, sf), ["graph_path"], "sample_id", "design", "pre_nodes")
+
+
+@register("win09_task_ids", "SELECT file_path, row_number() OVER (ORDER BY root_design, file_path) AS task_id FROM fx_master WHERE tier_id = 1", "master")
+def win09(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.task_ids(fx.master(spark, sf).where("tier_id = 1"), "root_design", "file_path").select("file_path", "task_id")
+
+
+@register("top03_ordered_gaps", _EXPECTED + " SELECT design, count(*) AS n FROM gaps GROUP BY 1 ORDER BY n DESC, design", "stores")
+def top03(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.generation_gaps(_parsed(spark, sf), 2).groupBy("design").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "design")
+
+
+@register("set07_done_keys", ", d AS (SELECT file_path AS graph_id, a.name AS algo FROM fx_master CROSS JOIN fx_algos a WHERE tier_id = 0 AND (nodes + a.i) % 5 <> 0) SELECT graph_id FROM d GROUP BY 1 HAVING count(DISTINCT algo) = 4", "master")
+def set07(spark: SparkSession, sf: str) -> DataFrame:
+    algorithms = F.explode(F.array(*[F.struct(F.lit(a).alias("algo"), F.lit(i).alias("i")) for i, a in enumerate(names.ALGORITHMS, 1)]))
+    done = fx.master(spark, sf).where("tier_id = 0").select(F.col("file_path").alias("graph_id"), "nodes", algorithms.alias("a")).where("(nodes + a.i) % 5 != 0").select("graph_id", "a.algo")
+    return audit.done_keys(done, 4)
+
+
+@register("rep15_master_report", None)
+def rep15(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.master_report(fx.master(spark, sf))
+
+
+@register(
+    "rep16_reconciliation",
+    _EXPECTED
+    + _WHERE.format("d")
+    + f""", a AS (UNPIVOT ({_SETS.format('w')}) ON perfect, missing_pt, csv_ghosts, pt_orphans, aig_unlisted INTO NAME metric VALUE value),
+    b AS (UNPIVOT (SELECT store, count(*) FILTER (tier = 0) AS tier0, count(*) FILTER (tier = 1) AS tier1, count(*) FILTER (tier = 2) AS tier2, count(*) FILTER (tier = -1) AS unrecognized, count(*) FILTER (state = 'messy') AS messy FROM fx_keys GROUP BY 1) ON tier0, tier1, tier2, unrecognized, messy INTO NAME metric VALUE value),
+    t AS (SELECT n.store, count(*) AS needed, count(t.store) AS linked, count(*) FILTER (t.store IS NULL) AS broken FROM (SELECT DISTINCT store, design, src, recipe, step FROM d WHERE tier = 2) n LEFT JOIN (SELECT DISTINCT store, design, dst, recipe, step FROM d WHERE tier = 1) t ON t.store = n.store AND t.design = n.design AND t.dst = n.src AND t.recipe = n.recipe AND t.step = n.step GROUP BY 1),
+    c AS (UNPIVOT (SELECT * FROM t) ON needed, linked, broken INTO NAME metric VALUE value)
+    SELECT 'sets' AS section, tier::VARCHAR AS item, metric, value FROM a UNION ALL SELECT 'stores', store, metric, value FROM b UNION ALL SELECT 'links', store, metric, value FROM c UNION ALL SELECT 'gaps', dst, 'missing', count(*) FROM gaps GROUP BY dst""",
+    "stores",
+)
+def rep16(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.reconciliation(_parsed(spark, sf))

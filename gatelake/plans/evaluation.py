@@ -485,3 +485,44 @@ def agg39(spark: SparkSession, sf: str) -> DataFrame:
 def agg40(spark: SparkSession, sf: str) -> DataFrame:
     out = message_passing.hierarchical_pool(_vectors(spark, sf), "mean")
     return out.select("graph_id", F.posexplode("x").alias("dim", "v")).select("graph_id", "dim", (F.round("v", 6) + 0.0).alias("mean"))
+
+
+@register("rep09_hardware_bars", _COST[0:0] + f", co AS (SELECT kind, method, b.* FROM ({_BENCH}) b JOIN fx_configs USING (run_label)), q AS (SELECT kind, coalesce(method, '') AS method, mean_time, graphs_per_s, mean_vram, max_vram, mean_reserved FROM co) UNPIVOT q ON mean_time, graphs_per_s, mean_vram, max_vram, mean_reserved INTO NAME measure VALUE value", "per_graph", "configs")
+def rep09(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.hardware_bars(_costs(spark, sf))
+
+
+@register("rep10_offline_bars", ", l AS (SELECT l_shipmode_like AS method, l_quantity AS ms, l_linestatus FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'x' ELSE 'y' END AS l_shipmode_like, l_quantity, l_linestatus FROM lineitem)) SELECT CASE l_linestatus WHEN 'O' THEN 'sparsification' ELSE 'partition' END AS kind, method, round(avg(ms), 6) AS ms_per_graph FROM l GROUP BY ALL", "trials")
+def rep10(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.read(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") == "A", "x").otherwise("y").alias("method"), F.col("l_quantity").alias("ms"), "l_linestatus")
+    return reports.offline_bars(("sparsification", rows.where("l_linestatus = 'O'")), ("partition", rows.where("l_linestatus != 'O'")))
+
+
+@register("rep11_accuracy_bars", _SCORES + ", t AS (SELECT * FROM sc WHERE split = 'test') SELECT kind, coalesce(method, '') AS method, rmse, r2, (SELECT avg(rmse) FROM t WHERE kind = 'none') AS base_rmse, (SELECT avg(r2) FROM t WHERE kind = 'none') AS base_r2 FROM t WHERE kind <> 'none'", "predictions", "configs")
+def rep11(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.accuracy_bars(_scores(spark, sf).where("split = 'test'"))
+
+
+@register("agg28_mean_interval", None)
+def agg28(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.mean_interval(fx.per_graph(spark, sf).where("run_label = 'Orchestrate'").groupBy("run_label", "graph_id").agg(F.avg("vram_mb").alias("v")), ["run_label"], "graph_id", "v", 200)
+
+
+@register("agg44_split_sizes", _SPLIT + " SELECT split, count(*) AS n, round(avg(target), 8) AS mean FROM br WHERE split <> 'val' GROUP BY 1", "samples")
+def agg44(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = _rows(spark, sf)
+    return train.unionByName(test).groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg("target"), 8).alias("mean"))
+
+
+@register("flt04_usable_rows", "SELECT count(*) AS n, count(level) AS n_level FROM fx_samples WHERE 1 + num_pi + pre_nodes + num_po > 0", "samples")
+def flt04(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    rows = fx.samples(spark, sf).withColumn("num_and", c("pre_nodes")).withColumn("num_nodes", scalars.num_nodes(c("num_pi"), c("pre_nodes"), c("num_po"))).withColumn("num_edges", scalars.num_edges(c("pre_nodes"), c("num_po")))
+    return baselines.usable(rows).agg(F.count("*").alias("n"), F.count("level").alias("n_level"))
+
+
+@register("src22_checkpoints", ", c AS (SELECT trial, 'm/epoch=' || trial || '-val_loss=' || printf('%.4f', value) || '.ckpt' AS path FROM fx_trials) SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name, regexp_extract(path, 'val_loss=([0-9]*\\.?[0-9]+)', 1)::DOUBLE AS val_loss FROM c", "trials")
+def src22(spark: SparkSession, sf: str) -> DataFrame:
+    from gatelake.sources import readers
+
+    return readers.checkpoints(fx.trials(spark, sf).select(F.format_string("m/epoch=%d-val_loss=%.4f.ckpt", F.col("trial"), F.col("value")).alias("path")))

@@ -406,3 +406,47 @@ def bat05(spark: SparkSession, sf: str) -> DataFrame:
 @register("rng_uniform", "SELECT sample_id, round(" + _u("42", "sample_id") + " / 4294967296::DOUBLE, 9) AS u FROM fx_samples", "samples")
 def rng_uniform(spark: SparkSession, sf: str) -> DataFrame:
     return fx.samples(spark, sf).select("sample_id", F.round(rng.uniform(42, "sample_id"), 9).alias("u"))
+
+
+@register("agg34_graph_sizes", "SELECT n.graph_id, n.n AS n_nodes, e.n AS n_edges FROM (SELECT graph_id, count(*) AS n FROM fx_nodes GROUP BY 1) n JOIN (SELECT graph_id, count(*) AS n FROM fx_edges GROUP BY 1) e USING (graph_id)", "topology")
+def agg34(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _graph(spark, sf)
+    return nodes.groupBy("graph_id").agg(F.count("*").alias("n_nodes")).join(edges.groupBy("graph_id").agg(F.count("*").alias("n_edges")), "graph_id")
+
+
+@register("win10_pointers", ", c AS (SELECT graph_id, count(*) AS n FROM fx_nodes GROUP BY 1) SELECT graph_id, sum(n) OVER (ORDER BY graph_id)::BIGINT AS ptr FROM c", "topology")
+def win10(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = _graph(spark, sf)[0].groupBy("graph_id").agg(F.count("*").alias("n")).withColumn("batch", F.lit(0))
+    return sampling.offsets(sizes, "batch", "graph_id", "n").select("graph_id", (F.col("offset") + F.col("n")).alias("ptr"))
+
+
+@register("src20_levels_or_computed", "SELECT graph_id, node_id, CASE WHEN node_id % 3 = 0 THEN level + 100 ELSE level END AS level FROM fx_levels", "levels")
+def src20(spark: SparkSession, sf: str) -> DataFrame:
+    from gatelake.sources import readers
+
+    levels = _levelled(spark, sf)[2]
+    stored = levels.where("node_id % 3 = 0").withColumn("level", F.col("level") + 100)
+    return readers.levels_or_computed(stored, levels)
+
+
+@register("spl05_exclusions", _POOLS + ", x AS (SELECT path, 0 AS document FROM pl WHERE pool LIKE 'pool0%' UNION ALL SELECT path, 1 FROM pl WHERE pool LIKE '%:train') SELECT path, min(document)::INT AS document FROM x GROUP BY 1", "samples")
+def spl05(spark: SparkSession, sf: str) -> DataFrame:
+    pools = spl04(spark, sf)
+    return sampling.exclusions(pools.where("pool like 'pool0%'"), pools.where("pool like '%:train'"))
+
+
+@register("smp05_audit_sample", f", a AS (SELECT * FROM fx_samples ORDER BY {_u('0', 'sample_id')}, sample_id LIMIT 200), g AS (SELECT sample_id, pre_nodes + CASE WHEN step_id = 21 THEN 5 ELSE 0 END AS counted FROM fx_samples) SELECT step_id = 21 AS last_step, count(*) AS n, count(*) FILTER (pre_nodes <> counted) AS n_wrong FROM a JOIN g USING (sample_id) GROUP BY 1", "samples")
+def smp05(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.samples(spark, sf)
+    counted = rows.select("sample_id", (F.col("pre_nodes") + F.when(F.col("step_id") == 21, 5).otherwise(0)).alias("counted"))
+    audited = sampling.sample(rows, "sample_id", 200, 0).join(counted, "sample_id")
+    return audited.groupBy((F.col("step_id") == 21).alias("last_step")).agg(F.count("*").alias("n"), F.count_if(F.col("pre_nodes") != F.col("counted")).alias("n_wrong"))
+
+
+@register("jon24_realigned", None)
+def jon24(spark: SparkSession, sf: str) -> DataFrame:
+    from gatelake.operators import reports
+
+    order = _plan(spark, sf)
+    values = order.select("batch_id", "pos", (F.col("n") * 2).cast("double").alias("value"))
+    return reports.realigned(order, values)
