@@ -229,7 +229,9 @@ def test_archives_and_listing(spark, tmp_path):
     assert bytes(readers.archive_members(files, contents=True).first().content) == b"one"
     listed = readers.listing(spark, str(tmp_path), "*.zip")
     done = spark.createDataFrame([], "path string")
-    assert listed.count() == 2 and readers.unprocessed(listed, done).count() == 1
+    assert listed.count() == 1  # Spark's own listing leaves out names that begin with an underscore
+    more = spark.createDataFrame([("/a/_skip.zip",), ("/a/x.zip",), ("/a/y.zip",)], "path string")
+    assert [r.path for r in readers.unprocessed(more, done.union(spark.createDataFrame([("/a/y.zip",)], "path string"))).collect()] == ["/a/x.zip"]
 
 
 def test_documents(spark, tmp_path):
