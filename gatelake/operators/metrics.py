@@ -10,8 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatelake.functions import rng
-
 BETA = 0.01
 
 
@@ -74,23 +72,25 @@ def weighted_pearson(rows: DataFrame, by: Sequence[str], x: str, y: str, w: str)
     return sums.select(*by, _flat(F.when(varies, c("_xy") / F.sqrt(c("_xx") * c("_yy")))).alias("pearson"))
 
 
-def poisson_weight(seed: int, *keys: str) -> Column:
-    """A resampling weight: a Poisson(1) draw from the hash of its keys, up to 7."""
-    u, total, draw = rng.uniform(seed, *keys), 0.0, F.lit(0)
+def resampled(rows: DataFrame, times: int, seed: int, key: str) -> DataFrame:
+    """Rows once for each resample ``b`` that draws them, with the weight ``w``: a Poisson(1) draw, up to 7, from a hash of
+    seed, resample and key. The hash is a column of its own, so that it is taken once a row and resample."""
+    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    drawn = drawn.withColumn("_u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "b", key), 11) / F.lit(float(1 << 53)))
+    total, weight = 0.0, F.lit(0)
     for k in range(7):
         total += math.exp(-1) / math.factorial(k)
-        draw = draw + F.when(u >= total, 1).otherwise(0)
-    return draw
+        weight = weight + F.when(F.col("_u") >= total, 1).otherwise(0)
+    return drawn.withColumn("w", weight).where("w > 0")
 
 
 def bootstrap(rows: DataFrame, by: Sequence[str], key: str, target: str = "target", prediction: str = "prediction", times: int = 200, seed: int = 0) -> DataFrame:
     """(by, metric, low, high): 95 % percentile intervals of mae, rmse and r2.
 
-    Each resample weighs every row by a Poisson draw; rows with equal values are added up within a resample before the
-    shuffle, so the resamples cost sums and no copies of rows."""
+    Each resample weighs every row by a Poisson draw, and is summed within a task before the shuffle, so that a task sends
+    one row a resample and group."""
     d = F.col(prediction) - F.col(target)
-    drawn = rows.select(*by, F.col(target).alias("_y"), d.alias("_d"), F.col(key).alias("_k")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    drawn = drawn.withColumn("w", poisson_weight(seed, "b", "_k")).where("w > 0")
+    drawn = resampled(rows.select(*by, F.col(target).alias("_y"), d.alias("_d"), F.col(key).alias("_k")), times, seed, "_k")
     sums = drawn.groupBy(*by, "b").agg(F.sum("w").alias("n"), F.sum(F.expr("w * abs(_d)")).alias("a"), F.sum(F.expr("w * _d * _d")).alias("s"), F.sum(F.expr("w * _y")).alias("y"), F.sum(F.expr("w * _y * _y")).alias("yy"))
     total = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
     each = sums.select(*by, (F.col("a") / F.col("n")).alias("mae"), F.sqrt(F.col("s") / F.col("n")).alias("rmse"), F.when(total > 1e-15, 1 - F.col("s") / total).alias("r2"))
@@ -105,7 +105,7 @@ def _interval(long: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def mean_interval(rows: DataFrame, by: Sequence[str], key: str, value: str, times: int = 2000, seed: int = 0) -> DataFrame:
     """95 % percentile interval of a mean by group; null for fewer than two rows."""
-    drawn = rows.select(*by, F.col(value).alias("_v"), F.col(key).alias("_k")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("w", poisson_weight(seed, "b", "_k")).where("w > 0")
+    drawn = resampled(rows.select(*by, F.col(value).alias("_v"), F.col(key).alias("_k")), times, seed, "_k")
     each = drawn.groupBy(*by, "b").agg((F.sum(F.expr("w * _v")) / F.sum("w")).alias("value"))
     enough = rows.groupBy(*by).agg(F.count("*").alias("_n"))
     out = enough.join(_interval(each, by), list(by), "left")
