@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,9 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="gatelake-")
         spark.sparkContext.setCheckpointDir(found)
-    if "://" not in found:
-        found = found if ":" in found.split("/")[0] else "file://" + found
-    return found.rstrip("/")
+    # a path without a scheme is one of the cluster's default file system
+    at = spark._jvm.org.apache.hadoop.fs.Path(found)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", whole).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import re
 import struct
 import uuid
 import zlib
@@ -325,7 +326,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, width: int = 2) ->
         from pyarrow import fs
         from pyspark import TaskContext
 
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = fs.FileSystem.from_uri(_uri(folder))
         store.create_dir(base, recursive=True)
         shard = TaskContext.get().partitionId()
         name = f"{base}/{shard:06d}-{uuid.uuid4().hex}.sst"
@@ -351,10 +352,15 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, width: int = 2) ->
     return ranged.select("doc_id", "text").transform(shared.arrow, run, MANIFEST)
 
 
+def _uri(path: str) -> str:
+    """Hadoop's name of a store as Arrow knows it."""
+    return re.sub(r"^s3[an]://", "s3://", path)
+
+
 def open_shard(path: str) -> Reader:
     from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(path)
+    store, at = fs.FileSystem.from_uri(_uri(path))
     file = store.open_input_file(at)
     return Reader(file, file.size())
 
