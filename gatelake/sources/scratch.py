@@ -10,4 +10,4 @@ from pyspark.sql import SparkSession
 
 def folder(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base if '://' in base else 'file://' + base}/gatelake-{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/gatelake-{name}-{uuid.uuid4().hex}"
