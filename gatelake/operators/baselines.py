@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gatelake.functions import scalars
 from gatelake.operators import metrics
+from gatelake.sources import scratch
 
 LIVE_SHARE = 0.05
 
@@ -111,7 +112,7 @@ def strata(rows: DataFrame) -> DataFrame:
 def scores(rows: DataFrame, predictors: Sequence[str]) -> DataFrame:
     """Errors and rank correlation of each predictor in each stratum."""
     held = strata(rows).select("stratum", "target", *predictors)
-    long = held.unpivot(["stratum", "target"], list(predictors), "predictor", "prediction")
+    long = scratch.kept(held.unpivot(["stratum", "target"], list(predictors), "predictor", "prediction"), "scores")
     by = ["predictor", "stratum"]
     ranks = metrics.spearman(long, by)
     return metrics.errors(long, by).join(ranks, by, "left")

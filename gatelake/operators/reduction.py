@@ -82,9 +82,7 @@ def pagerank_rounds(nodes: DataFrame, edges: DataFrame, rounds: int, damping: fl
     state = nodes.select("graph_id", "node_id").join(out, ["graph_id", "node_id"], "left").withColumn("n", F.count("*").over(w)).withColumn("rank", 1.0 / F.col("n"))
     for i in range(rounds):
         if i and i % 3 == 0:
-            path = scratch.folder(nodes.sparkSession, "pagerank")
-            state.write.parquet(path)
-            state = nodes.sparkSession.read.schema(state.schema).parquet(path)
+            state = scratch.kept(state, "pagerank")
         sent = state.where("out is not null").select("graph_id", F.col("node_id").alias("src"), (F.col("rank") / F.col("out")).alias("share"))
         got = links.join(sent, ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.sum("share").alias("got"))
         dead = F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).over(w) / F.col("n")
