@@ -150,7 +150,8 @@ def _automaton(key: tuple, items: list, window: int) -> Automaton:
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, list[bytes]]]]:
     """Words of the items, in blocks of at most BLOCK_WORDS words (or one item), read to the driver one after another."""
     block, size = [], 0
-    for row in benchmark.select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
+    # one partition, or each of the sorted ones would be a job of its own
+    for row in benchmark.select("item_id", "text").distinct().orderBy("item_id", "text").coalesce(1).toLocalIterator():
         words = tx.words_of(row.text, tx.ALNUM)
         if words:
             if block and size + len(words) > BLOCK_WORDS:
