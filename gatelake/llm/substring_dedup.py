@@ -79,6 +79,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     lists = docs.select(rank.alias("rank"), key.alias("text_key"), "text").transform(shared.arrow, run, "rank long, text_key long, digests array<long>")
     units = lists.select("rank", "text_key", F.explode("digests").alias("digest"))
     earliest = units.groupBy("digest").agg(F.min("rank").alias("earliest"), F.max("rank").alias("latest")).where("earliest != latest").select("digest", "earliest")
+    earliest, _ = shared.written(earliest, "earliest")  # not an aggregate any more, so Spark can split a hot digest's join
     later = units.join(earliest, "digest").where("rank != earliest")
     return later.groupBy("rank", "text_key").agg(F.collect_set("digest").alias("digests"))
 
