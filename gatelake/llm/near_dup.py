@@ -96,12 +96,15 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").transform(shared.arrow, run, SKETCH)
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(node, left, right): the keys of each collection that another class has too, where both sides have some."""
+def _candidates(classes: DataFrame) -> tuple[DataFrame, str]:
+    """(node, left, right): the keys of each collection that another class has too, where both sides have some; and a
+    written table. What is joined back to rows of a hot key is written first: Spark splits a join's hot partition only
+    where both sides come from a shuffle, and not from an aggregate, and broadcasts a side that is small."""
     keys = classes.select("node", F.posexplode("keys").alias("slot", "key"))
     common = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("key")
+    common, path = shared.written(common, "common-keys")
     side = lambda wanted: F.collect_list(F.when((F.col("slot") < SIDE) == F.lit(wanted), F.col("key")))
-    return keys.join(common, "key").groupBy("node").agg(side(True).alias("left"), side(False).alias("right")).where("size(left) > 0 and size(right) > 0")
+    return keys.join(common, "key").groupBy("node").agg(side(True).alias("left"), side(False).alias("right")).where("size(left) > 0 and size(right) > 0"), path
 
 
 def _tables(candidates: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -145,16 +148,17 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_a.select("a", "b", "text_a", "text_b").transform(shared.arrow, run, "u long, v long")
 
 
-def _mixed(tables: DataFrame, *more: Column) -> DataFrame:
-    """Buckets that hold several components."""
-    return tables.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *more).where("low != high").drop("low", "high")
+def _mixed(tables: DataFrame, *more: Column) -> tuple[DataFrame, str]:
+    """Buckets that hold several components, written."""
+    return shared.written(tables.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *more).where("low != high").drop("low", "high"), "mixed")
 
 
-def _star(tables: DataFrame, turn: int) -> DataFrame:
-    """Pairs of one centre of each bucket with the members of other components."""
+def _star(tables: DataFrame, turn: int) -> tuple[DataFrame, str]:
+    """Pairs of one centre of each bucket with the members of other components; and a written table."""
     centre = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), F.col("node").alias("a"), F.col("root").alias("of"))).alias("centre")
-    stars = tables.join(_mixed(tables, centre).select("bucket", "centre.a", "centre.of"), "bucket").where("root != of")
-    return stars.select("a", F.col("node").alias("b")).distinct()
+    mixed, path = _mixed(tables, centre)
+    stars = tables.join(mixed.select("bucket", "centre.a", "centre.of"), "bucket").where("root != of")
+    return stars.select("a", F.col("node").alias("b")).distinct(), path
 
 
 def _across(nodes: DataFrame, labels: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -173,7 +177,7 @@ def _across(nodes: DataFrame, labels: DataFrame, texts: DataFrame) -> tuple[Data
 
     sets, at_sets = shared.written(texts.join(nodes, "node", "left_semi").select("node", "text").transform(shared.arrow, run, "node long, shingles array<long>"), "sets")
     every = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    spread = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    spread, at_spread = shared.written(every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shingles")
     ranked = every.join(spread, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
     alone = F.col("size") - F.size("ranked")
     prefix = F.greatest(F.lit(0), F.floor(F.col("size") * (100 - PERCENT) / 100) + 1 - alone).cast("int")
@@ -182,19 +186,21 @@ def _across(nodes: DataFrame, labels: DataFrame, texts: DataFrame) -> tuple[Data
     rows, at_rows = shared.written(rows, "prefixes")
     by_root = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.min("size").alias("size"))
     top = by_root.groupBy("shingle").agg(F.max_by("root", "n").alias("top"), F.min("size").alias("smallest"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    top, at_top = shared.written(top, "top-roots")
     room = F.col("size") - F.col("place")
     enough = lambda left, a, b: (100 + PERCENT) * left >= PERCENT * (a + b)
     outside = rows.join(top, "shingle").where(F.col("root") != F.col("top")).where(enough(room, F.col("size"), F.col("smallest"))).select("shingle", "node", "root", "size", room.alias("room"))
     other = rows.select("shingle", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), room.alias("room_b"))
     pairs = outside.join(other, "shingle").where(F.col("root") != F.col("root_b")).where(enough(F.least("room", "room_b"), F.col("size"), F.col("size_b")))
-    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), [at_sets, at_rows]
+    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), [at_sets, at_spread, at_rows, at_top]
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root) of the classes that are linked with another."""
     spark = docs.sparkSession
-    candidates, path = shared.written(_candidates(classes), "candidates")
-    paths = [path]
+    found, at_common = _candidates(classes)
+    candidates, path = shared.written(found, "candidates")
+    paths = [at_common, path]
     owners = candidates.select("node").join(classes.select("node", "doc_id", "text_key"), "node")
     # the class's smallest document; the digest of its text tells apart rows that share a doc_id
     held = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").join(owners, ["doc_id", "text_key"])
@@ -204,10 +210,12 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     for turn in range(STARS + 1):
         if turn == 1:  # from here on only buckets that a star has not made one component
             tables = _tables(candidates, labels)
-            still, path = shared.written(tables.join(_mixed(tables), "bucket").select("bucket", "node"), "buckets")
-            paths.append(path)
+            mixed, at_mixed = _mixed(tables)
+            still, path = shared.written(tables.join(mixed, "bucket").select("bucket", "node"), "buckets")
+            paths += [at_mixed, path]
         if turn < STARS:
-            pairs = _star(_rooted(still, labels) if turn else _tables(candidates, None), turn)
+            pairs, path = _star(_rooted(still, labels) if turn else _tables(candidates, None), turn)
+            paths.append(path)
         else:
             pairs, more = _across(still.select("node").distinct(), labels, texts)
             paths += more
