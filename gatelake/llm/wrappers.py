@@ -7,11 +7,12 @@ becomes an optional group, and equal neighbours fold into a repeated group. Page
 of their host (partial counts before the shuffle); rows are then merged in buckets of about BUCKET, and bucket
 wrappers again, until a host has one. So a host with a third of all pages is no single task's work.
 
-The wrapper's slots are judged with the text that its pages put there: where it has an article (or main) element, the
-slots inside are content; else the container that holds most text outside links. Slots inside menus, headers and
-footers of the page, sidebars, notices, adverts, forms, comments and the like are never content. A page's main text is
-what it has in the content slots of its host's wrapper: references decoded, white space of a block turned into one space,
-blocks joined by a line break in page order.
+Each distinct token row is then parsed with its host's wrapper, so each of its texts has a slot: a place in the wrapper, in
+or outside its optional and repeated groups, and the containers there. The slots are judged with the text that all pages of
+the host put there: where a token row has an article (or main) element, the slots inside are content; else the container that
+holds most text outside links. Slots inside menus, headers and footers of the page, sidebars, notices, adverts, forms,
+comments and the like are never content. A page's main text is what it has in the content slots of its token row:
+references decoded, white space of a block turned into one space, blocks joined by a line break in page order.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own (the empty one); a page that
 is cut off is read as far as it goes; repeated rows give a row each; an empty table gives an empty table; only page_id,
@@ -21,6 +22,7 @@ url and html are read.
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html as entities
 import json
 import re
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from gatelake.llm import shared
 
 BUCKET = 256
-#: Wrappers of all hosts are broadcast up to so many bytes, and joined by host beyond.
+#: Content slots of all token rows are broadcast up to so many bytes, and joined by host and row beyond.
 BROADCAST_BYTES = 32 << 20
 
 #: Elements whose content is never text.
@@ -78,11 +80,12 @@ def _is_chrome(label: str, inside_article: bool) -> bool:
 
 
 class Page:
-    """Tokens of a page, and its blocks: (path of containers, text, characters inside links)."""
+    """Tokens of a page, and its blocks: (path of containers, text, characters inside links), with the token each is in."""
 
     def __init__(self, source: str):
         self.tokens: list[str] = []
         self.blocks: list[tuple[str, str, int]] = []
+        self.places: list[int] = []
         self.stack: list[str] = []
         self.parts: list[str] = []
         self.links = 0
@@ -126,6 +129,7 @@ class Page:
                 self.blocks.append((">".join(self.stack), text, min(self.links, len(text))))
                 if not self.tokens or self.tokens[-1] != TEXT:
                     self.tokens.append(TEXT)
+                self.places.append(len(self.tokens) - 1)
             self.parts, self.links = [], 0
 
     def _container(self, name: str, attributes: str, closing: bool) -> None:
@@ -204,18 +208,26 @@ def _bare(element: list) -> str:
     return "(" + " ".join(map(_bare, element[1])) + ")"
 
 
+def _core(element: list) -> tuple[bool, bool, list]:
+    """Whether an element is optional and repeated, and the elements that its quantifiers hold."""
+    optional = repeated = False
+    while element[0] != "t":
+        optional, repeated = optional or element[0] == "?", repeated or element[0] == "+"
+        if len(element[1]) > 1:
+            return optional, repeated, element[1]
+        element = element[1][0]
+    return optional, repeated, [element]
+
+
 def _both(a: list, b: list) -> list:
     """What matches either of two elements that are alike but for quantifiers."""
-    kinds = {a[0], b[0]}
-    inner = a[1] if a[0] != "t" else b[1] if b[0] != "t" else None
-    if inner is None:
+    if a[0] == b[0] == "t":
         return a
-    if a[0] != "t" and b[0] != "t" and len(a[1]) == len(b[1]):
-        inner = [_both(x, y) for x, y in zip(a[1], b[1], strict=True)]
-    if "+" in kinds and "?" in kinds:
-        core = inner[0][1] if len(inner) == 1 and inner[0][0] == "+" else inner
-        return ["?", [["+", core]]]
-    return ["+" if "+" in kinds else "?", inner]
+    (maybe, many, left), (maybe_b, many_b, right) = _core(a), _core(b)
+    inner = [_both(x, y) for x, y in zip(left, right, strict=True)]
+    if many or many_b:
+        inner = [["+", inner]]
+    return ["?", inner] if maybe or maybe_b else inner[0] if len(inner) == 1 else ["+", inner]
 
 
 def merge(a: list, b: list) -> list:
@@ -234,66 +246,127 @@ def as_regex(wrapper: list) -> str:
     return " ".join(e[1] if e[0] == "t" else f"({as_regex(e[1])}){e[0]}" for e in wrapper)
 
 
-def slots(wrapper: list, stack: list[str] | None = None, found: set[str] | None = None) -> set[str]:
-    """Container paths of a wrapper's text slots."""
-    stack, found = [] if stack is None else stack, set() if found is None else found
-    for kind, value in wrapper:
-        if kind != "t":
-            slots(value, stack, found)
-        elif value == TEXT:
-            found.add(">".join(stack))
-        elif value[0] == "<":
-            stack.append(value[1:])
-        elif value[1:] in stack:
-            while stack.pop() != value[1:]:
-                pass
-    return found
+def program(wrapper: list) -> list[tuple]:
+    """A wrapper as steps: ("t", token), or ("|", step, step) that goes on at either step, the first one first."""
+    steps: list[tuple] = []
+
+    def add(elements: list) -> None:
+        for kind, value in elements:
+            at = len(steps)
+            if kind == "t":
+                steps.append(("t", value))
+                continue
+            if kind == "?":
+                steps.append(())
+            add(value)
+            if kind == "?":
+                steps[at] = ("|", at + 1, len(steps))
+            else:
+                steps.append(("|", at, len(steps) + 1))
 
+    add(wrapper)
+    return steps
 
-def content_slots(wrapper: list, weights: dict[str, tuple[int, int]]) -> list[str]:
-    """The slots that hold the article; ``weights`` has the characters and the linked characters of each path."""
 
-    def article(path: str) -> bool:
-        return any(x.split(".")[0] in ("article", "main") for x in path.split(">"))
+def parse(steps: list[tuple], tokens: list[str]) -> list[int] | None:
+    """The steps that a token row's texts match, or None if the wrapper does not match the row. All ways through the
+    wrapper are followed side by side, each step once a token, so time is bounded by tokens times steps."""
 
-    def chrome(path: str) -> bool:
+    def reach(step: int, trail: tuple | None, ways: list, seen: set[int]) -> None:
+        todo = [step]
+        while todo:
+            step = todo.pop()
+            if step in seen:
+                continue
+            seen.add(step)
+            if step < len(steps) and steps[step][0] == "|":
+                todo += (steps[step][2], steps[step][1])
+            else:
+                ways.append((step, trail))
+
+    ways: list = []
+    reach(0, None, ways, set())
+    for token in tokens:
+        after: list = []
+        seen: set[int] = set()
+        for step, trail in ways:
+            if step < len(steps) and steps[step][1] == token:
+                reach(step + 1, (trail, step) if token == TEXT else trail, after, seen)
+        ways = after
+    for step, trail in ways:
+        if step == len(steps):
+            found = []
+            while trail:
+                trail, at = trail
+                found.append(at)
+            return found[::-1]
+    return None
+
+
+def containers(tokens: list[str]) -> dict[int, list[tuple[int, str]]]:
+    """For each text of a token row the open containers around it: (place of the start tag, label)."""
+    stack: list[tuple[int, str]] = []
+    found = {}
+    for i, token in enumerate(tokens):
+        if token == TEXT:
+            found[i] = list(stack)
+        elif token[0] == "<":
+            stack.append((i, token[1:]))
+        else:
+            stack.pop()
+    return found
+
+
+def content_slots(tokens: list[str], weights: dict[int, tuple[float, float]]) -> list[int]:
+    """The texts of a token row that hold the article; ``weights`` has the characters and the linked characters that the
+    host's pages have in the slot of each text."""
+
+    def chrome(chain: list[tuple[int, str]]) -> bool:
         inside = False
-        for label in path.split(">"):
-            if label and _is_chrome(label, inside):
+        for _, label in chain:
+            if _is_chrome(label, inside):
                 return True
             inside = inside or label.split(".")[0] in ("article", "main")
         return False
 
-    paths = sorted(p for p in slots(wrapper) | set(weights) if not chrome(p))
-    inside = [p for p in paths if article(p)]
-    if inside:
-        mains = [p for p in inside if any(x.split(".")[0] == "article" for x in p.split(">"))]
-        return mains or inside
-    if not paths:
+    chains = {at: chain for at, chain in containers(tokens).items() if not chrome(chain)}
+    for name in ("article", "main"):
+        inside = [at for at, chain in chains.items() if any(x.split(".")[0] == name for _, x in chain)]
+        if inside:
+            return inside
+    if not chains:
         return []
-    plain = {p: max(0, weights.get(p, (0, 0))[0] - 2 * weights.get(p, (0, 0))[1]) for p in paths}
-    best = max(paths, key=lambda p: (plain[p], p))
-    return [p for p in paths if p == best or p.startswith(best + ">") and plain[p] > 0]
+    plain = {at: max(0, weights[at][0] - 2 * weights[at][1]) for at in chains}
+    held: dict[tuple, float] = {}
+    for at, chain in chains.items():
+        held[tuple(chain)] = held.get(tuple(chain), 0) + plain[at]
+    best = max(held, key=lambda chain: (held[chain], chain))
+    return [at for at, chain in chains.items() if tuple(chain[: len(best)]) == best and plain[at] > 0]
+
+
+def _shape(tokens: list[str]) -> str:
+    return hashlib.blake2b(" ".join(tokens).encode(), digest_size=16).hexdigest()
 
 
 def token_rows(pages: DataFrame) -> DataFrame:
-    """(host, row, weights) of every page: its folded token row and characters by path, as JSON."""
+    """(host, shape, row, weights) of every page: its token row, a digest of it, and the characters of each of its texts."""
 
     def run(batches):
         for batch in batches:
-            hosts, rows, weights = [], [], []
+            hosts, shapes, rows, weights = [], [], [], []
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 page, held = Page(source or ""), {}
-                for path, text, linked in page.blocks:
-                    chars, links = held.get(path, (0, 0))
-                    held[path] = (chars + len(text), links + linked)
+                for at, (_, text, linked) in zip(page.places, page.blocks, strict=True):
+                    chars, links = held.get(at, (0, 0))
+                    held[at] = (chars + len(text), links + linked)
                 hosts.append(host_of(url))
-                rows.append(json.dumps(row_of(page.tokens)))
-                weights.append([{"path": p, "chars": c, "links": n} for p, (c, n) in held.items()])
-            kind = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("links", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(rows, pa.string()), pa.array(weights, kind)], names=["host", "row", "weights"])
+                shapes.append(_shape(page.tokens))
+                rows.append(" ".join(page.tokens))
+                weights.append([{"at": at, "chars": c, "links": n} for at, (c, n) in held.items()])
+            kind = pa.list_(pa.struct([("at", pa.int32()), ("chars", pa.int64()), ("links", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(shapes, pa.string()), pa.array(rows, pa.string()), pa.array(weights, kind)], names=["host", "shape", "row", "weights"])
 
-    return pages.select("url", "html").transform(shared.arrow, run, "host string, row string, weights array<struct<path:string,chars:long,links:long>>")
+    return pages.select("url", "html").transform(shared.arrow, run, "host string, shape string, row string, weights array<struct<at:int,chars:long,links:long>>")
 
 
 def _merged(group: pd.DataFrame) -> pd.DataFrame:
@@ -304,50 +377,110 @@ def _merged(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [group["host"].iloc[0]], "row": [json.dumps(wrapper)]})
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, content): each host's wrapper as a regular expression, and the paths of its content slots."""
-    rows, path = shared.written(token_rows(pages), "token-rows")
-    level, at = shared.written(rows.select("host", "row").distinct(), "wrapper-rows")
-    paths = [path, at]
+def _folded(batches):
+    for batch in batches:
+        rows = [json.dumps(row_of(row.split())) for row in batch.column("row").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(rows, pa.string())], names=["host", "row"])
+
+
+def _inferred(shapes: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(host, row): each host's wrapper as JSON, from its distinct token rows; and written tables."""
+    level, at = shared.written(shapes.select("host", "row").transform(shared.arrow, _folded, "host string, row string").distinct(), "wrapper-rows")
+    paths = [at]
     while level.groupBy("host").count().where("count > 1").take(1):
         sizes = level.groupBy("host").agg(F.ceil(F.count("*") / BUCKET).alias("buckets"))
         dealt = level.join(sizes, "host").withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets")))
         level, at = shared.written(dealt.select("host", "bucket", "row").groupBy("host", "bucket").applyInPandas(_merged, "host string, row string"), "wrapper-rows")
         paths.append(at)
-    weights = rows.select("host", F.inline("weights")).groupBy("host", "path").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    by_host = weights.groupBy("host").agg(F.collect_list(F.struct("path", "chars", "links")).alias("weights"))
+    return level, paths
 
-    def judge(batches):
+
+def _shapes(rows: DataFrame) -> tuple[DataFrame, str]:
+    """(host, shape, row): the distinct token rows, written."""
+    return shared.written(rows.groupBy("host", "shape").agg(F.first("row").alias("row")), "shapes")
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper): each host's wrapper as a regular expression."""
+
+    def run(batches):
         for batch in batches:
-            regexes, content = [], []
-            for row, held in zip(batch.column("row").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-                wrapper = json.loads(row) or []
-                regexes.append(as_regex(wrapper))
-                content.append(content_slots(wrapper, {x["path"]: (x["chars"], x["links"]) for x in held or ()}))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(regexes, pa.string()), pa.array(content, pa.list_(pa.string()))], names=["host", "wrapper", "content"])
-
-    out, _ = shared.written(level.join(by_host, "host", "left").select("host", "row", "weights").transform(shared.arrow, judge, "host string, wrapper string, content array<string>"), "wrappers")
-    shared.remove(pages.sparkSession, *paths)
+            regexes = [as_regex(json.loads(row)) for row in batch.column("row").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(regexes, pa.string())], names=["host", "wrapper"])
+
+    shapes, at = _shapes(token_rows(pages))
+    level, paths = _inferred(shapes)
+    out, _ = shared.written(level.transform(shared.arrow, run, "host string, wrapper string"), "wrappers")
+    shared.remove(pages.sparkSession, at, *paths)
     return out
 
 
-REPORT = "page_id long, url string, text string, n_chars long"
+SLOTS = "host string, shape string, at int, slot int, path string"
+
+
+def _parsed(batches):
+    last, steps = None, []
+    for batch in batches:
+        out: list[tuple] = []
+        for host, shape, row, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "shape", "row", "wrapper")), strict=True):
+            if wrapper != last:
+                last, steps = wrapper, program(json.loads(wrapper))
+            tokens = row.split()
+            chains = containers(tokens)
+            # a wrapper matches all rows it was merged from; without a match a slot would be its containers alone
+            found = parse(steps, tokens) or [-1] * len(chains)
+            out += [(host, shape, at, slot, ">".join(label for _, label in chain)) for (at, chain), slot in zip(chains.items(), found, strict=True)]
+        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=[x.split()[0] for x in SLOTS.split(", ")])
+
+
+def _judged(batches):
+    for batch in batches:
+        keep = []
+        for row, held in zip(batch.column("row").to_pylist(), batch.column("weights").to_pylist(), strict=True):
+            keep.append(content_slots(row.split(), {x["at"]: (x["chars"], x["links"]) for x in held}))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape"), pa.array(keep, pa.list_(pa.int32()))], names=["host", "shape", "keep"])
+
+
+def plans(pages: DataFrame) -> DataFrame:
+    """(host, shape, keep): the texts of each distinct token row that are in content slots of its host's wrapper."""
+    rows, path = shared.written(token_rows(pages), "token-rows")
+    shapes, at_shapes = _shapes(rows)
+    level, paths = _inferred(shapes)
+    parsed = shapes.join(level.select("host", F.col("row").alias("wrapper")), "host").transform(shared.arrow, _parsed, SLOTS)
+    parsed, at_slots = shared.written(parsed, "slots")
+    weights = rows.select("host", "shape", F.inline("weights")).groupBy("host", "shape", "at").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.count("*").alias("n"))
+    # characters of a slot are a mean over the texts there, so the turns of a repeated group don't count by their number
+    mean = lambda c: (F.sum(c) / F.sum("n")).alias(c)
+    pooled, at_pooled = shared.written(parsed.join(weights, ["host", "shape", "at"]).groupBy("host", "slot", "path").agg(mean("chars"), mean("links")), "pooled")
+    held = parsed.join(pooled, ["host", "slot", "path"]).groupBy("host", "shape").agg(F.collect_list(F.struct("at", "chars", "links")).alias("weights"))
+    judged = shapes.join(held, ["host", "shape"]).transform(shared.arrow, _judged, "host string, shape string, keep array<int>")
+    out, _ = shared.written(judged, "plans")
+    shared.remove(pages.sparkSession, path, at_shapes, at_slots, at_pooled, *paths)
+    return out
+
+
+BLOCKS_OF = "page_id long, url string, host string, shape string, blocks array<struct<at:int,text:string>>"
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """The main text of every page by its host's wrapper."""
+    """The main text of every page by its host's wrapper: (page_id, url, text, n_chars)."""
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for source, content in zip(batch.column("html").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                wanted = set(content or ())
-                texts.append("\n".join(text for path, text, _ in Page(source or "").blocks if path in wanted))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    plans = wrappers(pages).select("host", "content")
-    size = plans.agg(F.sum(F.length("host") + F.length(F.concat_ws("", "content")) + 64)).first()[0] or 0
-    plans = F.broadcast(plans) if size <= BROADCAST_BYTES else plans
-    host = F.coalesce(F.lower(F.regexp_extract("url", _HOST.pattern.replace("^", "(?i)^", 1), 1)), F.lit(""))
-    keyed = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host"))
-    return keyed.join(plans, "host", "left").select("page_id", "url", "html", "content").transform(shared.arrow, run, REPORT)
+            hosts, shapes, blocks = [], [], []
+            for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                page = Page(source or "")
+                hosts.append(host_of(url))
+                shapes.append(_shape(page.tokens))
+                blocks.append([{"at": at, "text": text} for at, (_, text, _) in zip(page.places, page.blocks, strict=True)])
+            kind = pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())]))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(shapes, pa.string()), pa.array(blocks, kind)], names=[x.split()[0] for x in BLOCKS_OF.split(", ")])
+
+    found = plans(pages)
+    size = found.agg(F.sum(F.length("host") + 4 * F.size("keep") + 64)).first()[0] or 0
+    found = F.broadcast(found) if size <= BROADCAST_BYTES else found
+    cut = pages.select(F.col("page_id").cast("long"), "url", "html").transform(shared.arrow, run, BLOCKS_OF)
+    kept = F.filter("blocks", lambda block: F.array_contains(F.coalesce("keep", F.array().cast("array<int>")), block["at"]))
+    text = F.array_join(F.transform(kept, lambda block: block["text"]), "\n")
+    return cut.join(found, ["host", "shape"], "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

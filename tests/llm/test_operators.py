@@ -363,6 +363,27 @@ def test_hosts_are_merged_in_rounds(spark, monkeypatch):
     assert all(r.text.endswith(f"Text {r.page_id}") for r in wrappers.extract(pages).collect())
 
 
+def test_slots_are_places_in_the_wrapper(spark):
+    """A list of links has the containers of the story but another place in the wrapper, and is no content."""
+    menu, story = "<div>{}</div>".format("<a href=x>go</a> " * 3 + "go"), "<div><p>Story {} is told here at some length.</p></div>"
+    pages = spark.createDataFrame([(i, "http://slots.example/", f"<html><body>{menu}<section><p>An aside</p></section>{story.format(i)}</body></html>") for i in range(4)], "page_id long, url string, html string")
+    assert [r.text for r in wrappers.extract(pages).orderBy("page_id").collect()] == [f"Story {i} is told here at some length." for i in range(4)]
+
+
+def test_wrappers_parse_the_rows_they_come_from():
+    draw = random.Random(17)
+    for _ in range(150):
+        pages = ["".join(f"<{t}>{'x' * draw.randint(0, 1)}</{t}>" for t in draw.choices(["div", "ul", "section"], k=draw.randint(0, 7))) for _ in range(draw.randint(1, 6))]
+        tokens = [wrappers.Page(p).tokens for p in pages]
+        wrapper = wrappers.row_of(tokens[0])
+        for row in tokens[1:]:
+            wrapper = wrappers.merge(wrapper, wrappers.row_of(row))
+        for row in tokens:
+            found = wrappers.parse(wrappers.program(wrapper), row)
+            assert found is not None and len(found) == row.count(wrappers.TEXT)
+    assert wrappers.parse(wrappers.program(wrappers.row_of(["<div", ">div"])), ["<ul", ">ul"]) is None
+
+
 def test_references_and_space():
     assert wrappers.Page("<p>a&nbsp;&lt;b&gt;\n &eacute;&#233;</p>").blocks == [("", "a <b> éé", 0)]
     assert html.unescape("&eacute;") == "é"
