@@ -7,9 +7,8 @@ diagonal, neighbouring diagonals of a template (up to SLACK words inserted or le
 spans are verified on the words themselves.
 
 Base phrases must stand word by word, so one diagonal has to hold all their grams. Passages of known licenses
-may differ: a span counts if, word for word along its diagonals, at least COVER of the template's words are there
-and at least COMMON of its grams stand in the document. A
-label scores its verified share of the template; a document scores its best label.
+may differ: a span counts if, word for word along its diagonals, at least COVER of the template's words are there. Only
+texts that can't have such a span, by their grams and words in any order, are not sent on to the verification. A label scores its verified share of the template; a document scores its best label.
 
 Defined results: null and empty texts have no words, null first and last words, empty labels and score 0; a null doc_id
 stays null; repeated rows give a row each; an empty table gives an empty table; only doc_id and text are read.
@@ -28,8 +27,6 @@ from gatelake.llm import text as tx
 K = 2
 SLACK = 2
 COVER = 0.7
-#: Share of a passage's grams that must stand in a document before its spans are verified.
-COMMON = 0.5
 
 #: The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -53,9 +50,13 @@ _SENTINEL = 0
 SCAN = "doc_id long, text_key long, n_words long, text string, grams array<long>"
 
 
-def _grams_of(words: list[str]) -> list[int]:
+def _words_of(words: list[str]) -> tx.Words:
     data = " ".join(words).encode()
-    return tx.Words(data, np.array([0, len(data)]), tx.ALNUM).grams(K).view(np.int64).tolist()
+    return tx.Words(data, np.array([0, len(data)]), tx.ALNUM)
+
+
+def _grams_of(words: list[str]) -> list[int]:
+    return _words_of(words).grams(K).view(np.int64).tolist()
 
 
 def _places(spark) -> DataFrame:
@@ -64,15 +65,25 @@ def _places(spark) -> DataFrame:
 
 
 def grams(docs: DataFrame) -> DataFrame:
-    """For each document a row with all its rolling grams, and a row with the sentinel, its count of words and, if any
-    template has enough of its grams there, its text for the verification."""
-    sets = [(set(g := _grams_of(words)), len(set(g)) if exact else COMMON * len(set(g))) for words, _, exact in TEMPLATES]
-    wanted = np.array(sorted(set().union(*(grams for grams, _ in sets))), np.int64)
-
-    def enough(found: np.ndarray) -> bool:
-        """Whether some template has enough of its grams in a document for a span to be verified."""
-        held = set(found.tolist())
-        return any(len(held & grams) >= least for grams, least in sets)
+    """For each document a row with all its rolling grams, and a row with the sentinel, its count of words and, if a span
+    of some template may stand there, its text for the verification."""
+    sets = [(set(_grams_of(words)), _words_of(words).hashes.tolist(), exact) for words, _, exact in TEMPLATES]
+    wanted = np.array(sorted(set().union(*(grams for grams, _, _ in sets))), np.int64)
+    known = np.array(sorted(set().union(*(hashes for _, hashes, exact in sets if not exact))), np.uint64)
+
+    def enough(found: np.ndarray, said: np.ndarray) -> bool:
+        """Whether a span of some template can be verified: a base phrase needs all its grams, a passage a vote and COVER
+        of its words, wherever they stand."""
+        held, words = set(found.tolist()), None
+        for grams, hashes, exact in sets:
+            if exact:
+                if grams <= held:
+                    return True
+            elif not grams.isdisjoint(held):
+                words = set(said.tolist()) if words is None else words
+                if sum(h in words for h in hashes) >= COVER * len(hashes):
+                    return True
+        return False
 
     def run(batches):
         for batch in batches:
@@ -80,6 +91,7 @@ def grams(docs: DataFrame) -> DataFrame:
                 words = tx.Words(data, bounds, tx.ALNUM)
                 every = words.grams(K).view(np.int64)
                 hit = np.isin(every, wanted)
+                spoken = np.isin(words.hashes, known)
                 some = np.zeros(len(every) + 1, np.int64)
                 np.cumsum(hit, out=some[1:])
                 first, n = words.first, len(every)
@@ -88,7 +100,8 @@ def grams(docs: DataFrame) -> DataFrame:
                 opens = np.minimum(first[:-1], n)
                 texts = [None] * (hi - lo)
                 for i in np.flatnonzero(hits):
-                    if enough(every[opens[i] : ends[i]][hit[opens[i] : ends[i]]]):
+                    own = slice(first[i], first[i + 1])
+                    if enough(every[opens[i] : ends[i]][hit[opens[i] : ends[i]]], words.hashes[own][spoken[own]]):
                         texts[i] = data[bounds[i] : bounds[i + 1]].decode("utf-8")
                 part = batch.slice(lo, hi - lo)
                 rows = len(part)

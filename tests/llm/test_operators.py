@@ -477,6 +477,29 @@ def test_base_phrases_and_labels(spark, odd, empty):
     assert len(licenses.report(odd).collect()) == odd.count()
 
 
+def test_passages_with_scattered_changes_keep_their_labels(spark):
+    """What the verification accepts on all diagonals of a text is not left out before it, whatever else the text says."""
+    draw, texts = random.Random(19), []
+    for passage in licenses.PASSAGES:
+        w = passage.split()
+        most = len(w) - math.ceil(licenses.COVER * len(w))
+        for at in [list(range(1, len(w) - 1, 2))[:most], list(range(1, len(w) - 1, 3))[:most], sorted(draw.sample(range(len(w)), most))]:
+            changed = ["zzz" if i in at else x for i, x in enumerate(w)]
+            texts += [" ".join(changed), " ".join(f"{x} qqq" if i % 3 == 1 else x for i, x in enumerate(w)), prose(30, len(texts)) + " " + " ".join(changed)]
+    assert sum("zzz" in t for t in texts) > 30
+    texts += [f"{t} mit license" for t in texts]
+    places = [(number, q, tuple(w[q : q + 2])) for number, (w, _, _) in enumerate(licenses.TEMPLATES) for q in range(len(w) - 1)]
+    for r in licenses.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        w = words(texts[r.doc_id], ALNUM)
+        found = {}
+        for number, q, gram in places:
+            for i in range(len(w) - 1):
+                if tuple(w[i : i + 2]) == gram:
+                    found[number, i - q] = found.get((number, i - q), 0) + 1
+        _, _, labels, score = licenses.verify(w, [(number, d, n) for (number, d), n in found.items()])
+        assert (r.labels, r.score) == (",".join(sorted(labels)), score), texts[r.doc_id]
+
+
 # 10: quality
 
 
