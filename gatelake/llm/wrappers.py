@@ -10,7 +10,8 @@ wrappers again, until a host has one. So a host with a third of all pages is no
 Each distinct token row is then parsed with its host's wrapper, so each of its texts has a slot: a place in the wrapper, in
 or outside its optional and repeated groups, and the containers there. The slots are judged with the text that all pages of
 the host put there: where a token row has an article (or main) element, the slots inside are content; else the container that
-holds most text outside links. Slots inside menus, headers and footers of the page, sidebars, notices, adverts, forms,
+holds most text outside links, with its ancestors below body while they add enough to it, and all texts elsewhere
+that are not mostly links. Token rows are judged one by one, so templates of a host don't exclude one another. Slots inside menus, headers and footers of the page, sidebars, notices, adverts, forms,
 comments and the like are never content. A page's main text is what it has in the content slots of its token row:
 references decoded, white space of a block turned into one space, blocks joined by a line break in page order.
 
@@ -38,6 +39,9 @@ BUCKET = 256
 #: Content slots of all token rows are broadcast up to so many bytes, and joined by host and row beyond.
 BROADCAST_BYTES = 32 << 20
 
+#: An ancestor of the heaviest container that adds this share of its text is the article's container.
+ADDS = 0.2
+
 #: Elements whose content is never text.
 SILENT = {"script", "style", "noscript", "template", "iframe", "svg", "object", "canvas", "head", "title", "select", "textarea", "button", "math", "audio", "video"}
 #: Elements around content that is not the article.
@@ -337,11 +341,19 @@ def content_slots(tokens: list[str], weights: dict[int, tuple[float, float]]) ->
     if not chains:
         return []
     plain = {at: max(0, weights[at][0] - 2 * weights[at][1]) for at in chains}
+    own: dict[tuple, float] = {}
     held: dict[tuple, float] = {}
     for at, chain in chains.items():
-        held[tuple(chain)] = held.get(tuple(chain), 0) + plain[at]
-    best = max(held, key=lambda chain: (held[chain], chain))
-    return [at for at, chain in chains.items() if tuple(chain[: len(best)]) == best and plain[at] > 0]
+        own[tuple(chain)] = own.get(tuple(chain), 0) + plain[at]
+        for n in range(len(chain) + 1):
+            held[tuple(chain[:n])] = held.get(tuple(chain[:n]), 0) + plain[at]
+    best = max(own, key=lambda chain: (own[chain], chain))
+    for n in range(len(best) - 1, 0, -1):
+        if best[n - 1][1].split(".")[0] in ("html", "body"):
+            break
+        if held[best[:n]] - held[best] >= ADDS * held[best]:
+            best = best[:n]
+    return [at for at, chain in chains.items() if tuple(chain[: len(best)]) == best or plain[at] > 0]
 
 
 def _shape(tokens: list[str]) -> str:

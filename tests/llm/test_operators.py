@@ -367,7 +367,7 @@ def test_slots_are_places_in_the_wrapper(spark):
     """A list of links has the containers of the story but another place in the wrapper, and is no content."""
     menu, story = "<div>{}</div>".format("<a href=x>go</a> " * 3 + "go"), "<div><p>Story {} is told here at some length.</p></div>"
     pages = spark.createDataFrame([(i, "http://slots.example/", f"<html><body>{menu}<section><p>An aside</p></section>{story.format(i)}</body></html>") for i in range(4)], "page_id long, url string, html string")
-    assert [r.text for r in wrappers.extract(pages).orderBy("page_id").collect()] == [f"Story {i} is told here at some length." for i in range(4)]
+    assert [r.text for r in wrappers.extract(pages).orderBy("page_id").collect()] == [f"An aside\nStory {i} is told here at some length." for i in range(4)]
 
 
 def test_wrappers_parse_the_rows_they_come_from():
@@ -384,6 +384,23 @@ def test_wrappers_parse_the_rows_they_come_from():
     assert wrappers.parse(wrappers.program(wrappers.row_of(["<div", ">div"])), ["<ul", ">ul"]) is None
 
 
+def test_templates_of_a_host_are_judged_on_their_own(spark):
+    said = "{} is said here at length, in quite a few words."
+    bodies = {
+        "article": f"<article><p>{said}</p></article>",
+        "main": f"<main><p>{said}</p></main>",
+        "content": f"<div class='content'><p>{said}</p></div>",
+        "siblings": f"<div class='story'><section class='a'><p>{said}</p></section><ul><li><a href=x>a link in it</a></li></ul><section class='b'><p>{said}</p></section></div>",
+        "list": f"<div><p>{said}</p></div><ul><li>One more thing</li></ul>",
+    }
+    rows = [(i * 10 + k, "http://mixed.example/", f"<html><body><nav><a href=x>menu</a></nav>{body.replace('{}', f'{name} {i}')}<footer>end</footer></body></html>") for i in range(4) for k, (name, body) in enumerate(bodies.items())]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        for k, name in enumerate(bodies):
+            text = said.format(f"{name} {i}")
+            assert got[i * 10 + k] == {"siblings": f"{text}\na link in it\n{text}", "list": f"{text}\nOne more thing"}.get(name, text)
+
+
 def test_references_and_space():
     assert wrappers.Page("<p>a&nbsp;&lt;b&gt;\n &eacute;&#233;</p>").blocks == [("", "a <b> éé", 0)]
     assert html.unescape("&eacute;") == "é"
