@@ -12,7 +12,8 @@ or outside its optional and repeated groups, and the containers there. The slots
 the host put there: where a token row has an article (or main) element, the slots inside are content; else the container that
 holds most text outside links, with its ancestors below body while they add enough to it, and all texts elsewhere
 that are not mostly links. Token rows are judged one by one, so templates of a host don't exclude one another. Slots inside menus, headers and footers of the page, sidebars, notices, adverts, forms,
-comments and the like are never content. A page's main text is what it has in the content slots of its token row:
+comments and the like are no content; but class words don't count on a container around the article, or around most
+of the text of a row that has nothing else. A page's main text is what it has in the content slots of its token row:
 references decoded, white space of a block turned into one space, blocks joined by a line break in page order.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own (the empty one); a page that
@@ -48,6 +49,12 @@ SILENT = {"script", "style", "noscript", "template", "iframe", "svg", "object",
 CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 #: Words of class and id that mark the same.
 CHROME_WORDS = {"nav", "navbar", "navigation", "menu", "header", "masthead", "footer", "sidebar", "aside", "ad", "ads", "advert", "adverts", "advertisement", "banner", "promo", "sponsor", "sponsored", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "newsletter", "subscribe", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "comment", "comments", "disqus", "replies", "widget", "toolbar", "skip"}
+#: Those that mark a container inside an article only if its text is mostly links.
+SOFT_WORDS = {"share", "related", "alert", "notice", "banner", "ad"}
+#: Those that count even around an article, as what they hold are articles of others.
+OTHERS_WORDS = {"comment", "comments", "disqus", "replies", "related", "recommended"}
+#: First words of a class that says what a container has or lacks, not what it is.
+MODIFIERS = {"no", "not", "has", "have", "with", "without", "hide"}
 #: Elements that hold blocks.
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "nav", "header", "footer", "aside", "form", "menu", "dialog", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "figure", "fieldset", "details", "center"}
 #: Elements that begin and end a block of text.
@@ -70,17 +77,12 @@ def host_of(url: str | None) -> str:
 
 def _label(name: str, attributes: str) -> str:
     """A container's name with the words of its class, id and role; digits don't tell containers apart."""
-    words = sorted({w for m in _NAMED.finditer(attributes) for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower())})
-    return ".".join([name, *words])
-
-
-def _is_chrome(label: str, inside_article: bool) -> bool:
-    name, *words = label.split(".")
-    if name == "header" or "header" in words and name != "body":
-        if inside_article:
-            return bool(CHROME_WORDS - {"header"} & set(words))
-        return True
-    return name in CHROME or name not in ("html", "body", "article", "main") and bool(CHROME_WORDS & set(words))
+    words = set()
+    for m in _NAMED.finditer(attributes):
+        for item in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = _WORD.findall(item)
+            words.update(["-".join(parts)] if len(parts) > 1 and parts[0] in MODIFIERS else parts)
+    return ".".join([name, *sorted(words)])
 
 
 class Page:
@@ -325,22 +327,63 @@ def content_slots(tokens: list[str], weights: dict[int, tuple[float, float]]) ->
     """The texts of a token row that hold the article; ``weights`` has the characters and the linked characters that the
     host's pages have in the slot of each text."""
 
-    def chrome(chain: list[tuple[int, str]]) -> bool:
-        inside = False
-        for _, label in chain:
-            if _is_chrome(label, inside):
-                return True
-            inside = inside or label.split(".")[0] in ("article", "main")
-        return False
+    every = containers(tokens)
+    plain = {at: max(0, weights[at][0] - 2 * weights[at][1]) for at in every}
+    linked: dict[int, float] = {}  # characters in links beyond half of a container's text
+    for at, chain in every.items():
+        for place, _ in chain:
+            linked[place] = linked.get(place, 0) + 2 * weights[at][1] - weights[at][0]
 
-    chains = {at: chain for at, chain in containers(tokens).items() if not chrome(chain)}
+    def chrome(chain: list[tuple[int, str]], free: set[int]) -> tuple[int, bool] | None:
+        """The outermost container that marks a text as chrome, and whether it does by its class words."""
+        inside = False
+        for place, label in chain:
+            name, *words = label.split(".")
+            if name in CHROME and not (name == "header" and inside):
+                return place, False
+            marks = CHROME_WORDS & set(words) if name not in ("html", "body", "article", "main") and place not in free else set()
+            if inside:
+                marks -= {"header"} if linked[place] >= 0 else {"header"} | SOFT_WORDS
+            if marks:
+                return place, True
+            inside = inside or name in ("article", "main")
+        return None
+
+    def around(chain: list[tuple[int, str]], name: str) -> set[int] | None:
+        """Containers around the first element of a name whose class words don't count; None if there is no such element."""
+        names = [label.split(".")[0] for _, label in chain]
+        if name not in names:
+            return None
+        return {place for place, label in chain[: names.index(name)] if not OTHERS_WORDS & set(label.split(".")[1:])}
+
+    def clear(free: set[int]) -> dict[int, list[tuple[int, str]]]:
+        return {at: chain for at, chain in every.items() if not chrome(chain, free)}
+
+    chains = clear(set())
     for name in ("article", "main"):
-        inside = [at for at, chain in chains.items() if any(x.split(".")[0] == name for _, x in chain)]
+        held_by = {at: free for at, chain in every.items() if (free := around(chain, name)) is not None}
+        inside = [at for at in held_by if at in chains]
         if inside:
             return inside
+        inside = [at for at, free in held_by.items() if not chrome(every[at], free)]
+        if inside and sum(plain[at] for at in inside) >= sum(plain[at] for at in chains):
+            return inside
+    free: set[int] = set()
+    names = ("article", "main")
+    bound = any(t[1:].split(".")[0] in names for t in tokens)
+    while not chains:
+        marked: dict[int, float] = {}
+        for at, chain in every.items():
+            place, by_word = chrome(chain, free) or (0, False)
+            if by_word and (not bound or any(label.split(".")[0] in names for _, label in chain)):
+                marked[place] = marked.get(place, 0) + plain[at]
+        most = max(marked, key=lambda place: (marked[place], place), default=None)
+        if most is None or 2 * marked[most] <= sum(plain.values()):
+            break
+        free.add(most)
+        chains = clear(free)
     if not chains:
         return []
-    plain = {at: max(0, weights[at][0] - 2 * weights[at][1]) for at in chains}
     own: dict[tuple, float] = {}
     held: dict[tuple, float] = {}
     for at, chain in chains.items():

@@ -401,6 +401,31 @@ def test_templates_of_a_host_are_judged_on_their_own(spark):
             assert got[i * 10 + k] == {"siblings": f"{text}\na link in it\n{text}", "list": f"{text}\nOne more thing"}.get(name, text)
 
 
+def content_of(html_text):
+    """What is content of a page that is its host's only one."""
+    found, held = wrappers.Page(html_text), {}
+    for at, (_, text, linked) in zip(found.places, found.blocks, strict=True):
+        held[at] = tuple(x + y for x, y in zip(held.get(at, (0, 0)), (len(text), linked), strict=True))
+    wanted = wrappers.content_slots(found.tokens, held)
+    return [text for at, (_, text, _) in zip(found.places, found.blocks, strict=True) if at in wanted]
+
+
+@pytest.mark.parametrize("around", ["<div class='page no-sidebar'>", "<div id='has-cookie-notice'>", "<div class='widget Blog'>", "<div class='content with-header'>", "<div class='notice'>", "<main><div class='widget'>"])
+def test_class_words_around_an_article_do_not_hide_it(around):
+    outside = "<div class='sidebar'><p>Not this one</p></div><div class='comments'><article><p>Nor this</p></article></div>"
+    assert content_of(f"<body>{around}<article><p>The article says this.</p></article>{outside}</div></body>") == ["The article says this."]
+    assert content_of(f"<body>{around}<p>A page without one says this at some length.</p><div class='sidebar'><p>Not this</p></div></div><footer>end</footer></body>") == ["A page without one says this at some length."]
+
+
+@pytest.mark.parametrize("word", ["share", "related", "alert", "notice", "banner", "ad"])
+def test_sections_of_an_article_stay(word):
+    assert content_of(f"<article><p>First.</p><section class='{word}'><p>A real section.</p></section><div class='{word}'><a href=x>Links only</a></div></article><div class='{word}'>Out</div>") == ["First.", "A real section."]
+
+
+def test_pages_of_chrome_alone_are_empty():
+    assert content_of("<nav><a href=x>menu</a></nav><article></article><div class='ad'>Buy</div><footer>end</footer>") == []
+
+
 def test_references_and_space():
     assert wrappers.Page("<p>a&nbsp;&lt;b&gt;\n &eacute;&#233;</p>").blocks == [("", "a <b> éé", 0)]
     assert html.unescape("&eacute;") == "é"
