@@ -45,6 +45,8 @@ ADDS = 0.2
 
 #: Elements whose content is never text.
 SILENT = {"script", "style", "noscript", "template", "iframe", "svg", "object", "canvas", "head", "title", "select", "textarea", "button", "math", "audio", "video"}
+#: Those of them whose content has no tags and goes on to their literal end tag, or to the page's end.
+RAW = {"script", "style", "title", "textarea", "iframe"}
 #: Elements around content that is not the article.
 CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 #: Words of class and id that mark the same.
@@ -63,6 +65,7 @@ BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd"
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
@@ -85,6 +88,33 @@ def _label(name: str, attributes: str) -> str:
     return ".".join([name, *sorted(words)])
 
 
+def tags(source: str) -> list[tuple[int, int, str, bool, str, int]]:
+    """(start, end, name, whether an end tag, attributes, next) of the tags and comments. For a silent element ``end`` is
+    where its content ends and ``next`` the number of the tag after; one without an end tag has no content, but a
+    select has its options."""
+    found: list[tuple[int, int, str, bool, str, int]] = []
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while m := _TAG.search(source, at):
+        at, name, closing = m.end(), (m[2] or "").lower(), bool(m[1])
+        empty = name in SILENT and not closing and m[3].rstrip().endswith("/")
+        if name in RAW and not closing and not empty:
+            end = _RAW_END[name].search(source, at)
+            at = end.end() if end else len(source)
+        elif name in SILENT and closing and opened.get(name):
+            i = opened[name].pop()
+            found[i] = (found[i][0], at, *found[i][2:5], len(found) + 1)
+        elif name in SILENT and not closing and not empty:
+            opened.setdefault(name, []).append(len(found))
+        found.append((m.start(), at, name, closing, m[3] or "", len(found) + 1))
+    for i in opened.get("select", ()):
+        n = i + 1
+        while n < len(found) and found[n][2] in ("", "option", "optgroup", "hr"):
+            n += 1
+        found[i] = (found[i][0], found[n][0] if n < len(found) else len(source), *found[i][2:5], n)
+    return found
+
+
 class Page:
     """Tokens of a page, and its blocks: (path of containers, text, characters inside links), with the token each is in."""
 
@@ -95,22 +125,14 @@ class Page:
         self.stack: list[str] = []
         self.parts: list[str] = []
         self.links = 0
-        anchors, at, silent = 0, 0, ""
-        for m in _TAG.finditer(source):
-            if not silent and m.start() > at:
-                self._text(source[at : m.start()], anchors > 0)
-            at = m.end()
-            name = (m[2] or "").lower()
-            if not name:
-                continue
-            closing = bool(m[1])
-            if silent:
-                if closing and name == silent:
-                    silent = ""
-                continue
+        anchors = at = i = 0
+        found = tags(source)
+        while i < len(found):
+            start, end, name, closing, attributes, i = found[i]
+            if start > at:
+                self._text(source[at:start], anchors > 0)
+            at = end
             if name in SILENT:
-                if not closing and not m[3].rstrip().endswith("/"):
-                    silent = name
                 self._flush()
                 continue
             if name == "a":
@@ -118,8 +140,8 @@ class Page:
             if name in BLOCKS:
                 self._flush()
             if name in CONTAINERS:
-                self._container(name, m[3], closing)
-        if not silent and at < len(source):
+                self._container(name, attributes, closing)
+        if at < len(source):
             self._text(source[at:], anchors > 0)
         self._flush()
 

@@ -426,6 +426,23 @@ def test_pages_of_chrome_alone_are_empty():
     assert content_of("<nav><a href=x>menu</a></nav><article></article><div class='ad'>Buy</div><footer>end</footer>") == []
 
 
+@pytest.mark.parametrize(
+    "source, texts",
+    [
+        ("<script>for(i=0;i<n;i++){}</script><p>text</p>", ["text"]),
+        ("<script>if(a<b)document.write('<p>x</p><!--')</SCRIPT ><p>text</p>", ["text"]),
+        ("<style>a<b{}</style><p>text</p><script>var x", ["text"]),
+        ("<head><script>var t='</head>';a<b</script><title>T<b</title></head><body><p>text</p>", ["text"]),
+        ("<p>one</p><select><option>a<option>b<p>two</p>", ["one", "two"]),
+        ("<p>one</p><canvas><p>two</p>", ["one", "two"]),
+        ("<p>one</p><object data=x><p>two</p><object>no<object>no</object></object><p>three</p>", ["one", "two", "three"]),
+        ("<p>one</p><svg><svg>no</svg>no</svg><script src=x/></script><p>two</p>", ["one", "two"]),
+    ],
+)
+def test_silent_elements_end_at_their_end_tag(source, texts):
+    assert [text for _, text, _ in wrappers.Page(source).blocks] == texts
+
+
 def test_references_and_space():
     assert wrappers.Page("<p>a&nbsp;&lt;b&gt;\n &eacute;&#233;</p>").blocks == [("", "a <b> éé", 0)]
     assert html.unescape("&eacute;") == "é"
