@@ -5,6 +5,13 @@ of [0-9a-z] and non-ASCII) and has a 64-bit digest; a unit of fewer than UNIT_WO
 over the whole corpus. The earliest ranked occurrence stays: documents rank by doc_id (null last), units by their
 place. All later ones are repeats, and a run of neighbouring repeats (units without digest between them included)
 of RUN_WORDS words or more is removed. So shared passages go but for one copy, and a stock phrase stays where it is.
+
+A passage whose ends are joined to other text, or that lies inside one long line, need not hold whole units. So texts are
+also cut into chunks, where the hash of two words is the least of the NEAR words on both sides: a place that the text around
+it decides, so a passage has the same chunks wherever it stands, but for its first and last. Chunks have digests and an
+earliest document as units have; words in repeated units or chunks are repeats, and a run of RUN_WORDS of them or more
+is removed too, from its first to its last word. Of a passage of no whole units up to a chunk at each end stays.
+
 What stays keeps its place in the original: ``removed`` lists the cut code-point spans of the original text.
 
 Digests are grouped in two steps: a partial aggregate before the shuffle, so a unit that a third of all documents has
@@ -28,6 +35,8 @@ from gatelake.llm import text as tx
 
 UNIT_WORDS = 3
 RUN_WORDS = 20
+#: A chunk begins at the least hash among so many words before and after.
+NEAR = 3
 #: Rank of rows without a doc_id.
 LAST = (1 << 63) - 1
 
@@ -38,23 +47,44 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 class Units:
-    """Units of the documents of a slice: byte places, words and digests, and each document's first unit."""
+    """Units of the documents of a slice: byte places, words and digests, and each document's first unit; and chunks: first
+    words, digests, and each document's first chunk."""
 
     def __init__(self, data: bytes, bounds: np.ndarray):
         raw = np.frombuffer(data, np.uint8)
-        words = tx.Words(data, bounds, tx.ALNUM)
+        self.places = words = tx.Words(data, bounds, tx.ALNUM)
         ends = raw == 10
         ends[:-1] |= _STOP[raw[:-1]] & _SPACE[raw[1:]]
         cuts = np.union1d(np.flatnonzero(ends) + 1, bounds)
         self.starts, self.stops = cuts[:-1], cuts[1:]
-        at = np.searchsorted(words.starts, cuts)
+        self.at = at = np.searchsorted(words.starts, cuts)
         self.words = np.diff(at)
         self.first = np.searchsorted(cuts, bounds)
         n = len(words)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(words.hashes * tx.power("base", n + 1)[:n], out=sums[1:])
-        self.digests = tx.mixed((sums[at[1:]] - sums[at[:-1]]) * tx.power("inverse", n + 1)[at[:-1]] + self.words.astype(np.uint64) * tx.FACTORS[11])
+        inverse = tx.power("inverse", n + 1)
+        digests = lambda at: tx.mixed((sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]] + np.diff(at).astype(np.uint64) * tx.FACTORS[11])
+        self.digests = digests(at)
         self.hashed = self.words >= UNIT_WORDS
+        self.chunk_at = np.union1d(self._begins(), words.first)
+        self.chunks = digests(self.chunk_at)
+        self.chunk_hashed = np.diff(self.chunk_at) >= UNIT_WORDS
+        self.chunk_first = np.searchsorted(self.chunk_at, words.first)
+
+    def _begins(self) -> np.ndarray:
+        """Words at which a chunk begins."""
+        h, n = self.places.hashes, len(self.places)
+        doc = np.repeat(np.arange(len(self.places.first) - 1), self.places.counts)
+        pairs = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+        if n > 1:
+            pairs[:-1] = np.where(doc[1:] == doc[:-1], tx.mixed(h[:-1] * tx.FACTORS[0] + h[1:] * tx.FACTORS[1]), pairs[:-1])
+        least = np.ones(n, bool)
+        for d in range(1, min(NEAR, n - 1) + 1):
+            other = doc[d:] != doc[:-d]
+            least[d:] &= other | (pairs[d:] < pairs[:-d])
+            least[:-d] &= other | (pairs[:-d] <= pairs[d:])
+        return np.flatnonzero(least)
 
 
 def _keyed() -> tuple[Column, Column]:
@@ -71,7 +101,8 @@ def repeats(docs: DataFrame) -> DataFrame:
                 units = Units(data, bounds)
                 lists = []
                 for a, b in zip(units.first[:-1].tolist(), units.first[1:].tolist(), strict=True):
-                    lists.append(np.unique(units.digests[a:b][units.hashed[a:b]]).view(np.int64))
+                    c, d = units.chunk_first[len(lists)], units.chunk_first[len(lists) + 1]
+                    lists.append(np.unique(np.concatenate([units.digests[a:b][units.hashed[a:b]], units.chunks[c:d][units.chunk_hashed[c:d]]])).view(np.int64))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column("rank"), part.column("text_key"), pa.array(lists, pa.list_(pa.int64()))], names=["rank", "text_key", "digests"])
 
@@ -106,6 +137,39 @@ def spans_to_cut(units: Units, a: int, b: int, known: set[int]) -> list[tuple[in
     return cut
 
 
+def _again(digests: np.ndarray, hashed: np.ndarray, known: set[int]) -> list[int]:
+    """Which of a document's units or chunks are repeats."""
+    found, seen = [], set()
+    for i, (digest, held) in enumerate(zip(digests.tolist(), hashed.tolist(), strict=True)):
+        if held:
+            if digest in known or digest in seen:
+                found.append(i)
+            seen.add(digest)
+    return found
+
+
+def runs_to_cut(units: Units, document: int, known: set[int]) -> list[tuple[int, int]]:
+    """Byte spans of a document to remove: runs of RUN_WORDS words or more in repeated units or chunks."""
+    lo, hi = int(units.places.first[document]), int(units.places.first[document + 1])
+    mark = np.zeros(hi - lo + 2, np.int8)  # a word without a mark on both sides
+    for first, at, digests, hashed in ((units.first, units.at, units.digests, units.hashed), (units.chunk_first, units.chunk_at, units.chunks, units.chunk_hashed)):
+        a, b = int(first[document]), int(first[document + 1])
+        for i in _again(digests[a:b], hashed[a:b], known):
+            mark[at[a + i] - lo + 1 : at[a + i + 1] - lo + 1] = 1
+    turns = np.flatnonzero(np.diff(mark)).tolist()
+    return [(int(units.places.starts[lo + s]), int(units.places.ends[lo + e - 1])) for s, e in zip(turns[::2], turns[1::2], strict=True) if e - s >= RUN_WORDS]
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def _cut(names: list[str], out: list[str]):
     def run(batches):
         for batch in batches:
@@ -121,9 +185,10 @@ def _cut(names: list[str], out: list[str]):
                         continue
                     units = units or Units(data, bounds)
                     a, b = int(units.first[i - lo]), int(units.first[i - lo + 1])
-                    spans = spans_to_cut(units, a, b, {x % (1 << 64) for x in found[i] or ()})
+                    known = {x % (1 << 64) for x in found[i] or ()}
+                    spans = [(int(units.starts[s]), int(units.stops[e - 1])) for s, e in spans_to_cut(units, a, b, known)]
                     raw, base = data[bounds[i - lo] : bounds[i - lo + 1]], int(bounds[i - lo])
-                    places = [(int(units.starts[s]) - base, int(units.stops[e - 1]) - base) for s, e in spans]
+                    places = [(s - base, e - base) for s, e in _joined(spans + runs_to_cut(units, i - lo, known))]
                     last, pieces = 0, []
                     for s, e in places:
                         pieces.append(raw[last:s])

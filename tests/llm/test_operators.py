@@ -214,6 +214,25 @@ def test_repeats_within_a_document(spark):
     assert substring_dedup.dedup(docs).first().text == f"{unit} End of it now."
 
 
+def test_passages_with_joined_ends_are_cut(spark):
+    """A repeated passage goes but for a few words at its ends also where it holds no whole sentence or line."""
+    draw = random.Random(29)
+    fresh = lambda n: " ".join(f"w{draw.randrange(10**9)}" for _ in range(n))
+    passages = [fresh(60) for _ in range(40)] + [f"{fresh(25)}. {fresh(10)}. {fresh(25)}" for _ in range(20)]
+    before = {i: fresh(30) for i in range(120)}
+    after = {i: fresh(30) for i in range(120)}
+    docs = spark.createDataFrame([(i, f"{before[i]} {passages[i % 60]} {after[i]}") for i in range(120)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in substring_dedup.dedup(docs).collect()}
+    left = []
+    for i in range(120):
+        assert got[i].startswith(before[i]) and got[i].endswith(after[i])
+        if i < 60:
+            assert passages[i] in got[i]
+        else:
+            left.append(len(words(got[i], ALNUM)) - 60)
+    assert max(left) < 50 and sum(left) < 60 * 15
+
+
 # 5: decontamination
 
 
