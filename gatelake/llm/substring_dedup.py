@@ -1,16 +1,18 @@
-"""Substring dedup by hashing lines, cut further at the ends of sentences.
+"""Substring dedup by hashing lines, and passages within and across them.
 
-A unit ends at a line break, or at one of .!? before white space. It is normalised to its words (A-Z lower-cased, runs
-of [0-9a-z] and non-ASCII) and has a 64-bit digest; a unit of fewer than UNIT_WORDS words has none. Digests are grouped
-over the whole corpus. The earliest ranked occurrence stays: documents rank by doc_id (null last), units by their
-place. All later ones are repeats, and a run of neighbouring repeats (units without digest between them included)
-of RUN_WORDS words or more is removed. So shared passages go but for one copy, and a stock phrase stays where it is.
+A line is normalised to its words (A-Z lower-cased, runs of [0-9a-z] and non-ASCII) and has a 64-bit digest, if it has a
+word. Digests are grouped over the whole corpus and the earliest ranked occurrence stays: documents rank by doc_id (null
+last, these by a digest of their text), lines by their place. All later occurrences are repeats. A repeated line of
+``line_words`` words or more is removed, by default every one that has a word.
 
-A passage whose ends are joined to other text, or that lies inside one long line, need not hold whole units. So texts are
-also cut into chunks, where the hash of two words is the least of the NEAR words on both sides: a place that the text around
-it decides, so a passage has the same chunks wherever it stands, but for its first and last. Chunks have digests and an
-earliest document as units have; words in repeated units or chunks are repeats, and a run of RUN_WORDS of them or more
-is removed too, from its first to its last word. Of a passage of no whole units up to a chunk at each end stays.
+A passage whose ends are joined to other text need not hold whole lines. So lines are also cut into sentences (at one of
+.!? before white space), and texts into chunks, where the hash of two words is the least of the NEAR words on both sides: a
+place that the text around it decides, so a passage has the same chunks wherever it stands, but for its first and last.
+Sentences and chunks of UNIT_WORDS words or more have digests and an earliest document as lines have; a run of ``run_words``
+words or more that all stand in repeated lines, sentences or chunks is removed, from its first to its last word. Of a passage
+of no whole line or sentence up to a chunk at each end stays.
+
+With ``line_words`` at ``run_words``, stock lines that are shorter stay unless they stand beside other repeats.
 
 What stays keeps its place in the original: ``removed`` lists the cut code-point spans of the original text.
 
@@ -18,8 +20,9 @@ Digests are grouped in two steps: a partial aggregate before the shuffle, so a u
 is one row a task; then a join back, which Spark splits if a digest is hot.
 
 Defined results: null and empty texts have no units and stay; rows that share a doc_id count as one document, so what
-they share with one another stays, and rows with a null doc_id rank after all others and likewise count as one; an empty
-table gives an empty table; other columns pass through ``dedup`` unchanged whatever their names.
+they share with one another stays; rows with a null doc_id rank after all others, each text of them as a document of its
+own (so only equal texts keep what they share); a very long text is cut in one piece and holds a worker's memory for its
+words alone; an empty table gives an empty table; other columns pass through ``dedup`` unchanged whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from gatelake.llm import shared
 from gatelake.llm import text as tx
 
 UNIT_WORDS = 3
+#: Words of a run of repeats that is a passage and no stock phrase.
 RUN_WORDS = 20
 #: A chunk begins at the least hash among so many words before and after.
 NEAR = 3
@@ -47,30 +51,47 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 class Units:
-    """Units of the documents of a slice: byte places, words and digests, and each document's first unit; and chunks: first
-    words, digests, and each document's first chunk."""
+    """Words of the documents of a slice, cut three ways: into lines, sentences and chunks.
+
+    ``kinds`` has for each way the word numbers of the cuts, each document's first unit, digests, and which of them count;
+    ``lines`` and ``sentences`` are the byte places of those cuts."""
 
     def __init__(self, data: bytes, bounds: np.ndarray):
         raw = np.frombuffer(data, np.uint8)
         self.places = words = tx.Words(data, bounds, tx.ALNUM)
-        ends = raw == 10
+        breaks = raw == 10
+        ends = breaks.copy()
         ends[:-1] |= _STOP[raw[:-1]] & _SPACE[raw[1:]]
-        cuts = np.union1d(np.flatnonzero(ends) + 1, bounds)
-        self.starts, self.stops = cuts[:-1], cuts[1:]
-        self.at = at = np.searchsorted(words.starts, cuts)
-        self.words = np.diff(at)
-        self.first = np.searchsorted(cuts, bounds)
+        self.lines = lines = np.union1d(np.flatnonzero(breaks) + 1, bounds)
+        self.sentences = sentences = np.union1d(np.flatnonzero(ends) + 1, bounds)
         n = len(words)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(words.hashes * tx.power("base", n + 1)[:n], out=sums[1:])
         inverse = tx.power("inverse", n + 1)
-        digests = lambda at: tx.mixed((sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]] + np.diff(at).astype(np.uint64) * tx.FACTORS[11])
-        self.digests = digests(at)
-        self.hashed = self.words >= UNIT_WORDS
-        self.chunk_at = np.union1d(self._begins(), words.first)
-        self.chunks = digests(self.chunk_at)
-        self.chunk_hashed = np.diff(self.chunk_at) >= UNIT_WORDS
-        self.chunk_first = np.searchsorted(self.chunk_at, words.first)
+
+        def kind(at: np.ndarray, first: np.ndarray, least: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            sizes = np.diff(at)
+            digests = tx.mixed((sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]] + sizes.astype(np.uint64) * tx.FACTORS[salt])
+            return at, first, digests, sizes >= least
+
+        chunks = np.union1d(self._begins(), words.first)
+        self.kinds = [
+            kind(np.searchsorted(words.starts, lines), np.searchsorted(lines, bounds), 1, 11),  # a line is compared with lines only
+            kind(np.searchsorted(words.starts, sentences), np.searchsorted(sentences, bounds), UNIT_WORDS, 12),
+            kind(chunks, np.searchsorted(chunks, words.first), UNIT_WORDS, 12),
+        ]
+
+    def of(self, document: int) -> np.ndarray:
+        """Distinct digests of a document."""
+        held = [digests[first[document] : first[document + 1]][counts[first[document] : first[document + 1]]] for _, first, digests, counts in self.kinds]
+        return np.unique(np.concatenate(held))
+
+    def bytes_of(self, start: int, end: int) -> tuple[int, int]:
+        """Byte span of words, with the whole sentence at an end that is one of a sentence."""
+        at = self.kinds[1][0]
+        i, j = int(np.searchsorted(at, start, "right")) - 1, int(np.searchsorted(at, end, "left"))
+        first = int(self.sentences[i]) if at[i] == start else int(self.places.starts[start])
+        return first, int(self.sentences[j]) if at[j] == end else int(self.places.ends[end - 1])
 
     def _begins(self) -> np.ndarray:
         """Words at which a chunk begins."""
@@ -99,65 +120,44 @@ def repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lo, hi, data, bounds in tx.slices(batch):
                 units = Units(data, bounds)
-                lists = []
-                for a, b in zip(units.first[:-1].tolist(), units.first[1:].tolist(), strict=True):
-                    c, d = units.chunk_first[len(lists)], units.chunk_first[len(lists) + 1]
-                    lists.append(np.unique(np.concatenate([units.digests[a:b][units.hashed[a:b]], units.chunks[c:d][units.chunk_hashed[c:d]]])).view(np.int64))
+                lists = [units.of(i).view(np.int64) for i in range(hi - lo)]
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column("rank"), part.column("text_key"), pa.array(lists, pa.list_(pa.int64()))], names=["rank", "text_key", "digests"])
 
     rank, key = _keyed()
     lists = docs.select(rank.alias("rank"), key.alias("text_key"), "text").transform(shared.arrow, run, "rank long, text_key long, digests array<long>")
     units = lists.select("rank", "text_key", F.explode("digests").alias("digest"))
-    earliest = units.groupBy("digest").agg(F.min("rank").alias("earliest"), F.max("rank").alias("latest")).where("earliest != latest").select("digest", "earliest")
+    unnamed = F.when(F.col("rank") == LAST, F.col("text_key"))
+    ends = units.groupBy("digest").agg(F.min("rank").alias("earliest"), F.max("rank").alias("latest"), F.min(unnamed).alias("first_key"), F.max(unnamed).alias("last_key"))
+    earliest = ends.where(f"earliest != latest or (earliest = {LAST} and first_key != last_key)").select("digest", "earliest", F.when(F.col("earliest") == LAST, F.col("first_key")).alias("first_key"))
     earliest, _ = shared.written(earliest, "earliest")  # not an aggregate any more, so Spark can split a hot digest's join
-    later = units.join(earliest, "digest").where("rank != earliest")
+    later = units.join(earliest, "digest").where("rank != earliest or text_key != first_key")
     return later.groupBy("rank", "text_key").agg(F.collect_set("digest").alias("digests"))
 
 
-def spans_to_cut(units: Units, a: int, b: int, known: set[int]) -> list[tuple[int, int]]:
-    """Unit spans of a document to remove: runs of repeats with RUN_WORDS words or more."""
-    cut, seen = [], set()
-    start = end = words = 0
-    for i in range(a, b + 1):
-        if i < b and not units.hashed[i]:
-            continue
-        repeated = i < b and (int(units.digests[i]) in known or int(units.digests[i]) in seen)
-        if i < b:
-            seen.add(int(units.digests[i]))
-        if repeated:
-            if not words:
-                start = i
-            words += int(units.words[i])
-            end = i + 1
-        else:
-            if words >= RUN_WORDS:
-                cut.append((start, end))
-            words = 0
-    return cut
+def _again(digests: np.ndarray, counts: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of a document's units are repeats: of an earlier document, or of a place before in this one."""
+    again = np.isin(digests, known)
+    _, first = np.unique(digests, return_index=True)
+    later = np.ones(len(digests), bool)
+    later[first] = False
+    return np.flatnonzero((again | later) & counts)
 
 
-def _again(digests: np.ndarray, hashed: np.ndarray, known: set[int]) -> list[int]:
-    """Which of a document's units or chunks are repeats."""
-    found, seen = [], set()
-    for i, (digest, held) in enumerate(zip(digests.tolist(), hashed.tolist(), strict=True)):
-        if held:
-            if digest in known or digest in seen:
-                found.append(i)
-            seen.add(digest)
-    return found
-
-
-def runs_to_cut(units: Units, document: int, known: set[int]) -> list[tuple[int, int]]:
-    """Byte spans of a document to remove: runs of RUN_WORDS words or more in repeated units or chunks."""
+def spans_to_cut(units: Units, document: int, known: np.ndarray, line_words: int, run_words: int) -> list[tuple[int, int]]:
+    """Byte spans of a document to remove: repeated lines, and runs of words in repeated lines, sentences or chunks."""
     lo, hi = int(units.places.first[document]), int(units.places.first[document + 1])
     mark = np.zeros(hi - lo + 2, np.int8)  # a word without a mark on both sides
-    for first, at, digests, hashed in ((units.first, units.at, units.digests, units.hashed), (units.chunk_first, units.chunk_at, units.chunks, units.chunk_hashed)):
+    spans = []
+    for number, (at, first, digests, counts) in enumerate(units.kinds):
         a, b = int(first[document]), int(first[document + 1])
-        for i in _again(digests[a:b], hashed[a:b], known):
-            mark[at[a + i] - lo + 1 : at[a + i + 1] - lo + 1] = 1
-    turns = np.flatnonzero(np.diff(mark)).tolist()
-    return [(int(units.places.starts[lo + s]), int(units.places.ends[lo + e - 1])) for s, e in zip(turns[::2], turns[1::2], strict=True) if e - s >= RUN_WORDS]
+        for i in (_again(digests[a:b], counts[a:b], known) + a).tolist():
+            mark[at[i] - lo + 1 : at[i + 1] - lo + 1] = 1
+            if number == 0 and at[i + 1] - at[i] >= line_words:
+                spans.append((int(units.lines[i]), int(units.lines[i + 1])))
+    turns = (np.flatnonzero(np.diff(mark)) + lo).tolist()
+    spans += [units.bytes_of(s, e) for s, e in zip(turns[::2], turns[1::2], strict=True) if e - s >= run_words]
+    return _joined(spans)
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -170,12 +170,11 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(names: list[str], out: list[str]):
+def _cut(names: list[str], out: list[str], line_words: int, run_words: int):
     def run(batches):
         for batch in batches:
             texts, removed = [], []
-            found = batch.column("_digests").to_pylist()
-            column = batch.column("_text")
+            found, column = batch.column("_digests"), batch.column("_text")
             for lo, hi, data, bounds in tx.slices(batch, "_text"):
                 units = None
                 for i in range(lo, hi):
@@ -184,26 +183,30 @@ def _cut(names: list[str], out: list[str]):
                         removed.append([])
                         continue
                     units = units or Units(data, bounds)
-                    a, b = int(units.first[i - lo]), int(units.first[i - lo + 1])
-                    known = {x % (1 << 64) for x in found[i] or ()}
-                    spans = [(int(units.starts[s]), int(units.stops[e - 1])) for s, e in spans_to_cut(units, a, b, known)]
+                    known = found[i].values.to_numpy(zero_copy_only=False).view(np.uint64) if found[i].is_valid else np.zeros(0, np.uint64)
                     raw, base = data[bounds[i - lo] : bounds[i - lo + 1]], int(bounds[i - lo])
-                    places = [(s - base, e - base) for s, e in _joined(spans + runs_to_cut(units, i - lo, known))]
-                    last, pieces = 0, []
+                    places = [(s - base, e - base) for s, e in spans_to_cut(units, i - lo, known, line_words, run_words)]
+                    at, last, pieces, spans = 0, 0, [], []
                     for s, e in places:
                         pieces.append(raw[last:s])
+                        start = at + len(pieces[-1].decode("utf-8"))
+                        at = start + len(raw[s:e].decode("utf-8"))
+                        spans.append([start, at])
                         last = e
                     texts.append(b"".join([*pieces, raw[last:]]).decode("utf-8"))
-                    removed.append([[len(raw[:s].decode("utf-8")), len(raw[:e].decode("utf-8"))] for s, e in places])
+                    removed.append(spans)
             columns = [batch.column(c) for c in names] + [pa.array(texts, pa.string()), pa.array(removed, pa.list_(pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays(columns, names=out)
 
     return run
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, line_words: int = 1, run_words: int = RUN_WORDS) -> DataFrame:
     """``docs`` with repeats cut out of ``text``, and a last column of the removed code-point spans (array of
-    [start, end)), named ``removed`` or, where ``docs`` has that name, with underscores before it."""
+    [start, end)), named ``removed`` or, where ``docs`` has that name, with underscores before it.
+
+    Every later occurrence of a line of ``line_words`` words or more goes, and every run of ``run_words`` words or more in
+    repeated lines, sentences or chunks."""
     found = repeats(docs)
     rank, key = _keyed()
     inner = [f"_c{i}" for i in range(len(docs.columns))]
@@ -214,7 +217,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     joined = joined.select(*others, F.col(inner[at]).alias("_text"), F.col("digests").alias("_digests"))
     types = {n: docs.schema[i] for i, n in enumerate(inner)}
     schema = T.StructType([T.StructField(n, types[n].dataType, True) for n in others] + [T.StructField("_text", T.StringType()), T.StructField("_removed", T.ArrayType(T.ArrayType(T.LongType())))])
-    done = joined.transform(shared.arrow, _cut(others, [f.name for f in schema]), schema)
+    done = joined.transform(shared.arrow, _cut(others, [f.name for f in schema], max(1, line_words), run_words), schema)
     last = "removed"
     while last in docs.columns:
         last = "_" + last

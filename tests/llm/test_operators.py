@@ -183,12 +183,15 @@ def test_shard_keys_sort_as_ids():
 def test_repeated_passages_are_cut_but_for_the_first(spark, empty):
     passage = "This passage has quite a lot of words in it. And it goes on for a second sentence of some length, as passages do. It has a third one too."
     own = ["Only the first text says this here.", "Only the second text says that there.", "Only the third text says nothing much."]
-    docs = documents(spark, [(3, f"{own[2]} {passage}"), (1, f"{passage}\n{own[0]}"), (2, f"{own[1]} {passage.upper()} Short stock phrase here."), (4, "Short stock phrase here."), (5, None), (6, ""), (7, f"{own[2]}")])
+    docs = documents(spark, [(3, f"{own[2]} {passage}"), (1, f"{passage}\n{own[0]}"), (2, f"{own[1]} {passage.upper()} Short stock phrase here."), (4, "Short stock phrase here."), (5, None), (6, ""), (7, f"{own[2]}"), (8, f"Short stock phrase here.\n{own[0]} More.")])
     got = {r.doc_id: r for r in substring_dedup.dedup(docs).collect()}
     assert got[1].text == f"{passage}\n{own[0]}" and got[1]["_removed"] == []
-    assert got[2].text.strip() == f"{own[1]} Short stock phrase here.".strip() or got[2].text.split() == own[1].split()
+    assert got[2].text.split() == f"{own[1]} Short stock phrase here.".split()
     assert passage not in got[3].text and own[2] in got[3].text
     assert got[4].text == "Short stock phrase here." and got[5].text is None and got[6].text == "" and got[7].text == own[2]
+    assert got[8].text == f"{own[0]} More."  # a repeated line goes, however short
+    spared = {r.doc_id: r.text for r in substring_dedup.dedup(docs, line_words=20).collect()}
+    assert spared[8] == f"Short stock phrase here.\n{own[0]} More." and passage not in spared[3]
     original = {r.doc_id: r.text for r in docs.collect()}
     for i, r in got.items():
         spans = [tuple(x) for x in r["_removed"]]
@@ -201,6 +204,79 @@ def test_repeated_passages_are_cut_but_for_the_first(spark, empty):
     assert substring_dedup.dedup(empty).collect() == []
 
 
+def brute_dedup(rows, line_words, run_words):
+    """Kept texts of (doc_id, text) rows: words compared as words; only the places of chunks come from the operator."""
+    split = []
+    for i, text in rows:
+        data = (text or "").encode()
+        cut = substring_dedup.Units(data, np.array([0, len(data)]))
+        spoken = [m for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", data)]
+        said = [m[0].lower() for m in spoken]
+        assert len(said) == len(cut.places)
+        ends = {m.end() for m in re.finditer(rb"\n", data)}
+        stops = ends | {m.end() for m in re.finditer(rb"[.!?](?=[ \t\n\x0b\x0c\r])", data)}
+        ways = []
+        for places, least in ((ends, 1), (stops, 3)):
+            edges = sorted({0, len(data)} | places)
+            ways.append([(sum(m.start() < a for m in spoken), sum(m.start() < b for m in spoken), least, (a, b)) for a, b in zip(edges, edges[1:])])
+        edges = cut.kinds[2][0].tolist()
+        ways.append([(a, b, 3, None) for a, b in zip(edges, edges[1:])])
+        split.append((i if i is not None else math.inf, text or "" if i is None else "", text, data, spoken, said, ways))
+    owner = {}
+    for n, (rank, key, _, _, _, said, ways) in enumerate(split):
+        for w, way in enumerate(ways):
+            for a, b, least, _ in way:
+                if b - a >= least:
+                    unit = (w == 0, *said[a:b])
+                    owner[unit] = min(owner.get(unit, (rank, key)), (rank, key), key=lambda k: (k[0], shared_key(k[1]) if k[0] == math.inf else 0))
+    out = []
+    for rank, key, text, data, spoken, said, ways in split:
+        marked, gone = set(), set()
+        for w, way in enumerate(ways):
+            seen = set()
+            for a, b, least, span in way:
+                unit = (w == 0, *said[a:b])
+                if b - a >= least and (owner[unit] != (rank, key) or unit in seen):
+                    marked |= set(range(a, b))
+                    if w == 0 and b - a >= line_words:
+                        gone |= set(range(*span))
+                seen.add(unit)
+        at = 0
+        while at < len(said):
+            end = at
+            while end in marked:
+                end += 1
+            if end - at >= run_words:
+                left = next((s for a, b, _, (s, _) in reversed(ways[1]) if a == at), spoken[at].start())
+                right = next((e for a, b, _, (_, e) in ways[1] if b == end), spoken[end - 1].end())
+                gone |= set(range(left, right))
+            at = max(end, at + 1)
+        out.append((rank, None if text is None else bytes(c for i, c in enumerate(data) if i not in gone).decode()))
+    return out
+
+
+def shared_key(text):
+    """The digest that ranks texts without a doc_id."""
+    return KEYS[text]
+
+
+KEYS = {}
+
+
+@pytest.mark.parametrize("line_words", [1, 6])
+def test_dedup_against_brute_force(spark, line_words):
+    draw = random.Random(41)
+    sentences = [" ".join(draw.choice(["Éa", "bo", "cé", "du", "Ei", "fo", "go", "hu"]) for _ in range(draw.randint(1, 7))) + draw.choice(".!?,") for _ in range(25)]
+    rows = [(i % 30 if i % 9 else None, "".join(draw.choice(sentences) + draw.choice([" ", " ", "\n", ""]) for _ in range(draw.randint(0, 12)))) for i in range(60)]
+    rows += [(40, None), (None, None), (41, ""), (None, " \n "), (42, "bo du. " * 400), (43, rows[0][1])]
+    rows = [*{(i, t): None for i, t in rows if sum(x == i for x, _ in rows) == 1 or i is None}]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    KEYS.update({r.text or "": r.key for r in docs.where("doc_id is null").selectExpr("text", "coalesce(xxhash64(text), 0) as key").collect()})
+    got = [(math.inf if r.doc_id is None else r.doc_id, r.text) for r in substring_dedup.dedup(docs, line_words, 9).collect()]
+    order = lambda r: (r[0], r[1] is None, r[1] or "")
+    assert sorted(got, key=order) == sorted(brute_dedup(rows, line_words, 9), key=order)
+
+
 def test_rows_of_one_id_keep_what_they_share(spark):
     text = prose(60, 9) + "."
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], "doc_id long, text string")
@@ -208,6 +284,13 @@ def test_rows_of_one_id_keep_what_they_share(spark):
     assert got == [(1, len(text)), (1, len(text)), (2, 0), (None, 0)]
 
 
+def test_texts_without_ids_are_documents_of_their_own(spark):
+    line, other = "a line that all of them have", "another line"
+    docs = spark.createDataFrame([(None, f"{line}\n{other} {i}") for i in range(5)] + [(None, f"{line}\n{other} 0")], "doc_id long, text string")
+    got = sorted(r.text for r in substring_dedup.dedup(docs).collect())
+    assert sum(line in t for t in got) in (1, 2) and sorted(t.split("\n")[-1] for t in got) == sorted(f"{other} {i}" for i in [0, 0, 1, 2, 3, 4])
+
+
 def test_repeats_within_a_document(spark):
     unit = "A sentence of at least twenty words that stands twice in one document is cut the second time it is said there, surely."
     docs = spark.createDataFrame([(1, f"{unit} {unit} End of it now.")], "doc_id long, text string")
