@@ -7,10 +7,12 @@ that no item has lead nowhere from every state, so whole runs of them are passed
 
 The items are the stated query set. They are taken in blocks of at most BLOCK_WORDS words, each block's automaton in
 turn, so a broadcast and an automaton stay bounded whatever the size of the benchmark; one block is the usual case.
+What the blocks find in a text is put together before it is counted, judged or cut, so results don't depend on blocks.
 
 Defined results: null and empty texts have no words, no hits, and stay; null doc_ids and item_ids are kept as null (a
 null item_id counts as an item and is left out of the joined ids); repeated items count once by item_id; repeated rows
-are scanned each; with no benchmark nothing is hit; other columns of documents pass through ``clean`` unchanged.
+are scanned each; a very long text is scanned in one piece, in time in proportion to its words; with no benchmark nothing
+is hit; other columns of documents pass through ``clean`` unchanged whatever their names.
 """
 
 from __future__ import annotations
@@ -148,10 +150,10 @@ def _automaton(key: tuple, items: list, window: int) -> Automaton:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """Words of the items, in blocks of at most BLOCK_WORDS words (or one item), read to the driver one after another."""
+    """Words of the items, in blocks of at most BLOCK_WORDS words (or one item), read to the driver a partition at a time.
+    No result depends on their order."""
     block, size = [], 0
-    # one partition, or each of the sorted ones would be a job of its own
-    for row in benchmark.select("item_id", "text").distinct().orderBy("item_id", "text").coalesce(1).toLocalIterator():
+    for row in benchmark.select("item_id", "text").distinct().toLocalIterator():
         words = tx.words_of(row.text, tx.ALNUM)
         if words:
             if block and size + len(words) > BLOCK_WORDS:
@@ -196,23 +198,37 @@ def _words(text: pa.StringScalar) -> list[bytes]:
     return held.to_pybytes().translate(tx.ALNUM).split() if held is not None else []
 
 
+def _without(text: str, spans: list) -> str:
+    """A text without word spans, which are in order and apart."""
+    starts, ends, data = _word_places(text)
+    pieces, last = [], 0
+    for a, b in spans:
+        pieces.append(data[last : starts[a]])
+        last = ends[b - 1]
+    return b"".join([*pieces, data[last:]]).decode("utf-8")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
     """``docs`` without contaminated spans: those of ``window`` words or more (or a whole shorter item) are cut out of
     the text, from the first to the last byte of their words; a document of which more than ``coverage`` of the words
-    is hit goes. Cutting is repeated until no window is left, as what then stands side by side can be one again."""
-    for number, block in enumerate(blocks(benchmark)):
-        docs = docs.transform(shared.arrow, _cleaner(docs, number, block, window, coverage), docs.schema)
-    return docs
+    is hit, by all items together, goes. Cutting is repeated until no window is left, as what then stands side by side
+    can be one again."""
+    found = blocks(benchmark)
+    first, second = next(found, None), next(found, None)
+    if first is None:
+        return docs
+    if second is None:  # all that follows, within a pass over the rows
+        return docs.transform(shared.arrow, _cleaner(docs, first, window, coverage), docs.schema)
+    return _clean_by_blocks(docs, benchmark, window, coverage)
 
 
-def _cleaner(docs: DataFrame, number: int, block: list, window: int, coverage: float):
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-    key, names = (uuid.uuid4().hex, number, window), docs.columns
+def _cleaner(docs: DataFrame, block: list, window: int, coverage: float):
+    items = docs.sparkSession.sparkContext.broadcast(block)
+    key, at = (uuid.uuid4().hex, window), docs.columns.index("text")
 
     def run(batches):
-        automaton = _automaton(key, shared.value, window)
+        automaton = _automaton(key, items.value, window)
         for batch in batches:
-            at = names.index("text")
             texts, kept, changed = [], [], False
             for value in batch.column(at):
                 text = value.as_py()
@@ -221,12 +237,7 @@ def _cleaner(docs: DataFrame, number: int, block: list, window: int, coverage: f
                 kept.append(sum(b - a for a, b in spans) <= coverage * len(words))
                 while spans and kept[-1]:
                     changed = True
-                    starts, ends, data = _word_places(text)
-                    pieces, last = [], 0
-                    for a, b in spans:
-                        pieces.append(data[last : starts[a]])
-                        last = ends[b - 1]
-                    text = b"".join([*pieces, data[last:]]).decode("utf-8")
+                    text = _without(text, spans)
                     spans, _ = automaton.scan(text.encode("utf-8").translate(tx.ALNUM).split())
                 texts.append(text)
             if changed:
@@ -236,6 +247,89 @@ def _cleaner(docs: DataFrame, number: int, block: list, window: int, coverage: f
     return run
 
 
+_KEY = ["_one", "_two"]
+_STATE = "_one long, _two long, text string, dropped boolean"
+
+
+def _key() -> list:
+    """128 bits that stand for a text."""
+    return [F.xxhash64("text").alias("_one"), F.xxhash64(F.lit(1), "text").alias("_two")]
+
+
+def _hits(texts: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, list[str]]:
+    """(_one, _two, spans) of the texts that some block hits, written a block at a time; and written tables."""
+
+    def matcher(key: tuple, items):
+        def run(batches):
+            automaton = _automaton(key, items.value, window)
+            for batch in batches:
+                spans = [automaton.scan(_words(text))[0] for text in batch.column("text")]
+                out = pa.RecordBatch.from_arrays([batch.column("_one"), batch.column("_two"), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=[*_KEY, "spans"])
+                yield out.filter(pa.array([bool(x) for x in spans], pa.bool_()))
+
+        return run
+
+    spark, every, paths = texts.sparkSession, None, []
+    for block in blocks(benchmark):
+        items = spark.sparkContext.broadcast(block)
+        part, path = shared.written(texts.transform(shared.arrow, matcher((uuid.uuid4().hex, window), items), "_one long, _two long, spans array<array<long>>"), "hits")
+        items.unpersist()
+        every = part if every is None else every.unionByName(part)
+        paths.append(path)
+    found, path = shared.written(every.dropDuplicates().groupBy(*_KEY).agg(F.flatten(F.collect_list("spans")).alias("spans")), "hits")
+    return found, [*paths, path]
+
+
+def _merged(spans: list) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
+def _clean_by_blocks(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float) -> DataFrame:
+    """The same with a benchmark of several blocks: rounds over the distinct texts that were hit, each round with the
+    spans of all blocks; then the documents are joined with what became of those texts."""
+
+    def cutter(judge: bool):
+        def run(batches):
+            for batch in batches:
+                texts, dropped = [], []
+                for value, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+                    spans = _merged(spans)
+                    gone = judge and sum(b - a for a, b in spans) > coverage * len(_words(value))
+                    texts.append(None if gone else _without(value.as_py(), spans))
+                    dropped.append(gone)
+                yield pa.RecordBatch.from_arrays([batch.column("_one"), batch.column("_two"), pa.array(texts, pa.string()), pa.array(dropped, pa.bool_())], names=[x.split()[0] for x in _STATE.split(", ")])
+
+        return run
+
+    spark = docs.sparkSession
+    texts = docs.where("text is not null").select(*_key(), "text")
+    found, paths = _hits(texts, benchmark, window)
+    hit = texts.join(found, _KEY).dropDuplicates(_KEY)
+    state, at = shared.written(hit.transform(shared.arrow, cutter(True), _STATE), "cut")
+    while True:
+        # a state keeps the key of the text that it began as
+        again, more = _hits(state.where("not dropped").select(*_KEY, "text"), benchmark, window)
+        paths += more
+        if again.isEmpty():
+            break
+        rest = state.join(again.select(*_KEY), _KEY, "left_anti")
+        cut = state.join(again, _KEY).transform(shared.arrow, cutter(False), _STATE)
+        paths.append(at)
+        state, at = shared.written(rest.unionByName(cut), "cut")
+    shared.remove(spark, *paths)
+    held = state.select(F.col("_one").alias("_a"), F.col("_two").alias("_b"), F.col("text").alias("_text"), "dropped")
+    inner = [f"_c{i}" for i in range(len(docs.columns))]
+    plain = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, inner, strict=True)], *[k.alias(n) for k, n in zip(_key(), _KEY, strict=True)])
+    both = plain.join(held, (F.col("_one") == F.col("_a")) & (F.col("_two") == F.col("_b")), "left").where("not coalesce(dropped, false)")
+    return both.select(*[(F.coalesce("_text", n) if c == "text" else F.col(n)).alias(c) for c, n in zip(docs.columns, inner, strict=True)])
+
+
 MATCHES = "doc_id long, key long, n_words long, spans array<array<long>>, items array<string>"
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 

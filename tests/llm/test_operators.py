@@ -370,6 +370,48 @@ def test_cleaning_cuts_passages_and_drops_what_is_mostly_one(spark):
     assert {r.n_hit for r in decontaminate.report(spark.createDataFrame(list(got.items()), "doc_id long, text string"), bench).collect()} == {0}
 
 
+def brute_clean(text, items, size, coverage=0.5):
+    """The text that stays, or None if the document goes; items are (id, words)."""
+    turn = 0
+    while True:
+        data = text.encode()
+        spoken = list(re.finditer(rb"[0-9A-Za-z\x80-\xff]+", data))
+        hit, _ = windows_hit([m[0].lower().decode() for m in spoken], items, size)
+        if not turn and len(hit) > coverage * len(spoken):
+            return None
+        if not hit:
+            return text
+        turn, gone = turn + 1, set()
+        for i in hit:
+            gone |= set(range(spoken[i].start(), spoken[i].end()))
+            if i + 1 in hit:
+                gone |= set(range(spoken[i].end(), spoken[i + 1].start()))
+        text = bytes(c for i, c in enumerate(data) if i not in gone).decode()
+
+
+@pytest.mark.parametrize("block", [2_000_000, 6])
+def test_cleaning_against_brute_force(spark, empty, block, monkeypatch):
+    """Items of several blocks that interleave: spans are put together, coverage is judged once, and no window is left."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    draw = random.Random(51)
+    say = lambda n: " ".join(draw.choice("abcdé") for _ in range(n))
+    bench = [(i, say(draw.randint(3, 6))) for i in range(4)] + [(2, "a b"), (None, "é é é é"), (7, None), (8, "")]
+    bench += [bench[0]]
+    docs = [(i, say(draw.randint(0, 40)) + draw.choice(["", ".", "! a b"])) for i in range(60)]
+    docs += [(70, f"z z z z z z z z {bench[0][1].replace(' ', f' {bench[1][1]} ', 1)} z z z z z z z z"), (71, None), (72, ""), (1, docs[1][1]), (None, docs[2][1]), (73, "q " * 3000 + bench[1][1])]
+    items = [(i, words(t, ALNUM)) for i, t in bench]
+    want = [(i, t if t is None else brute_clean(t, items, 4)) for i, t in docs]
+    want = [(i, t) for (i, t), (_, old) in zip(want, docs, strict=True) if t is not None or old is None]
+    held = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, spans string, dropped int")
+    tests = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontaminate.clean(held, tests, window=4)
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    assert got.columns == held.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=order) == sorted(want, key=order)
+    assert decontaminate.clean(held, tests.limit(0)).count() == len(docs)
+    assert decontaminate.clean(empty, tests).collect() == []
+
+
 # 6: chat
 
 
