@@ -9,7 +9,8 @@ prove which tokens a join cannot change:
   first such place of the right part stay; what lies between is encoded anew.
 * Inside one pre-token a row of tokens is its BPE encoding if and only if each pair of neighbours is the encoding of
   the pair's own bytes. A seam is mended by encoding windows of 1, 2, 4, ... tokens on each side anew until both
-  outer pairs hold.
+  outer pairs hold. The right half begins BACK tokens before the end of the left one, so that both halves of a
+  periodic run are in step and most seams hold as they are.
 
 Decoding concatenates bytes up a tree of token slices.
 
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 from gatelake.llm import shared, vocab
 
 LEAF_CHARS = 2048
-LEAF_BYTES = 256
+LEAF_BYTES = 4096
 LEAF_TOKENS = 1024
+#: Tokens at the end of a left half that the right half begins with.
+BACK = 8
 
 #: Places at which every pre-tokenisation has an end of a match.
 _SURE = regex.compile(r"(?<=\S)(?= )|(?<=\p{L})(?=[0-9.,;:!?()\n])|(?<=[0-9])(?=[A-Za-z.,;:!?()\n])|(?<=[.,;:!?()])(?=[A-Za-z0-9\n])")
@@ -57,24 +60,27 @@ class Encoder:
         if hi - lo <= LEAF_CHARS:
             return self.leaf(text[lo:hi])
         mid = (lo + hi) // 2
-        return self._join(text, lo, mid, hi, self._text(text, lo, mid), self._text(text, mid, hi))
-
-    def _join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
+        a, b = self._around(text, lo, mid, hi)
+        if b - a > LEAF_CHARS:  # a long run without a sure place is encoded once, and not at every level above it
+            return (self._text(text, lo, a) if a > lo else []) + self._window(text[a:b]) + (self._text(text, b, hi) if b < hi else [])
+        left, right = self._text(text, lo, mid), self._text(text, mid, hi)
+        keep = len(left) - len(self.leaf(text[a:mid])) if a > lo else 0
+        drop = len(self.leaf(text[mid:b])) if b < hi else len(right)
+        return left[:keep] + self.leaf(text[a:b]) + right[drop:]
+
+    def _around(self, text: str, lo: int, mid: int, hi: int) -> tuple[int, int]:
+        """The last sure place before the middle and the first one after it, or the ends, by windows that grow."""
         a = b = None
         reach = 32
         while a is None or b is None:
             if a is None:
                 start = max(lo, mid - reach)
-                a = max((m.start() for m in _SURE.finditer(text, start, mid)), default=None)
-                a = lo if a is None and start == lo else a
+                a = max((m.start() for m in _SURE.finditer(text, start, mid) if m.start() > start), default=lo if start == lo else None)
             if b is None:
                 end = min(hi, mid + reach)
-                m = _SURE.search(text, mid, end)
-                b = m.start() if m and m.start() > mid else hi if end == hi and not m else next((x.start() for x in _SURE.finditer(text, mid, end) if x.start() > mid), hi if end == hi else None)
+                b = next((m.start() for m in _SURE.finditer(text, mid, end) if m.start() > mid), hi if end == hi else None)
             reach *= 2
-        keep = len(left) - len(self._window(text[a:mid]))
-        drop = len(self._window(text[mid:b]))
-        return left[:keep] + self._window(text[a:b]) + right[drop:]
+        return a, b
 
     def _window(self, text: str) -> list[int]:
         if len(text) <= LEAF_CHARS:
@@ -86,12 +92,17 @@ class Encoder:
         if len(data) <= LEAF_BYTES:
             return self.piece(data)
         mid = len(data) // 2
-        return self._mend(self._run(data[:mid]), self._run(data[mid:]))
+        left = self._run(data[:mid])
+        back = min(BACK, len(left) - 1)
+        kept = left[: len(left) - back]
+        return self._mend(kept, self._run(data[mid - sum(len(self.bytes_of(t)) for t in left[len(kept) :]) :]))
 
     def _fits(self, a: int, b: int) -> bool:
         return self.piece(self.bytes_of(a) + self.bytes_of(b)) == [a, b]
 
     def _mend(self, left: list[int], right: list[int]) -> list[int]:
+        if self._fits(left[-1], right[0]):
+            return left + right
         k = 1
         while True:
             i, j = max(len(left) - k, 0), min(k, len(right))

@@ -8,6 +8,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -97,6 +98,28 @@ def test_tree_encoding_equals_the_library(monkeypatch):
         assert coder.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("back", [0, 1, 8])
+def test_long_runs_equal_the_library(back, monkeypatch):
+    """Pre-tokens of any length, periodic or not, between ordinary text, with leaves that cut them often."""
+    monkeypatch.setattr(bpe, "LEAF_CHARS", 64)
+    monkeypatch.setattr(bpe, "LEAF_BYTES", 32)
+    monkeypatch.setattr(bpe, "BACK", back)
+    coder, library = bpe.Encoder(vocab.tiktoken_path()), vocab.encoder(vocab.tiktoken_path())
+    draw = random.Random(6)
+    for _ in range(150):
+        period = "".join(draw.choice("abcé日.!- ") for _ in range(draw.randint(1, 5)))
+        text = prose(draw.randint(0, 30), draw.random()) + draw.choice([" ", "", "\n"]) + period * draw.randint(1, 200) + draw.choice([" ", "", "'s "]) + prose(draw.randint(0, 30), draw.random())
+        assert coder.encode(text) == library.encode_ordinary(text)
+
+
+def test_a_very_long_run_is_encoded_in_time_of_its_length():
+    coder, library = bpe.Encoder(vocab.tiktoken_path()), vocab.encoder(vocab.tiktoken_path())
+    for text in ("a" * 200_000, "abc" * 60_000 + " end"):
+        began = time.perf_counter()
+        assert coder.encode(text) == library.encode_ordinary(text)
+        assert time.perf_counter() - began < 10
+
+
 def test_bpe_round_trip(odd, empty):
     library = vocab.encoder(vocab.tiktoken_path())
     got = rows_of(bpe.round_trip(odd, vocab.tiktoken_path()))
