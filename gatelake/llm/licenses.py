@@ -7,15 +7,21 @@ diagonal, neighbouring diagonals of a template (up to SLACK words inserted or le
 spans are verified on the words themselves.
 
 Base phrases must stand word by word, so one diagonal has to hold all their grams. Passages of known licenses
-may differ: a span counts if, word for word along its diagonals, at least COVER of the template's words are there. Only
-texts that can't have such a span, by their grams and words in any order, are not sent on to the verification. A label scores its verified share of the template; a document scores its best label.
+may differ: on the diagonals of a span, words of the template are aligned with words of the text in their order. Each
+aligned word counts 1, each word put in between takes off INSERTED; the best alignment's sum over the template's words
+is its score, and from COVER on it is a label. So a span is as wide as such an alignment can drift. Only
+texts that can't have such a span, by their grams and words in any order, are not sent on to the verification. A document
+scores its best label.
 
 Defined results: null and empty texts have no words, null first and last words, empty labels and score 0; a null doc_id
-stays null; repeated rows give a row each; an empty table gives an empty table; only doc_id and text are read.
+stays null; repeated rows give a row each; a very long text is scanned in one piece, and its spans are found in time in
+proportion to its votes; an empty table gives an empty table; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +33,8 @@ from gatelake.llm import text as tx
 K = 2
 SLACK = 2
 COVER = 0.7
+#: What a word put into a passage takes off its count of aligned words.
+INSERTED = 0.5
 
 #: The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -123,34 +131,51 @@ def votes(docs: DataFrame) -> DataFrame:
     )
 
 
-def _spans(found: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
-    """By template, (lowest diagonal, highest diagonal, votes) of merged neighbouring diagonals."""
-    out: dict[int, list[tuple[int, int, int]]] = {}
-    for template, diagonal, n in sorted(found):
-        spans = out.setdefault(template, [])
-        if spans and not TEMPLATES[template][2] and diagonal - spans[-1][1] <= SLACK:
-            spans[-1] = (spans[-1][0], diagonal, spans[-1][2] + n)
-        else:
-            spans.append((diagonal, diagonal, n))
-    return out
+def _spans(diagonals: list[int], width: int) -> Iterator[tuple[int, int]]:
+    """(lowest, highest) of merged neighbours among sorted diagonals, none wider than ``width`` or inside another."""
+    last = None
+    for i, low in enumerate(diagonals):
+        high = low
+        for j in range(i + 1, len(diagonals)):
+            if diagonals[j] - high > SLACK or diagonals[j] - low > width:
+                break
+            high = diagonals[j]
+        if high != last:
+            yield low, high
+        last = high
+
+
+def aligned(words: list[str], wanted: list[str], low: int, high: int) -> float:
+    """The best alignment's score of a template on the diagonals of a span, 0 if it can't reach COVER."""
+    places = [(q, q + d) for q, w in enumerate(wanted) for d in range(max(low, -q), min(high, len(words) - 1 - q) + 1) if words[q + d] == w]
+    if len({q for q, _ in places}) < COVER * len(wanted):
+        return 0.0
+    best: list[float] = []
+    for i, (q, p) in enumerate(places):
+        best.append(1 + max((best[j] - INSERTED * max(0, (p - b) - (q - a)) for j, (a, b) in enumerate(places[:i]) if a < q and b < p), default=0))
+    return max(best) / len(wanted)
 
 
 def verify(words: list[str], found: list[tuple[int, int, int]]) -> tuple[list[int], set[str], set[str], float]:
     """Starts of the base phrases, base labels, all labels and the score, from the words along voted diagonals."""
     starts, base, labels, score = [], set(), set(), 0.0
-    for template, spans in _spans(found).items():
+    diagonals: dict[int, set[int]] = {}
+    for template, diagonal, _ in found:
+        diagonals.setdefault(template, set()).add(diagonal)
+    for template, voted in sorted(diagonals.items()):
         wanted, label, exact = TEMPLATES[template]
-        for low, high, _ in spans:
-            if exact:
-                if low >= 0 and words[low : low + len(wanted)] == wanted:
-                    starts.append(low)
-                    base.add(label)
-                    score = 1.0
-                continue
-            there = sum(any(0 <= q + d < len(words) and words[q + d] == w for d in range(low, high + 1)) for q, w in enumerate(wanted))
-            if there >= COVER * len(wanted):
-                labels.add(label)
-                score = max(score, there / len(wanted))
+        if exact:
+            there = [d for d in sorted(voted) if d >= 0 and words[d : d + len(wanted)] == wanted]
+            starts += there
+            base |= {label} if there else set()
+            score = 1.0 if there else score
+            continue
+        # an alignment that reaches COVER has no more words put in than this, and fewer left out
+        width = int((1 - COVER) * len(wanted) / INSERTED)
+        reached = max((aligned(words, wanted, low, high) for low, high in _spans(sorted(voted), width)), default=0.0)
+        if reached >= COVER:
+            labels.add(label)
+            score = max(score, reached)
     return starts, base, labels | base, score
 
 
