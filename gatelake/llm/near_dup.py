@@ -8,23 +8,28 @@ would. A pair with similarity s meets in some table with probability (1 - (1 - s
 limit of 0.75, over 0.999999 at 0.82.
 
 1. Sketches: one pass over the texts gives set sizes, 128-bit digests of the sets and keys.
-2. Equal sets are one class, represented by its smallest doc_id; the rest works on classes.
+2. Equal sets are one class, represented by its smallest doc_id; the rest works on classes. A class has a number of its
+   own, given when the classes are written, so no two classes can be taken for one.
 3. Keys of a collection that only one class has are dropped before pairs of keys are formed.
 4. In each table bucket, members are linked with one member (a star, not all pairs), and links are checked on the full
    sets from the texts. This is repeated with other centres for buckets that still hold several components.
 5. Between the classes of the buckets that still do, pairs in different components are found by an exact prefix filter
    on their full sets, and checked. So after it every pair of classes that shares a bucket is in one component or
-   is known not to be linked; no bucket is capped and no group is paired off with itself.
-
-A class is named by 64 bits of its digest. Defined results: a null or empty text, or one without words, has an empty
-set, is linked with nothing, and is its own component; a row with a null doc_id is linked with nothing, its
-component_id is null and it is kept; rows that repeat (also under one doc_id) have equal sets and so one component;
-an empty table gives an empty table; other columns are not read, and pass through ``one_of_each`` unchanged.
+   is known not to be linked; no bucket is capped and no group is paired off with itself. A shingle that many of them
+   have is dealt over as many tasks, and only sets of sizes that can be similar meet.
+
+Defined results: a null or empty text, or one without words, has an empty set, is linked with nothing, and is its own
+component; a row with a null doc_id is linked with nothing, its component_id is null and it is kept; rows that repeat
+(also under one doc_id) have equal sets and so one component; rows that share a doc_id but not their text are documents of
+their own, in the component that their text is in; a very long text is shingled in one piece and holds a worker's memory
+for its set; an empty table gives an empty table; other columns are not read, and pass through ``one_of_each`` unchanged
+whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,10 @@ ROWS = 3
 SIDE = 18
 #: Rounds of stars before what is left is compared pair by pair.
 STARS = 2
+#: Rows of a shingle that a task joins in the pairwise round; a shingle of more is dealt over several.
+HOT_ROWS = 1024
+#: Logarithm of the ratio of two bands of set sizes, a little over that of the sizes of two sets that can be linked.
+BAND = math.log(1.005 * 100 / PERCENT)
 
 _N = 2 * SIDE * ROWS
 _random = np.random.Generator(np.random.PCG64(20240607))
@@ -71,25 +80,25 @@ def keys_of(shingles: np.ndarray) -> np.ndarray:
     return tx.mixed((tx.mixed(least).reshape(-1, ROWS) * tx.FACTORS[:ROWS]).sum(axis=1) + _SLOT)
 
 
-SKETCH = "doc_id long, text_key long, n_shingles long, node long, rest long, keys array<long>"
+SKETCH = "doc_id long, text_key long, n_shingles long, high long, low long, keys array<long>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Set size, digest (``node`` and ``rest``, null for an empty set) and keys of every document."""
+    """Set size, digest (``high`` and ``low``, null for an empty set) and keys of every document."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, bounds in tx.slices(batch):
-                sizes, nodes, rests, keys = [], [], [], []
+                sizes, highs, lows, keys = [], [], [], []
                 for found in sets_of(data, bounds):
                     sizes.append(len(found))
                     digest = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64).tolist() if len(found) else (None, None)
-                    nodes.append(digest[0])
-                    rests.append(digest[1])
+                    highs.append(digest[0])
+                    lows.append(digest[1])
                     keys.append(keys_of(found).view(np.int64) if len(found) else [])
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(rests, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    [part.column("doc_id"), part.column("text_key"), pa.array(sizes, pa.int64()), pa.array(highs, pa.int64()), pa.array(lows, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                     names=[x.split()[0] for x in SKETCH.split(", ")],
                 )
 
@@ -185,14 +194,28 @@ def _across(nodes: DataFrame, labels: DataFrame, texts: DataFrame) -> tuple[Data
     rows = _rooted(rows.select("node", "size", (F.col("alone") + F.col("i")).alias("place"), F.col("r.shingle").alias("shingle")), labels)
     rows, at_rows = shared.written(rows, "prefixes")
     by_root = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.min("size").alias("size"))
-    top = by_root.groupBy("shingle").agg(F.max_by("root", "n").alias("top"), F.min("size").alias("smallest"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    top = by_root.groupBy("shingle").agg(F.max_by("root", "n").alias("top"), F.min("size").alias("smallest"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     top, at_top = shared.written(top, "top-roots")
+    return _pairs(rows, top).distinct(), [at_sets, at_spread, at_rows, at_top]
+
+
+def _pairs(rows: DataFrame, top: DataFrame) -> DataFrame:
+    """(a, b): prefix rows (shingle, node, root, size, place) of one shingle joined where neither is in the shingle's largest
+    component, or one; sizes and places leave room for the overlap.
+
+    Rows that are joined with others (``outside``) are sent to every cell of a shingle, the others to one cell by hash, so a
+    task has about HOT_ROWS of them however common the shingle is. Sizes of similar sets differ by a third at most, so
+    they are in one band of sizes or in the next."""
     room = F.col("size") - F.col("place")
     enough = lambda left, a, b: (100 + PERCENT) * left >= PERCENT * (a + b)
-    outside = rows.join(top, "shingle").where(F.col("root") != F.col("top")).where(enough(room, F.col("size"), F.col("smallest"))).select("shingle", "node", "root", "size", room.alias("room"))
-    other = rows.select("shingle", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), room.alias("room_b"))
-    pairs = outside.join(other, "shingle").where(F.col("root") != F.col("root_b")).where(enough(F.least("room", "room_b"), F.col("size"), F.col("size_b")))
-    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), [at_sets, at_spread, at_rows, at_top]
+    band = lambda size: F.floor(F.ln(size) / F.lit(BAND)).cast("int")
+    held = rows.join(top, "shingle").withColumn("room", room).withColumn("cells", F.ceil(F.col("n") / HOT_ROWS).cast("int"))
+    outside = held.where(F.col("root") != F.col("top")).where(enough(F.col("room"), F.col("size"), F.col("smallest")))
+    near = F.array(*[band(F.col("size")) + i for i in (-1, 0, 1)])
+    outside = outside.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumn("band", F.explode(near)).select("shingle", "cell", "band", "node", "root", "size", "room")
+    other = held.select("shingle", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell"), band(F.col("size")).alias("band"), F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), F.col("room").alias("room_b"))
+    pairs = outside.join(other, ["shingle", "cell", "band"]).where(F.col("root") != F.col("root_b")).where(enough(F.least("room", "room_b"), F.col("size"), F.col("size_b")))
+    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -201,11 +224,16 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     found, at_common = _candidates(classes)
     candidates, path = shared.written(found, "candidates")
     paths = [at_common, path]
-    owners = candidates.select("node").join(classes.select("node", "doc_id", "text_key"), "node")
+    # written, so that Spark knows its size: documents are shuffled only if it is too large for a broadcast
+    owners, path = shared.written(candidates.select("node").join(classes.select("node", "doc_id", "text_key"), "node"), "owners")
+    paths.append(path)
     # the class's smallest document; the digest of its text tells apart rows that share a doc_id
     held = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").join(owners, ["doc_id", "text_key"])
-    texts, path = shared.written(held.dropDuplicates(["doc_id", "text_key"]).select("node", "text"), "texts")
+    texts, path = shared.written(held.select("node", "text"), "texts")
     paths.append(path)
+    if texts.count() > owners.count():  # rows that repeat
+        texts, path = shared.written(texts.dropDuplicates(["node"]), "texts")
+        paths.append(path)
     labels = still = at_labels = None
     for turn in range(STARS + 1):
         if turn == 1:  # from here on only buckets that a star has not made one component
@@ -231,28 +259,49 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return labels
 
 
+def classes_of(table: DataFrame) -> tuple[DataFrame, str]:
+    """(node, high, low, doc_id, text_key, keys): equal sets as one class each, with a number that no other has and its
+    smallest document; and the written table. The numbers hold once the table is written: it is read, never made again."""
+    least = F.min(F.struct("doc_id", "text_key", "keys")).alias("least")
+    found = table.where("doc_id is not null and high is not null").groupBy("high", "low").agg(least)
+    return shared.written(found.select(F.monotonically_increasing_id().alias("node"), "high", "low", "least.*"), "classes")
+
+
+def components_of(docs: DataFrame, table: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows of ``table`` (sketches) with the smallest document of their component (``least``: doc_id and text_key), null
+    for an empty set or a null doc_id; and written tables."""
+    classes, at_classes = classes_of(table)
+    roots = links(docs, classes)
+    own = classes.select("node", "high", "low", F.struct("doc_id", "text_key").alias("own"))
+    named, at_named = shared.written(own.join(roots, "node").select("root", "high", "low", "own"), "named")
+    smallest, at_smallest = shared.written(named.groupBy("root").agg(F.min("own").alias("smallest")), "smallest")
+    linked = named.join(smallest, "root").select(F.col("high").alias("_h"), F.col("low").alias("_l"), "smallest")
+    by_class = own.join(linked, (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l")), "left").select("high", "low", F.coalesce("smallest", "own").alias("least"))
+    named_docs = table.select("doc_id", "text_key", "n_shingles", *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("high", "low")])
+    return named_docs.join(by_class, ["high", "low"], "left").drop("high", "low"), [at_classes, at_named, at_smallest]
+
+
 def report(docs: DataFrame) -> DataFrame:
     """A row a document: n_shingles, component_id (the smallest doc_id that links reach) and kept."""
     table, _ = shared.written(sketches(docs), "sketches")
-    least = F.min(F.struct("doc_id", "text_key", "keys")).alias("least")
-    classes, at_classes = shared.written(table.where("doc_id is not null and node is not null").groupBy("node", "rest").agg(least).select("node", "least.*"), "classes")
-    roots = links(docs, classes)
-    named = roots.join(classes.select("node", "doc_id"), "node").select("node", "root", "doc_id")
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = named.select("node", "root").join(smallest, "root").select("node", "component_id")
-    by_class = classes.select("node", F.col("doc_id").alias("own")).join(linked, "node", "left").select("node", F.coalesce("component_id", "own").alias("component_id"))
-    out = table.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(by_class, "node", "left")
-    component = F.coalesce("component_id", "doc_id")
+    out, _ = components_of(docs, table)
+    component = F.coalesce("least.doc_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id, of repeated rows one."""
     spark = docs.sparkSession
-    found, path = shared.written(report(docs), "near-dup")
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone"))
-    left = docs.join(gone, docs.doc_id == gone.gone, "left_anti")
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    table, at = shared.written(sketches(docs), "sketches")
+    out, paths = components_of(docs, table)
+    first = (F.col("least.doc_id") == F.col("doc_id")) & (F.col("least.text_key") == F.col("text_key"))
+    found, at_found = shared.written(out.where("least is not null").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), first.alias("first")), "near-dup")
+    shared.remove(spark, at, *paths)
+    same = lambda rows, others: (rows["doc_id"].cast("long") == others["_doc"]) & (F.xxhash64(rows["text"]) == others["_key"])
+    gone = found.where("not first").drop("first")
+    left = docs.join(gone, same(docs, gone), "left_anti")
+    again, at_again = shared.written(found.where("first").groupBy("_doc", "_key").count().where("count > 1").drop("count"), "again")
     if again.isEmpty():
+        shared.remove(spark, at_again)
         return left
-    return left.join(again, left.doc_id == again.again, "left_anti").unionByName(left.join(again, left.doc_id == again.again, "left_semi").dropDuplicates(["doc_id"]))
+    return left.join(again, same(left, again), "left_anti").unionByName(left.join(again, same(left, again), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -677,6 +677,58 @@ def test_one_of_each_group_stays(spark, odd):
     assert sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 7, 8, 10, 11, 12] and ids.count(None) == 1
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, b, c = prose(60, 201), prose(60, 202), prose(60, 203)
+    docs = spark.createDataFrame([(1, a, 0, "x"), (2, b, 0, "x"), (2, a, 0, "x"), (3, b, 0, "x"), (3, c, 0, "x"), (3, c, 0, "x")], "doc_id long, text string, _doc int, first string")
+    kept = near_dup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (2, b), (3, c)])
+
+
+def test_classes_are_told_apart_by_their_whole_digest(spark):
+    """Two sets whose digests begin alike stay two classes, and give a row a document."""
+    rows = [(i, t) for i, t in enumerate(near_copies(33, 6, 0) + near_copies(34, 6, 3) + [prose(90, s) for s in range(60, 66)])]
+    docs = documents(spark, rows)
+    table, _ = shared.written(near_dup.sketches(docs).withColumn("high", F.when(F.col("high").isNotNull(), 7)), "sketches")
+    out, _ = near_dup.components_of(docs, table)
+    got = sorted((r.doc_id, r.least.doc_id) for r in out.collect())
+    assert got == sorted((d, c) for d, _, c, _ in brute_components(rows))
+
+
+@pytest.mark.parametrize("hot", [2, 1024])
+def test_pairs_of_the_prefix_filter(spark, hot, monkeypatch):
+    """All pairs of rows of a shingle that can be linked, however common it is, but not those of one component."""
+    monkeypatch.setattr(near_dup, "HOT_ROWS", hot)
+    draw = random.Random(71)
+    rows = [(draw.randrange(3), node, draw.randrange(8), size, draw.randrange(max(1, size // 4))) for node, size in enumerate(draw.choices(range(1, 60), k=150))]
+    held = spark.createDataFrame(rows, "shingle long, node long, root long, size int, place int")
+    top = {}
+    for s in range(3):
+        count = {}
+        for r in rows:
+            if r[0] == s:
+                count[r[2]] = count.get(r[2], 0) + 1
+        top[s] = max(count, key=lambda k: (count[k], k))
+    tops = spark.createDataFrame([(s, t, min(r[3] for r in rows if r[0] == s), sum(r[0] == s for r in rows)) for s, t in top.items()], "shingle long, top long, smallest int, n long")
+    want = set()
+    for s, a, ra, na, pa_ in rows:
+        for z, b, rb, nb, pb in rows:
+            if s == z and a < b and ra != rb and 175 * min(na - pa_, nb - pb) >= 75 * (na + nb):
+                want.add((a, b))
+    assert {(r.a, r.b) for r in near_dup._pairs(held, tops).collect()} == want and want
+
+
+def test_the_pairwise_round_finds_what_stars_leave(spark, monkeypatch):
+    """Without a round of stars after the first, links come from the prefix filter; the components are the same."""
+    monkeypatch.setattr(near_dup, "STARS", 1)
+    seen, across = [], near_dup._across
+    monkeypatch.setattr(near_dup, "_across", lambda *a: seen.append(1) or across(*a))
+    texts = near_copies(35, 60, 25) + near_copies(36, 30, 20)
+    rows = list(enumerate(texts))
+    assert rows_of(near_dup.report(documents(spark, rows))) == sorted(brute_components(rows), key=lambda r: tuple((x is None, str(x)) for x in r))
+    assert seen
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
