@@ -8,27 +8,37 @@ of their host (partial counts before the shuffle); rows are then merged in bucke
 wrappers again, until a host has one. So a host with a third of all pages is no single task's work.
 
 Each distinct token row is then parsed with its host's wrapper, so each of its texts has a slot: a place in the wrapper, in
-or outside its optional and repeated groups, and the containers there. The slots are judged with the text that all pages of
-the host put there: where a token row has an article (or main) element, the slots inside are content; else the container that
-holds most text outside links, with its ancestors below body while they add enough to it, and all texts elsewhere
-that are not mostly links. Token rows are judged one by one, so templates of a host don't exclude one another. Slots inside menus, headers and footers of the page, sidebars, notices, adverts, forms,
-comments and the like are no content; but class words don't count on a container around the article, or around most
-of the text of a row that has nothing else. A page's main text is what it has in the content slots of its token row:
-references decoded, white space of a block turned into one space, blocks joined by a line break in page order.
+or outside its optional and repeated groups, and the containers there. The slots are judged with what all pages of the host
+put there, pages with equal texts counted once:
+
+* A text that stands in a slot on (nearly) all of its pages, PAGES or more, is boilerplate, whatever it is called.
+* A slot in a repeated group of the wrapper, or with several in one text, whose texts begin with an author and a date is
+  one of reader comments, if content stands before it.
+* Of the slots that vary: where a token row has an article (or main) element, those inside are content; else the container
+  that holds most text outside links, with its ancestors below body while they add enough to it, and all texts elsewhere
+  that are not mostly links. Token rows are judged one by one, so templates of a host don't exclude one another.
+* Slots inside menus, headers and footers of the page, sidebars, notices, adverts, forms and the like are no content; but
+  class words don't count on a container around the article, or around most of the text of a row that has nothing else.
+
+Where nothing would be left, sameness does not count: the pages of the host may be copies. A page's main text is what it has
+in the content slots of its token row: references decoded, white space of a block turned into one space, blocks joined by
+a line break in page order.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own (the empty one); a page that
-is cut off is read as far as it goes; repeated rows give a row each; an empty table gives an empty table; only page_id,
-url and html are read.
+is cut off is read as far as it goes; repeated rows give a row each; of containers with equally much text the one whose
+place sorts last is the heaviest; a very long page is one token row, aligned in time in proportion to tokens times
+tokens / 64; an empty table gives an empty table; only page_id, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 import html as entities
 import json
 import re
+from collections.abc import Collection, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +50,11 @@ BUCKET = 256
 #: Content slots of all token rows are broadcast up to so many bytes, and joined by host and row beyond.
 BROADCAST_BYTES = 32 << 20
 
+#: Pages without which sameness says nothing, and the share of them that have a text of boilerplate.
+PAGES, SAME = 3, 0.9
+#: The share of a slot's blocks that begin with an author and a date, if it is one of comments.
+BYLINES = 0.25
+
 #: An ancestor of the heaviest container that adds this share of its text is the article's container.
 ADDS = 0.2
 
@@ -70,9 +85,22 @@ _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 _WORD = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
+#: Ways to write a date or an age, and words around an author's name.
+_DATE = re.compile(r"\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{1,2}(?:st|nd|rd|th|\.)?\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2}\b|\b\d+\s+(?:minute|hour|day|week|month|year)s?\s+ago\b|\byesterday\b|\b(?:says|wrote|replied):?$", re.I)
+_FILLER = {"by", "posted", "written", "on", "at", "from"}
+
 TEXT = "#text"
 
 
+def byline(text: str) -> bool:
+    """Whether a block is an author's name with a date, or with a word for saying."""
+    if text.count(" ") > 11:
+        return False
+    found = _DATE.search(text)
+    names = re.findall(r"[^\W\d_][\w.'-]*", text[: found.start()]) if found else []
+    return any(x.lower() not in _FILLER for x in names) and len(names) < 7
+
+
 def host_of(url: str | None) -> str:
     found = _HOST.match(url or "")
     return found[1].lower() if found else ""
@@ -173,101 +201,194 @@ class Page:
                 return
 
 
-# A wrapper element is [kind, value]: ["t", token], ["?", elements] or ["+", elements].
-
-
-def _key(element: list) -> str:
-    return json.dumps(element)
-
-
-def fold(row: list) -> list:
-    """Equal neighbouring groups become one repeated group; the shortest groups first, until nothing changes."""
-    changed = True
-    while changed:
-        changed, size = False, 1
-        while size * 2 <= len(row) and size <= 32:
-            i, out = 0, []
-            keys = [_key(x) for x in row]
-            while i < len(row):
-                group, times = keys[i : i + size], 1
-                while len(group) == size and keys[i + times * size : i + (times + 1) * size] == group:
-                    times += 1
-                opens = sum(k.startswith('["t", "<') for k in group) - sum(k.startswith('["t", ">') for k in group)
-                if times > 1 and not opens:
-                    out.append(row[i] if size == 1 and row[i][0] == "+" else ["+", row[i : i + size]])
-                    i += times * size
-                    changed = True
+# A wrapper element is ["t", token], ["?", elements] or ["+", elements]. While wrappers are merged, elements are numbers.
+
+GROUP = 32
+
+
+class Elements:
+    """Wrapper elements as numbers: equal elements have one number, so that rows are compared as rows of numbers."""
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.items: list[tuple] = []
+        self.bare: list[int] = []
+        self.opens: list[int] = []
+
+    def number(self, kind: str, value) -> int:
+        found = self.numbers.get((kind, value))
+        if found is None:
+            found = self.numbers[kind, value] = len(self.items)
+            self.items.append((kind, value))
+            self.bare.append(found)
+            self.opens.append({"<": 1, ">": -1}.get(value[0], 0) if kind == "t" else 0)
+            if kind in "?+":  # without its quantifier, for the alignment: x, (x)? and (x)+ match one another
+                self.bare[found] = self.bare[value[0]] if len(value) == 1 else self.number("(", tuple(self.bare[x] for x in value))
+        return found
+
+    def load(self, row: list) -> list[int]:
+        return [self.number(kind, value if kind == "t" else tuple(self.load(value))) for kind, value in row]
+
+    def dump(self, row) -> list:
+        return [[kind, value if kind == "t" else self.dump(value)] for kind, value in (self.items[x] for x in row)]
+
+    def fold(self, row: list[int]) -> list[int]:
+        """Equal neighbouring groups become one repeated group; the shortest groups first, until nothing changes."""
+        before = None
+        while before != row:
+            before = row
+            row = self._absorb(row)
+            for size in range(1, GROUP + 1):
+                folded = self._folded(row, size)
+                row = self._absorb(folded) if len(folded) < len(row) else row
+        return row
+
+    def _folded(self, row: list[int], size: int) -> list[int]:
+        if 2 * size > len(row):
+            return row
+        held = np.array(row)
+        same = np.concatenate([[0], np.cumsum(held[size:] == held[:-size])])
+        again = same[size:] - same[:-size] == size  # a group of this size stands here and again behind itself
+        if not again.any():
+            return row
+        opens = np.concatenate([[0], np.cumsum([self.opens[x] for x in row])])
+        again &= (opens[size:] - opens[:-size])[: len(again)] == 0
+        out, i = [], 0
+        for at in np.flatnonzero(again).tolist():
+            if at < i:
+                continue
+            out += row[i:at]
+            i = at + size
+            while row[i : i + size] == row[at : at + size]:
+                i += size
+            alone = size == 1 and self.items[row[at]][0] == "+"
+            out.append(row[at] if alone else self.number("+", tuple(row[at : at + size])))
+        return out + row[i:]
+
+    def _absorb(self, row: list[int]) -> list[int]:
+        """A group beside its own repeated group is one turn of it."""
+        out: list[int] = []
+        turns = lambda x: self.items[x][1] if self.items[x][0] == "+" else ()
+        for element in row:
+            out.append(element)
+            while len(out) > 1:
+                group = turns(out[-1])
+                if group and tuple(out[-1 - len(group) : -1]) == group:
+                    del out[-1 - len(group) : -1]
+                elif group and out[-2] == out[-1]:
+                    out.pop()
                 else:
-                    out.append(row[i])
-                    i += 1
-            row = _absorb(out)
-            size += 1
-    return row
-
-
-def _absorb(row: list) -> list:
-    """A group beside its own repeated group is one turn of it."""
-    out: list = []
-    for element in row:
-        out.append(element)
-        while len(out) > 1:
-            if out[-1][0] == "+" and out[-1][1] == out[-1 - len(out[-1][1]) : -1]:
-                out[-1 - len(out[-1][1]) : -1] = []
-            elif out[-1][0] == "+" and out[-2] == out[-1]:
-                out.pop()
+                    n = next((n for n in range(1, min(GROUP, len(out) - 1) + 1) if turns(out[-1 - n]) and turns(out[-1 - n]) == tuple(out[-n:])), 0)
+                    if not n:
+                        break
+                    del out[-n:]
+        return out
+
+    def _core(self, element: int) -> tuple[bool, bool, tuple[int, ...]]:
+        """Whether an element is optional and repeated, and the elements that its quantifiers hold."""
+        optional = repeated = False
+        while self.items[element][0] != "t":
+            kind, value = self.items[element]
+            optional, repeated = optional or kind == "?", repeated or kind == "+"
+            if len(value) > 1:
+                return optional, repeated, value
+            element = value[0]
+        return optional, repeated, (element,)
+
+    def _both(self, a: int, b: int) -> int:
+        """What matches either of two elements that are alike but for quantifiers."""
+        if a == b:
+            return a
+        (maybe, many, left), (maybe_b, many_b, right) = self._core(a), self._core(b)
+        inner = tuple(self._both(x, y) for x, y in zip(left, right, strict=True))
+        if many or many_b:
+            inner = (self.number("+", inner),)
+        if maybe or maybe_b:
+            return self.number("?", inner)
+        return inner[0] if len(inner) == 1 else self.number("+", inner)
+
+    def merge(self, a: list[int], b: list[int]) -> list[int]:
+        """The wrapper of two rows: shared elements stay, mismatches become optional groups, repeats are folded."""
+        out: list[int] = []
+        i = j = 0
+        maybe = lambda row: [x if self.items[x][0] == "?" else self.number("?", (x,)) for x in row]
+        for k, m in [*common([self.bare[x] for x in a], [self.bare[x] for x in b]), (len(a), len(b))]:
+            out += maybe(a[i:k]) + maybe(b[j:m])
+            if k < len(a):
+                out.append(self._both(a[k], b[m]))
+            i, j = k + 1, m + 1
+        return self.fold(out)
+
+
+#: Bits of the longest-common-subsequence table that are held at a time.
+TABLE_BITS = 1 << 28
+
+
+def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places (in a, in b) of a longest common subsequence, by rows of bits: a zero bit is where the length grows. A table
+    over TABLE_BITS is halved at the place where the halves' lengths add up to most."""
+    lo = 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    ends = [(len(a) - hi + i, len(b) - hi + i) for i in range(hi)]
+    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    if not x or not y:
+        middle = []
+    elif len(x) * len(y) > TABLE_BITS and len(y) > 1:
+        half = len(y) // 2
+        head, tail = _lengths(x, y[:half]), _lengths(x[::-1], y[half:][::-1])[::-1]
+        cut = int(np.argmax(head + tail))
+        middle = common(x[:cut], y[:half]) + [(i + cut, j + half) for i, j in common(x[cut:], y[half:])]
+    else:
+        rows, middle, k, m = [*_rows(x, y)], [], len(x), len(y)
+        while k and m:
+            if x[k - 1] == y[m - 1]:
+                k, m = k - 1, m - 1
+                middle.append((k, m))
+            elif rows[m - 1] >> (k - 1) & 1:
+                k -= 1
             else:
-                n = next((i for i in range(2, len(out) + 1) if out[-i][0] == "+" and out[-i][1] == out[len(out) - i + 1 :]), 0)
-                if not n:
-                    break
-                del out[len(out) - n + 1 :]
-    return out
+                m -= 1
+        middle.reverse()
+    return [(i, i) for i in range(lo)] + [(lo + i, lo + j) for i, j in middle] + ends
 
 
-def row_of(tokens: list[str]) -> list:
-    return fold([["t", t] for t in tokens])
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each place of b the bits of a."""
+    every, at = (1 << len(a)) - 1, {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    row = every
+    for x in b:
+        met = row & at.get(x, 0)
+        row = (row + met | row - met) & every
+        yield row
 
 
-def _bare(element: list) -> str:
-    """An element without its quantifier, for the alignment: x, (x)? and (x)+ match one another."""
-    if element[0] == "t":
-        return element[1]
-    if len(element[1]) == 1:
-        return _bare(element[1][0])
-    return "(" + " ".join(map(_bare, element[1])) + ")"
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of b with every beginning of a."""
+    last = (1 << len(a)) - 1
+    for last in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(last.to_bytes((len(a) + 7) // 8, "little"), np.uint8), bitorder="little", count=len(a))
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
 
 
-def _core(element: list) -> tuple[bool, bool, list]:
-    """Whether an element is optional and repeated, and the elements that its quantifiers hold."""
-    optional = repeated = False
-    while element[0] != "t":
-        optional, repeated = optional or element[0] == "?", repeated or element[0] == "+"
-        if len(element[1]) > 1:
-            return optional, repeated, element[1]
-        element = element[1][0]
-    return optional, repeated, [element]
+def fold(row: list) -> list:
+    held = Elements()
+    return held.dump(held.fold(held.load(row)))
 
 
-def _both(a: list, b: list) -> list:
-    """What matches either of two elements that are alike but for quantifiers."""
-    if a[0] == b[0] == "t":
-        return a
-    (maybe, many, left), (maybe_b, many_b, right) = _core(a), _core(b)
-    inner = [_both(x, y) for x, y in zip(left, right, strict=True)]
-    if many or many_b:
-        inner = [["+", inner]]
-    return ["?", inner] if maybe or maybe_b else inner[0] if len(inner) == 1 else ["+", inner]
+def merge(a: list, b: list) -> list:
+    held = Elements()
+    return held.dump(held.merge(held.load(a), held.load(b)))
 
 
-def merge(a: list, b: list) -> list:
-    """The wrapper of two rows: shared elements stay, mismatches become optional groups, repeats are folded."""
-    out: list = []
-    match = difflib.SequenceMatcher(None, [_bare(x) for x in a], [_bare(x) for x in b], autojunk=False)
-    for what, i, j, k, m in match.get_opcodes():
-        if what == "equal":
-            out += [_both(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)]
-        else:
-            out += [x if x[0] == "?" else ["?", [x]] for x in a[i:j] + b[k:m]]
-    return fold(out)
+def row_of(tokens: list[str]) -> list:
+    return fold([["t", t] for t in tokens])
 
 
 def as_regex(wrapper: list) -> str:
@@ -275,24 +396,25 @@ def as_regex(wrapper: list) -> str:
 
 
 def program(wrapper: list) -> list[tuple]:
-    """A wrapper as steps: ("t", token), or ("|", step, step) that goes on at either step, the first one first."""
+    """A wrapper as steps: ("t", token, group), or ("|", step, step) that goes on at either step, the first one first.
+    ``group`` is the first step of the innermost repeated group of containers around a token, or -1."""
     steps: list[tuple] = []
 
-    def add(elements: list) -> None:
+    def add(elements: list, group: int) -> None:
         for kind, value in elements:
             at = len(steps)
             if kind == "t":
-                steps.append(("t", value))
+                steps.append(("t", value, group))
                 continue
             if kind == "?":
                 steps.append(())
-            add(value)
-            if kind == "?":
+                add(value, group)
                 steps[at] = ("|", at + 1, len(steps))
             else:
+                add(value, at if any(x != ["t", TEXT] for x in value) else group)
                 steps.append(("|", at, len(steps) + 1))
 
-    add(wrapper)
+    add(wrapper, -1)
     return steps
 
 
@@ -345,12 +467,23 @@ def containers(tokens: list[str]) -> dict[int, list[tuple[int, str]]]:
     return found
 
 
-def content_slots(tokens: list[str], weights: dict[int, tuple[float, float]]) -> list[int]:
+def content_slots(tokens: list[str], weights: dict[int, tuple[float, float]], same: Collection[int] = (), comments: Collection[int] = ()) -> list[int]:
     """The texts of a token row that hold the article; ``weights`` has the characters and the linked characters that the
-    host's pages have in the slot of each text."""
+    host's pages have in the slot of each text, ``same`` the texts in slots that do not vary, ``comments`` those in slots
+    that look like reader comments."""
+    found = _named(tokens, weights, {*same, *comments})
+    first = min((at for at in found if at not in same and at not in comments), default=None)
+    if first is None:
+        found = _named(tokens, weights, set()) if same or comments else found
+        return found
+    return [at for at in found if at not in same and not (at in comments and at > first)]
+
+
+def _named(tokens: list[str], weights: dict[int, tuple[float, float]], without: Collection[int]) -> list[int]:
+    """Content by elements, class words and the weights of texts; those of ``without`` weigh nothing."""
 
     every = containers(tokens)
-    plain = {at: max(0, weights[at][0] - 2 * weights[at][1]) for at in every}
+    plain = {at: 0 if at in without else max(0, weights[at][0] - 2 * weights[at][1]) for at in every}
     linked: dict[int, float] = {}  # characters in links beyond half of a container's text
     for at, chain in every.items():
         for place, _ in chain:
@@ -425,33 +558,46 @@ def _shape(tokens: list[str]) -> str:
     return hashlib.blake2b(" ".join(tokens).encode(), digest_size=16).hexdigest()
 
 
+ROWS = "host string, shape string, row string, page long, weights array<struct<at:int,chars:long,links:long,blocks:int,bylines:int,text:long>>"
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def token_rows(pages: DataFrame) -> DataFrame:
-    """(host, shape, row, weights) of every page: its token row, a digest of it, and the characters of each of its texts."""
+    """Of every page: its token row and a digest of it, a digest of its texts, and for each text of the row the characters,
+    blocks and bylines, and a digest."""
 
     def run(batches):
         for batch in batches:
-            hosts, shapes, rows, weights = [], [], [], []
+            hosts, shapes, rows, digests, weights = [], [], [], [], []
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 page, held = Page(source or ""), {}
                 for at, (_, text, linked) in zip(page.places, page.blocks, strict=True):
-                    chars, links = held.get(at, (0, 0))
-                    held[at] = (chars + len(text), links + linked)
+                    held.setdefault(at, []).append((text, linked))
                 hosts.append(host_of(url))
                 shapes.append(_shape(page.tokens))
                 rows.append(" ".join(page.tokens))
-                weights.append([{"at": at, "chars": c, "links": n} for at, (c, n) in held.items()])
-            kind = pa.list_(pa.struct([("at", pa.int32()), ("chars", pa.int64()), ("links", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(shapes, pa.string()), pa.array(rows, pa.string()), pa.array(weights, kind)], names=["host", "shape", "row", "weights"])
+                digests.append(_digest("\n".join(text for _, text, _ in page.blocks)))
+                weights.append(
+                    [
+                        {"at": at, "chars": sum(len(t) for t, _ in x), "links": sum(n for _, n in x), "blocks": len(x), "bylines": sum(byline(t) for t, _ in x), "text": _digest("\n".join(t for t, _ in x))}
+                        for at, x in held.items()
+                    ]
+                )
+            kind = pa.list_(pa.struct([("at", pa.int32()), ("chars", pa.int64()), ("links", pa.int64()), ("blocks", pa.int32()), ("bylines", pa.int32()), ("text", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(shapes, pa.string()), pa.array(rows, pa.string()), pa.array(digests, pa.int64()), pa.array(weights, kind)], names=["host", "shape", "row", "page", "weights"])
 
-    return pages.select("url", "html").transform(shared.arrow, run, "host string, shape string, row string, weights array<struct<at:int,chars:long,links:long>>")
+    return pages.select("url", "html").transform(shared.arrow, run, ROWS)
 
 
 def _merged(group: pd.DataFrame) -> pd.DataFrame:
-    wrapper = None
+    held, wrapper = Elements(), None
     for row in sorted(group["row"]):
-        row = json.loads(row)
-        wrapper = row if wrapper is None else merge(wrapper, row)
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "row": [json.dumps(wrapper)]})
+        row = held.load(json.loads(row))
+        wrapper = row if wrapper is None else held.merge(wrapper, row)
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "row": [json.dumps(held.dump(wrapper))]})
 
 
 def _folded(batches):
@@ -492,7 +638,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return out
 
 
-SLOTS = "host string, shape string, at int, slot int, path string"
+SLOTS = "host string, shape string, at int, slot int, repeated boolean, path string"
 
 
 def _parsed(batches):
@@ -506,8 +652,8 @@ def _parsed(batches):
             chains = containers(tokens)
             # a wrapper matches all rows it was merged from; without a match a slot would be its containers alone
             found = parse(steps, tokens) or [-1] * len(chains)
-            out += [(host, shape, at, slot, ">".join(label for _, label in chain)) for (at, chain), slot in zip(chains.items(), found, strict=True)]
-        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            out += [(host, shape, at, slot, slot >= 0 and steps[slot][2] >= 0, ">".join(label for _, label in chain)) for (at, chain), slot in zip(chains.items(), found, strict=True)]
+        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=[x.split()[0] for x in SLOTS.split(", ")])
 
 
@@ -515,10 +661,40 @@ def _judged(batches):
     for batch in batches:
         keep = []
         for row, held in zip(batch.column("row").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-            keep.append(content_slots(row.split(), {x["at"]: (x["chars"], x["links"]) for x in held}))
+            weights = {x["at"]: (x["chars"], x["links"]) for x in held}
+            keep.append(content_slots(row.split(), weights, {x["at"] for x in held if x["same"]}, {x["at"] for x in held if x["comment"]}))
         yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape"), pa.array(keep, pa.list_(pa.int32()))], names=["host", "shape", "keep"])
 
 
+def slots(counted: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(host, shape, at, chars, links, same, comment): what the pages of a host have in the slot of each text of a token row.
+
+    A text is common if it stands in a slot on (nearly) all pages that have the slot, in whatever turn of a repeated group. In
+    a repeated group links are counted by turn, elsewhere by slot."""
+    slot, place = ["host", "slot", "path"], ["host", "shape", "at"]
+    sums = lambda *names: [F.sum(c).alias(c) for c in names]
+    facts = ("n", "chars", "links", "blocks", "bylines")
+    own = counted.groupBy(*place).agg(*sums(*facts)).join(parsed, place)
+    # all pages of a token row have its slots, so pages are counted by row
+    pages_of = own.groupBy(*slot, "shape").agg(F.max("n").alias("n")).groupBy(*slot).agg(F.sum("n").alias("pages")).where(F.col("pages") >= PAGES)
+    texts = counted.join(parsed, place).groupBy(*slot, "shape", "text").agg(F.max("n").alias("n")).groupBy(*slot, "text").agg(*sums("n"))
+    common = texts.join(pages_of, slot).where(F.col("n") >= SAME * F.col("pages")).select(*slot, "text")
+    fixed = counted.join(parsed, place).join(common, [*slot, "text"]).groupBy(*place).agg(F.sum("n").alias("n_common"))
+    pooled = own.groupBy(*slot).agg(*sums(*facts), F.max("repeated").alias("repeated"))
+    many = F.col("repeated") | (F.col("bylines") > 1.5 * F.col("n"))
+    pooled = pooled.select(*slot, (F.col("chars") / F.col("n")).alias("_chars"), (F.col("links") / F.col("n")).alias("_links"), ((F.col("bylines") >= BYLINES * F.col("blocks")) & many).alias("comment"))
+    held = own.join(pooled, slot).join(fixed, place, "left")
+    turn = lambda c: F.when(F.col("repeated"), F.col(c) / F.col("n")).otherwise(F.col("_" + c)).alias(c)
+    return held.select(*place, turn("chars"), turn("links"), (F.coalesce("n_common", F.lit(0)) >= SAME * F.col("n")).alias("same"), "comment")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(host, shape, at, text, n, ..): the texts of token rows, pages with equal texts counted once. Texts are counted by
+    their digests, so one that all pages of a hot host have is one row a task."""
+    each = rows.groupBy("host", "shape", "page").agg(F.first("weights").alias("weights")).select("host", "shape", F.inline("weights"))
+    return each.groupBy("host", "shape", "at", "text").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("chars", "links", "blocks", "bylines")])
+
+
 def plans(pages: DataFrame) -> DataFrame:
     """(host, shape, keep): the texts of each distinct token row that are in content slots of its host's wrapper."""
     rows, path = shared.written(token_rows(pages), "token-rows")
@@ -526,14 +702,11 @@ def plans(pages: DataFrame) -> DataFrame:
     level, paths = _inferred(shapes)
     parsed = shapes.join(level.select("host", F.col("row").alias("wrapper")), "host").transform(shared.arrow, _parsed, SLOTS)
     parsed, at_slots = shared.written(parsed, "slots")
-    weights = rows.select("host", "shape", F.inline("weights")).groupBy("host", "shape", "at").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.count("*").alias("n"))
-    # characters of a slot are a mean over the texts there, so the turns of a repeated group don't count by their number
-    mean = lambda c: (F.sum(c) / F.sum("n")).alias(c)
-    pooled, at_pooled = shared.written(parsed.join(weights, ["host", "shape", "at"]).groupBy("host", "slot", "path").agg(mean("chars"), mean("links")), "pooled")
-    held = parsed.join(pooled, ["host", "slot", "path"]).groupBy("host", "shape").agg(F.collect_list(F.struct("at", "chars", "links")).alias("weights"))
+    counted, at_counted = shared.written(_counted(rows), "counted")
+    held = slots(counted, parsed).groupBy("host", "shape").agg(F.collect_list(F.struct("at", "chars", "links", "same", "comment")).alias("weights"))
     judged = shapes.join(held, ["host", "shape"]).transform(shared.arrow, _judged, "host string, shape string, keep array<int>")
     out, _ = shared.written(judged, "plans")
-    shared.remove(pages.sparkSession, path, at_shapes, at_slots, at_pooled, *paths)
+    shared.remove(pages.sparkSession, path, at_shapes, at_slots, at_counted, *paths)
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import html
+import html.parser as html_parser
 import json
 import math
 import random
@@ -534,8 +535,145 @@ def test_hosts_are_merged_in_rounds(spark, monkeypatch):
 def test_slots_are_places_in_the_wrapper(spark):
     """A list of links has the containers of the story but another place in the wrapper, and is no content."""
     menu, story = "<div>{}</div>".format("<a href=x>go</a> " * 3 + "go"), "<div><p>Story {} is told here at some length.</p></div>"
-    pages = spark.createDataFrame([(i, "http://slots.example/", f"<html><body>{menu}<section><p>An aside</p></section>{story.format(i)}</body></html>") for i in range(4)], "page_id long, url string, html string")
-    assert [r.text for r in wrappers.extract(pages).orderBy("page_id").collect()] == [f"An aside\nStory {i} is told here at some length." for i in range(4)]
+    pages = spark.createDataFrame([(i, "http://slots.example/", f"<html><body>{menu}<section><p>An aside {i}</p></section>{story.format(i)}</body></html>") for i in range(4)], "page_id long, url string, html string")
+    assert [r.text for r in wrappers.extract(pages).orderBy("page_id").collect()] == [f"An aside {i}\nStory {i} is told here at some length." for i in range(4)]
+
+
+def strange_pages(n, seed=0):
+    """(page_id, url, html, wanted text): class names that mean nothing, a notice and a legal note that do not vary, a menu of
+    links, an article in two containers with optional parts between, and comments of no name behind it."""
+    draw, rows = random.Random(seed), []
+    notice, legal = "We would like to tell you about our terms here at length, as the law asks of us in this place.", "All of this belongs to somebody, and no part of it may be given away by anybody at all."
+    for i in range(n):
+        said = [f"{prose(12, seed * 1000 + i * 10 + k)} {i}" for k in range(4)]
+        parts = draw.randint(0, 2)
+        extra = "".join(f"<section class=qq><p>{said[3]} {k}</p></section>" for k in range(parts))
+        remarks = "".join(f"<section class=zz><p>{draw.choice(['Anna B.', 'Otto', 'J. Doe'])}, {1 + k} May 2021</p><p>{prose(9, i * 100 + k)}</p></section>" for k in range(draw.randint(0, 3)))
+        menu = "".join(f"<a href=x>go {prose(2, k)}</a> " for k in range(draw.randint(2, 4)))
+        html_text = f"<html><body><div class=a1>{menu}</div><div class=a1><p>{notice}</p></div><div class=k9><div class=p1><p>{said[0]}</p><p>{said[1]}</p></div>{extra}<div class=p2><p>{said[2]}</p></div></div>{remarks}<div class=a1>{legal}</div></body></html>"
+        rows.append((i, "http://strange.example/", html_text, "\n".join([said[0], said[1], *(f"{said[3]} {k}" for k in range(parts)), said[2]])))
+    return rows
+
+
+def test_names_that_mean_nothing(spark):
+    rows = strange_pages(30)
+    pages = spark.createDataFrame([(*r[:3], "x", "y") for r in rows], "page_id long, url string, html string, host string, content string")
+    got = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
+def test_the_wrapper_decides(spark, monkeypatch):
+    """With an empty wrapper, slots that only their place tells apart are judged as one, and the result is another."""
+    pages = spark.createDataFrame([r[:3] for r in strange_pages(12, 1)], "page_id long, url string, html string")
+    with_wrapper = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    inferred = wrappers._inferred
+
+    def empty_ones(shapes):
+        level, paths = inferred(shapes)
+        return level.withColumn("row", F.lit("[]")), paths
+
+    monkeypatch.setattr(wrappers, "_inferred", empty_ones)
+    without = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    assert with_wrapper == {r[0]: r[3] for r in strange_pages(12, 1)}
+    assert sum(with_wrapper[i] != without[i] for i in without) > 6
+
+
+class Blocks(html_parser.HTMLParser):
+    """(tags around, text, linked characters) of blocks, by another parser; tags have their place among equal ones, counted
+    from the end of the page's body for what stands behind its second container."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.stack, self.counts, self.found, self.linked, self.text, self.links = [], {}, [], 0, "", 0
+        self.feed(source)
+        self.flush()
+
+    def flush(self):
+        text = " ".join(self.text.split())
+        if text:
+            self.found.append((tuple(self.stack), text, self.links))
+        self.text, self.links = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.linked += 1
+            return
+        self.flush()
+        if tag != "p":
+            key = (*self.stack, tag, dict(attrs).get("class"))
+            self.counts[key] = self.counts.get(key, 0) + 1
+            single = dict(attrs).get("class") == "a1"  # these stand one by one, the others in groups
+            self.stack.append((tag, dict(attrs).get("class"), self.counts[key] if single else 0))
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.linked -= 1
+            return
+        self.flush()
+        if tag != "p":
+            self.stack.pop()
+
+    def handle_data(self, data):
+        self.text += data
+        self.links += len(data) * (self.linked > 0)
+
+
+def test_main_text_against_brute_force(spark):
+    """All pages of a host at once, with copies of pages, by a parser and slots of another kind."""
+    rows = strange_pages(40, 2)
+    rows += [(100 + i, *rows[i % 3][1:]) for i in range(30)]  # copies don't make a text one of the template
+    parsed = {r[0]: Blocks(r[2]).found for r in rows}
+    distinct = {tuple(x): i for i, x in parsed.items()}
+    texts, links = {}, {}
+    for i in distinct.values():
+        for place in {b[0] for b in parsed[i]}:
+            mine = [b for b in parsed[i] if b[0] == place]
+            texts.setdefault(place, []).append("\n".join(b[1] for b in mine))
+            links[place] = links.get(place, 0) + sum(2 * b[2] - len(b[1]) for b in mine)
+    fixed = {place for place, held in texts.items() if len(held) >= 3 and max(map(held.count, held)) >= 0.9 * len(held)}
+    signed = {place for place, held in texts.items() if sum(bool(re.match(r"[A-Z][^\n]*, \d+ May \d+\n", x)) for x in held) > len(held) / 2}
+    want = {i: "\n".join(b[1] for b in blocks if b[0] not in fixed | signed and links[b[0]] < 0) for i, blocks in parsed.items()}
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrappers.extract(pages).collect()} == want
+
+
+def test_common_places_are_longest(monkeypatch):
+    draw = random.Random(81)
+    for bits in (1 << 28, 40):
+        monkeypatch.setattr(wrappers, "TABLE_BITS", bits)
+        for _ in range(200):
+            a, b = ([draw.randrange(4) for _ in range(draw.randint(0, 18))] for _ in range(2))
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+            got = wrappers.common(a, b)
+            assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+            assert len(got) == table[-1][-1]
+
+
+def test_long_rows_are_merged_in_time():
+    draw, rows = random.Random(82), []
+    for _ in range(2):
+        tokens = []
+        for _ in range(1700):
+            label = f"div.{draw.choice('abcdefgh')}"
+            tokens += ["<" + label, wrappers.TEXT, ">" + label]
+        rows.append([["t", t] for t in tokens])
+    began = time.perf_counter()
+    merged = wrappers.merge(*rows)
+    assert time.perf_counter() - began < 3 and merged
+
+
+def test_a_very_long_page(spark):
+    body = "".join(f"<div class=c{i % 7}><p>Part {i} of it is said here.</p></div>" for i in range(3000))
+    pages = spark.createDataFrame([(1, "http://long.example/", f"<html><body><article>{body}</article></body></html>")], "page_id long, url string, html string")
+    assert wrappers.extract(pages).first().text == "\n".join(f"Part {i} of it is said here." for i in range(3000))
+
+
+@pytest.mark.parametrize("text, found", [("Anna, 3 May 2021", True), ("by Otto K. on 2021-05-03 at 10:11", True), ("J. Doe says:", True), ("joe_x 2 hours ago", True), ("3 May 2021", False), ("May 3, 2021", False), ("On 3 May 2021", False), ("The story of the year 2021", False), ("It was on 3 May that a long sentence began to be told to all of us", False)])
+def test_bylines(text, found):
+    assert wrappers.byline(text) == found
 
 
 def test_wrappers_parse_the_rows_they_come_from():
@@ -558,15 +696,15 @@ def test_templates_of_a_host_are_judged_on_their_own(spark):
         "article": f"<article><p>{said}</p></article>",
         "main": f"<main><p>{said}</p></main>",
         "content": f"<div class='content'><p>{said}</p></div>",
-        "siblings": f"<div class='story'><section class='a'><p>{said}</p></section><ul><li><a href=x>a link in it</a></li></ul><section class='b'><p>{said}</p></section></div>",
-        "list": f"<div><p>{said}</p></div><ul><li>One more thing</li></ul>",
+        "siblings": f"<div class='story'><section class='a'><p>{said}</p></section><ul><li><a href=x>a link in {{}}</a></li></ul><section class='b'><p>{said}</p></section></div>",
+        "list": f"<div><p>{said}</p></div><ul><li>One more thing {{}}</li></ul>",
     }
     rows = [(i * 10 + k, "http://mixed.example/", f"<html><body><nav><a href=x>menu</a></nav>{body.replace('{}', f'{name} {i}')}<footer>end</footer></body></html>") for i in range(4) for k, (name, body) in enumerate(bodies.items())]
     got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in range(4):
         for k, name in enumerate(bodies):
             text = said.format(f"{name} {i}")
-            assert got[i * 10 + k] == {"siblings": f"{text}\na link in it\n{text}", "list": f"{text}\nOne more thing"}.get(name, text)
+            assert got[i * 10 + k] == {"siblings": f"{text}\na link in {name} {i}\n{text}", "list": f"{text}\nOne more thing {name} {i}"}.get(name, text)
 
 
 def content_of(html_text):
