@@ -44,8 +44,8 @@ def artifact(name: Column, design_hint: Column | None = None, tier_hint: Column
     hint = F.lit("") if design_hint is None else F.coalesce(design_hint, F.lit(""))
     at0 = F.lit(False) if tier_hint is None else F.coalesce(tier_hint == 0, F.lit(False)) & (hint != "")
     fields = (
-        F.when(s.rlike(TIER2), F.regexp_replace(s, TIER2, "2|$1|$2|$3|$5|$6|$4"))
-        .when(s.rlike(TIER1), F.regexp_replace(s, TIER1, "1|$1||$2|$4|$5|$3"))
+        F.when(s.contains("_tier2_") & s.rlike(TIER2), F.regexp_replace(s, TIER2, "2|$1|$2|$3|$5|$6|$4"))
+        .when(s.contains("_tier1_") & s.rlike(TIER1), F.regexp_replace(s, TIER1, "1|$1||$2|$4|$5|$3"))
         .when(at0 & s.rlike(TIER0_BARE), F.concat(F.lit("0|"), hint, F.regexp_replace(s, TIER0_BARE, "|||$1|$2|bare")))
         .when(at0 & s.rlike(TIER0), F.concat(F.lit("0|"), hint, F.regexp_replace(s, TIER0, "|||$2|$3|"), F.when(_part(s, TIER0, 1) == hint, "").otherwise("other")))
         .when(s.rlike(TIER0), F.regexp_replace(s, TIER0, "0|$1|||$2|$3|"))
@@ -61,6 +61,18 @@ def artifact(name: Column, design_hint: Column | None = None, tier_hint: Column
     return F.get(F.transform(F.array(F.split(F.coalesce(fields, F.lit("")), r"\|")), cut), F.lit(0))
 
 
+def stem_fields(s: Column) -> Column:
+    """struct(tier, design, src, dst, tail) of a stem by the loose grammars, the most specific one that fits; tier -1 if none."""
+    none = F.lit(None).cast("string")
+
+    def of(tier: int, design: Column, src: Column, dst: Column, tail: Column) -> Column:
+        return F.struct(F.lit(tier).alias("tier"), design.alias("design"), src.alias("src"), dst.alias("dst"), tail.alias("tail"))
+
+    two = of(2, *[_part(s, LOOSE2, i) for i in (1, 2, 3, 4)])
+    one = of(1, _part(s, LOOSE1, 1), none, _part(s, LOOSE1, 2), _part(s, LOOSE1, 3))
+    return F.when(s.rlike(LOOSE2), two).when(s.rlike(LOOSE1), one).when(s.rlike(LOOSE0), of(0, _part(s, LOOSE0, 1), none, none, _part(s, LOOSE0, 2))).otherwise(of(-1, none, none, none, none))
+
+
 def _tier_number(part: Column) -> Column:
     return F.when(part.startswith("tier"), F.replace(part, F.lit("tier"), F.lit("")).try_cast("int"))
 

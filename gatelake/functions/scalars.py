@@ -128,6 +128,7 @@ def saving(reduced: Column, base: Column) -> Column:
 
 def memory_failure(message: Column) -> Column:
     """guard, host or cuda by what a failure says, first rule first; null for other failures."""
+    # What failures say, and the order in which it counts.
     text = F.lower(message)
     has = lambda *words: functools.reduce(operator.or_, [text.contains(w) for w in words])
     worker = text.contains("dataloader worker")
@@ -140,6 +141,7 @@ def memory_failure(message: Column) -> Column:
     )
 
 
+#: Fixed values below: the factors of the cost rules, which must give the same numbers wherever they are computed.
 def _multipliers(layers: Column, jk: Column, encoder: Column, heads: Column) -> tuple[Column, Column, Column]:
     knowledge = F.when(jk == "cat", layers + 1).otherwise(1)
     attention = F.when(encoder.isin(*ATTENTION), heads).otherwise(1)
@@ -172,7 +174,8 @@ def sinusoidal(position: Column, dim: int) -> Column:
 
 
 def clamped_level(level: Column, size: int) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(size - 1), level))
+    """A level between 0 and ``size - 1``; null stays null."""
+    return F.when(level.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(size - 1), level)))
 
 
 def log1p_count(x: Column) -> Column:

@@ -106,11 +106,11 @@ def gap_rollups(gaps: DataFrame) -> DataFrame:
 
 def coverage(parsed: DataFrame, tier: int) -> DataFrame:
     """By design: expected, found and missing keys and the covered percentage."""
-    want = expected_keys(parsed, tier).groupBy("design").agg(F.count("*").alias("expected"))
-    lost = generation_gaps(parsed, tier).groupBy("design").agg(F.count("*").alias("missing"))
-    both = want.join(lost, "design", "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
-    found = F.col("expected") - F.col("missing")
-    return both.select("design", "expected", found.alias("found"), "missing", F.round(scalars.percent(found, F.col("expected")), 6).alias("coverage_pct"))
+    want = expected_keys(parsed, tier)
+    have = keys_of(parsed, "aig").where(F.col("tier") == tier).select(*[F.col(c).alias("_" + c) for c in KEY[1:]])
+    both = want.join(have, [want[c].eqNullSafe(have["_" + c]) for c in KEY[1:]], "left")
+    counts = both.groupBy("design").agg(F.count("*").alias("expected"), F.count("_recipe").alias("found"))
+    return counts.select("design", "expected", "found", (F.col("expected") - F.col("found")).alias("missing"), F.round(scalars.percent(F.col("found"), F.col("expected")), 6).alias("coverage_pct"))
 
 
 def lowest_coverage(covered: DataFrame, k: int) -> DataFrame:
@@ -185,3 +185,9 @@ def indexed_counts(rows: DataFrame, manifest: DataFrame, index: DataFrame, tag:
     m = manifest.select("graph_path", F.col("num_nodes").alias("_m"))
     i = index.where(F.col("tag") == tag).select("graph_path", F.col("num_nodes").alias("_i"))
     return rows.join(m, "graph_path", "left").join(i, "graph_path", "left").withColumn("num_nodes", F.coalesce("_m", "_i")).drop("_m", "_i")
+
+
+def count_mismatches(listed: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """Items of which the listed number of nodes is not the counted one; one that was not counted is among them."""
+    both = listed.select(key, F.col("num_nodes").alias("listed")).join(counted.select(key, F.col("num_nodes").alias("counted")), key, "left")
+    return both.where(~F.col("listed").eqNullSafe(F.col("counted")))

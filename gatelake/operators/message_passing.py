@@ -1,7 +1,8 @@
 """Forward message passing and pooling over node and edge tables, with features as arrays of doubles.
 
 Weights are small matrices given as lists, and become literals of the plan; sums over neighbours and graphs are grouped
-sums by dimension. Training needs a gradient and is not here; ``fit`` offers Spark's own regressors on pooled features."""
+sums by dimension. Training needs a gradient and is not here; ``fit`` and ``search`` offer Spark's
+own regressors on pooled features."""
 
 from __future__ import annotations
 
@@ -10,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatelake.functions import rng
+
 Matrix = Sequence[Sequence[float]]
 
 
@@ -113,13 +116,41 @@ def forward(nodes: DataFrame, edges: DataFrame, layers: Sequence[dict], final: d
     return pooled.select("graph_id", head(F.col("x"), **final).alias("prediction"))
 
 
-def fit(pooled: DataFrame, target: str, seed: int = 42):
-    """A linear regressor of Spark on pooled features: training that is native to Spark, in place of a network's."""
+def node_inputs(nodes: DataFrame, table: Matrix, encodings: Sequence[str], by: Sequence[str] = ("graph_id",)) -> DataFrame:
+    """What the first layer reads: a row of ``table`` by the node's role beside its encodings, normalised by graph, or by
+    graph and part."""
+    embedded = F.element_at(F.array(*[_vector(row) for row in table]), F.col("role") + 1)
+    rows = nodes.select(*by, "node_id", F.concat(embedded, F.array(*[F.col(c).cast("double") for c in encodings])).alias("x"))
+    return graph_norm(rows, list(by))
+
+
+def _data(pooled: DataFrame, target: str, *more: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
+
+    return pooled.select(array_to_vector("x").alias("features"), F.col(target).cast("double").alias("label"), *more)
+
+
+def fit(pooled: DataFrame, target: str, penalty: float = 1e-6):
+    """A linear regressor of Spark on pooled features: training that is native to Spark, in place of a network's."""
     from pyspark.ml.regression import LinearRegression
 
-    data = pooled.select(array_to_vector("x").alias("features"), F.col(target).cast("double").alias("label"))
-    return LinearRegression(solver="normal", regParam=1e-6).fit(data)
+    return LinearRegression(solver="normal", regParam=penalty).fit(_data(pooled, target))
+
+
+def search(pooled: DataFrame, target: str, penalties: Sequence[float], mixes: Sequence[float], key: str, folds: int = 3, seed: int = 42) -> DataFrame:
+    """(penalty, mix, rmse, best): a grid of settings of the regressor by cross-validation. A row's fold is a hash of its key,
+    so the search gives the same result however the rows are dealt."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    model = LinearRegression(standardization=False)
+    grid = ParamGridBuilder().addGrid(model.regParam, list(penalties)).addGrid(model.elasticNetParam, list(mixes)).build()
+    dealt = _data(pooled.withColumn("fold", rng.bucket(seed, folds, key)), target, "fold")
+    done = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="rmse"), numFolds=folds, foldCol="fold", seed=seed).fit(dealt)
+    rows = [(float(p[model.regParam]), float(p[model.elasticNetParam]), float(m)) for p, m in zip(grid, done.avgMetrics, strict=True)]
+    least = min(range(len(rows)), key=lambda i: (rows[i][2], i))
+    return pooled.sparkSession.createDataFrame([(*r, i == least) for i, r in enumerate(rows)], "penalty double, mix double, rmse double, best boolean")
 
 
 def offset_ids(nodes: DataFrame, batch: str) -> DataFrame:

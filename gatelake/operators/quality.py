@@ -124,3 +124,15 @@ def master_report(master: DataFrame) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def depth_only(master: DataFrame, epsilon: float = 1e-12) -> DataFrame:
+    """Rows that lost depth and no nodes."""
+    return master.where((F.abs("optimizability") <= epsilon) & (F.col("depth_optimizability") > 0))
+
+
+def accounting(discovered: DataFrame, saved: DataFrame, skipped: DataFrame, by: str, key: str) -> DataFrame:
+    """By group: items discovered, saved and skipped, and whether each discovered one is one of the others."""
+    n = lambda df, name: df.select(by, key).distinct().groupBy(by).agg(F.count("*").alias(name))
+    out = n(discovered, "discovered").join(n(saved, "saved"), by, "left").join(n(skipped, "skipped"), by, "left").na.fill(0, ["saved", "skipped"])
+    return out.withColumn("completed", F.col("saved") + F.col("skipped")).withColumn("complete", F.col("discovered") == F.col("completed"))

@@ -149,6 +149,20 @@ def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
     return edges.join(s, ["graph_id", "src"]).join(d, ["graph_id", "dst"]).select("graph_id", "edge_id", F.col("new_src").alias("src"), F.col("new_dst").alias("dst"), "inv")
 
 
+def ends_kept(edges: DataFrame, mask: DataFrame) -> DataFrame:
+    """Edges with ``keep``: whether a node mask keeps both ends."""
+    s = mask.select("graph_id", F.col("node_id").alias("src"), F.col("keep").alias("_s"))
+    d = mask.select("graph_id", F.col("node_id").alias("dst"), F.col("keep").alias("_d"))
+    return edges.join(s, ["graph_id", "src"]).join(d, ["graph_id", "dst"]).select("graph_id", "edge_id", "src", "dst", (F.col("_s") & F.col("_d")).alias("keep"))
+
+
+def level_spans(edges: DataFrame, levels: DataFrame) -> DataFrame:
+    """Edges with the number of levels between their ends."""
+    s = levels.select("graph_id", F.col("node_id").alias("src"), F.col("level").alias("ls"))
+    d = levels.select("graph_id", F.col("node_id").alias("dst"), F.col("level").alias("ld"))
+    return edges.join(s, ["graph_id", "src"]).join(d, ["graph_id", "dst"]).select("graph_id", "edge_id", "src", "dst", F.abs(F.col("ls") - F.col("ld")).cast("long").alias("span"))
+
+
 def with_k(nodes: DataFrame, target: int = scalars.TARGET_NODES, low: int = scalars.MIN_K, high: int = scalars.MAX_K) -> DataFrame:
     """Nodes with the number of parts that suits their graph's size."""
     return nodes.withColumn("n", F.count("*").over(Window.partitionBy("graph_id"))).withColumn("k", scalars.dynamic_k(F.col("n"), target, low, high))
@@ -170,10 +184,7 @@ def level_slices(nodes: DataFrame) -> DataFrame:
 
 def span_weights(edges: DataFrame, levels: DataFrame, alpha: float = SPAN) -> DataFrame:
     """Edges with a weight that grows with the levels they span."""
-    s = levels.select("graph_id", F.col("node_id").alias("src"), F.col("level").alias("ls"))
-    d = levels.select("graph_id", F.col("node_id").alias("dst"), F.col("level").alias("ld"))
-    both = edges.join(s, ["graph_id", "src"]).join(d, ["graph_id", "dst"])
-    return both.select("graph_id", "edge_id", "src", "dst", F.floor(1 + alpha * F.abs(F.col("ls") - F.col("ld"))).cast("long").alias("weight"))
+    return level_spans(edges, levels).select("graph_id", "edge_id", "src", "dst", F.floor(1 + alpha * F.col("span")).cast("long").alias("weight"))
 
 
 def balanced_parts(nodes: DataFrame, edges: DataFrame, weight: str | None = None) -> DataFrame:
@@ -246,10 +257,11 @@ def sparsify(nodes: DataFrame, edges: DataFrame, algorithm: str, seed: int = SEE
 
 def within_parts(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """Edges whose ends are in one part."""
-    return _ends(edges, parts).where("ps = pd").select("graph_id", "edge_id", "src", "dst", "inv", F.col("ps").alias("part"))
+    return part_pairs(edges, parts).where("ps = pd").select("graph_id", "edge_id", "src", "dst", "inv", F.col("ps").alias("part"))
 
 
-def _ends(edges: DataFrame, parts: DataFrame) -> DataFrame:
+def part_pairs(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """Edges with the parts of both ends."""
     s = parts.select("graph_id", F.col("node_id").alias("src"), F.col("part").alias("ps"))
     d = parts.select("graph_id", F.col("node_id").alias("dst"), F.col("part").alias("pd"))
     return edges.join(s, ["graph_id", "src"]).join(d, ["graph_id", "dst"])
@@ -261,7 +273,7 @@ def partition_stats(parts: DataFrame, edges: DataFrame) -> DataFrame:
     slots = parts.groupBy("graph_id").agg(F.max("k").alias("k")).select("graph_id", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
     full = slots.join(sizes, ["graph_id", "part"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     stats = full.groupBy("graph_id").agg(F.max("k").alias("k"), F.count_if(F.col("n") > 0).alias("nonempty"), F.round(F.avg("n"), 6).alias("mean_size"), F.max("n").alias("max_size"), F.min("n").alias("min_size"), F.round(F.stddev_samp("n"), 6).alias("std_size"))
-    cut = _ends(edges, parts).groupBy("graph_id").agg(F.round(F.count_if(F.col("ps") != F.col("pd")) / F.count("*"), 6).alias("edge_cut"))
+    cut = part_pairs(edges, parts).groupBy("graph_id").agg(F.round(F.count_if(F.col("ps") != F.col("pd")) / F.count("*"), 6).alias("edge_cut"))
     return stats.join(cut, "graph_id", "left").withColumn("edge_cut", F.coalesce("edge_cut", F.lit(0.0)))
 
 
@@ -295,7 +307,7 @@ def coarsened(nodes: DataFrame, edges: DataFrame, clusters: DataFrame) -> tuple[
     held = nodes.join(clusters, ["graph_id", "node_id"])
     role = lambda r, name: F.count_if(F.col("role") == r).alias(name)
     supers = held.groupBy("graph_id", "part").agg(F.count("*").alias("size"), role(0, "n_const"), role(1, "n_pi"), role(2, "n_and"), role(3, "n_po"))
-    ends = _ends(edges, clusters)
+    ends = part_pairs(edges, clusters)
     loops = ends.where("ps = pd").groupBy("graph_id", F.col("ps").alias("part")).agg(F.count("*").alias("n_loops"))
     between = ends.where("ps != pd").groupBy("graph_id", "ps", "pd").agg(F.count_if(~F.col("inv")).alias("n_plain"), F.count_if(F.col("inv")).alias("n_inverted"))
     return supers.join(loops, ["graph_id", "part"], "left").withColumn("n_loops", F.coalesce("n_loops", F.lit(0))), between

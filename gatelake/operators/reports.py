@@ -179,3 +179,34 @@ def accuracy_bars(scores: DataFrame) -> DataFrame:
 def realigned(order: DataFrame, values: DataFrame) -> DataFrame:
     """Values that a model gave in batch order, beside the sample each is of: ``order`` has (batch_id, pos, idx)."""
     return order.join(values, ["batch_id", "pos"]).select("idx", "batch_id", "pos", "value")
+
+
+def only(rows: DataFrame, **wanted: str) -> DataFrame:
+    """Rows of which every given column has the wanted value; null counts as empty."""
+    for column, value in wanted.items():
+        rows = rows.where(F.coalesce(F.col(column), F.lit("")) == value)
+    return rows
+
+
+def of_test(rows: DataFrame) -> DataFrame:
+    """Rows of the test split; a row that does not say is one."""
+    return rows.where(F.coalesce("split", F.lit("test")) == "test")
+
+
+def method_means(rows: DataFrame, *columns: str) -> DataFrame:
+    """Means of measurements by method."""
+    return rows.groupBy("method").agg(*[F.round(F.avg(c), 6).alias(c) for c in columns], F.count("*").alias("n"))
+
+
+def cross_state_bars(pairs: DataFrame) -> DataFrame:
+    """The bars of the cross-state figure, long: a row a run and state."""
+    return pairs.unpivot(["kind", "method"], ["matched_rmse", "full_rmse"], "state", "rmse")
+
+
+def figure_points(predictions: DataFrame, scores: DataFrame, costs: DataFrame) -> DataFrame:
+    """(figure, series, x, y, n): the points of the parity, bar and trade-off figures, for any plotting tool."""
+    run = F.concat_ws("_", "kind", F.nullif(F.coalesce("method", F.lit("")), F.lit("")))
+    parity = predictions.groupBy(F.col("run_label").alias("series"), F.col("target").alias("x"), F.col("prediction").alias("y")).agg(F.count("*").alias("n")).select(F.lit("parity").alias("figure"), "series", "x", "y", "n")
+    pareto = tradeoff(scores, costs).select(F.lit("pareto").alias("figure"), run.alias("series"), F.col("mean_vram").alias("x"), F.col("rmse").alias("y"), F.lit(1).cast("long").alias("n"))
+    bars = scores.select(F.lit("accuracy").alias("figure"), run.alias("series"), F.col("r2").alias("x"), F.col("rmse").alias("y"), F.col("n").cast("long").alias("n"))
+    return parity.unionByName(pareto).unionByName(bars)

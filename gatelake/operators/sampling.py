@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelake.functions import rng
+from gatelake.sources import scratch
 
 
 def sample(rows: DataFrame, key: str, k: int, seed: int) -> DataFrame:
@@ -43,11 +44,15 @@ def stratified(rows: DataFrame, key: str, size: str, k: int, seed: int, buckets:
 
 
 def _ranked(rows: DataFrame, size: str, key: str) -> DataFrame:
-    """``_rank`` from 0 in the order of (size, key), by offsets of the distinct sizes."""
-    sizes = rows.groupBy(size).agg(F.count("*").alias("_n"))
-    before = sizes.select(size, (F.sum("_n").over(Window.orderBy(size)) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(size).orderBy(key)) - 1
-    return rows.withColumn("_within", within).join(before, size).withColumn("_rank", F.col("_before") + F.col("_within")).drop("_before", "_within")
+    """``_rank`` from 0 in the order of (size, key), by offsets of (size, cell): rows of a common size are dealt over cells
+    by ranges of their keys, so no size is ranked in one task."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written once, since ranges made anew could have other bounds
+    ordered = scratch.kept(rows.repartitionByRange(n, size, key).withColumn("_cell", F.spark_partition_id()), "ranks")
+    cells = ordered.groupBy("_cell").agg(F.count("*").alias("_n"))
+    before = cells.select("_cell", (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_cell").orderBy(size, key)) - 1
+    return ordered.withColumn("_within", within).join(before, "_cell").withColumn("_rank", F.col("_before") + F.col("_within")).drop("_before", "_within", "_cell")
 
 
 def _ntile(rank: Column, n: int, buckets: int) -> Column:
@@ -116,36 +121,51 @@ def tuning_pools(rows: DataFrame, path: str, seed: int, sizes: Sequence[int]) ->
     return ranked.select(F.col("group").alias("path"), pool.alias("pool")).where("pool is not null")
 
 
-def plan(sizes: Sequence[int], budget: int) -> list[list[int]]:
-    """Batches of indices: the largest graph left, then the smallest ones while the sum stays within the budget."""
-    pool = deque(sorted(range(len(sizes)), key=lambda i: sizes[i]))
-    batches = []
-    while pool:
-        batch = [pool.pop()]
-        total = sizes[batch[0]]
-        while pool and total + sizes[pool[0]] <= max(1, budget):
-            total += sizes[pool[0]]
-            batch.append(pool.popleft())
-        batches.append(batch)
-    return batches
+def plan(sizes: np.ndarray, budget: int) -> np.ndarray:
+    """Batches of graphs given in ascending order of size: each takes the largest graph left and then as many of the smallest
+    ones as fit the budget with it.
+
+    So batch b leads with the b-th largest graph, and the small ones that it takes are the next run from the front. With
+    prefix sums, the end of that run is one binary search. Returns the end of each batch's run."""
+    sums = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    ends, front, back = [], 0, len(sizes)
+    while front < back:
+        back -= 1
+        room = max(1, budget) - int(sizes[back])
+        if room >= 0:
+            front = min(back, int(np.searchsorted(sums, sums[front] + room, "right")) - 1)
+        ends.append(front)
+    return np.array(ends, np.int64)
 
 
 def batch_plan(graphs: DataFrame, key: str, size: str, budget: int) -> DataFrame:
     """(batch_id, pos, idx, key, size): the plan over graphs in the order of (size, key).
 
-    Packing is sequential by nature and needs two numbers a graph, so one pass over them makes the plan; graphs
-    themselves stay where they are."""
+    Which graphs share a batch depends on sizes alone. Graphs are counted by size, the counts (a row a size) make the plan,
+    and each graph then finds its batch from its rank: the graphs themselves are ranked by size and range, in no single task."""
+    ranked = _ranked(graphs.select(F.col(key).alias("_key"), F.col(size).cast("long").alias("_size")), "_size", "_key")
+    counts = graphs.groupBy(F.col(size).cast("long").alias("_size")).agg(F.count("*").alias("_n"))
 
     def run(frames):
-        frame = pd.concat(list(frames))
-        frame = frame.sort_values(["_size", "_key"], kind="stable").reset_index(drop=True)
-        rows = [(b, p, i) for b, batch in enumerate(plan(frame["_size"].tolist(), budget)) for p, i in enumerate(batch)]
-        out = pd.DataFrame(rows, columns=["batch_id", "pos", "idx"])
-        out[key], out[size] = frame["_key"].to_numpy()[out["idx"]], frame["_size"].to_numpy()[out["idx"]]
-        yield out
-
-    held = graphs.select(F.col(key).alias("_key"), F.col(size).cast("long").alias("_size"))
-    return held.coalesce(1).mapInPandas(run, f"batch_id long, pos long, idx long, {key} long, {size} long")
+        frame = pd.concat(list(frames)).sort_values("_size")
+        sizes = np.repeat(frame["_size"].to_numpy(np.int64), frame["_n"].to_numpy())
+        ends = plan(sizes, budget)
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        batches = np.arange(len(ends))
+        yield pd.DataFrame({"batch_id": batches, "_first": starts, "_end": ends, "_lead": len(sizes) - 1 - batches})
+
+    batches = counts.repartition(1).mapInPandas(run, "batch_id long, _first long, _end long, _lead long")
+    members = batches.select("batch_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_end") - F.col("_first"))).alias("pos"), F.when(F.col("pos") == 0, F.col("_lead")).otherwise(F.col("_first") + F.col("pos") - 1).alias("idx"))
+    return members.join(ranked, F.col("idx") == F.col("_rank")).select("batch_id", "pos", "idx", F.col("_key").alias(key), F.col("_size").alias(size))
+
+
+def emitted(batches: DataFrame) -> DataFrame:
+    """(batch_id, pos, .., at): the order in which items of batches come out. A batch whose places have gaps, as if it had
+    been shuffled or cut, is an error."""
+    sizes = batches.groupBy("batch_id").agg(F.count("*").alias("n"), F.max("pos").alias("_last"))
+    whole = sizes.select("batch_id", F.when(F.col("_last") == F.col("n") - 1, F.col("n")).otherwise(F.raise_error(F.concat(F.lit("places have gaps in batch "), F.col("batch_id").cast("string"))).cast("long")).alias("n"))
+    start = offsets(whole.withColumn("_all", F.lit(0)), "_all", "batch_id", "n").select("batch_id", "offset")
+    return batches.join(start, "batch_id").withColumn("at", F.col("offset") + F.col("pos")).drop("offset")
 
 
 def shuffled(batches: DataFrame, seed: int, epoch: int) -> DataFrame:

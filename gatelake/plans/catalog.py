@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gatelake.plans import corpus, evaluation, files, graphs
+from gatelake.plans import checks, corpus, evaluation, files, graphs, rules
 
-_MODULES = (corpus, graphs, evaluation, files)
+_MODULES = (corpus, graphs, evaluation, files, rules, checks)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}

@@ -380,11 +380,6 @@ def _plan(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.batch_plan(sizes, "graph_id", "n", 2000)
 
 
-@register("bat01_batch_plan", None)
-def bat01(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark, sf)
-
-
 @register("bat03_epoch_order", f"SELECT b AS batch_id, row_number() OVER (ORDER BY {_u('45', 'b')}, b) - 1 AS at FROM (SELECT DISTINCT sample_id % 37 AS b FROM fx_samples)", "samples")
 def bat03(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.shuffled(fx.samples(spark, sf).select((F.col("sample_id") % 37).alias("batch_id")), 42, 3)
@@ -441,12 +436,3 @@ def smp05(spark: SparkSession, sf: str) -> DataFrame:
     counted = rows.select("sample_id", (F.col("pre_nodes") + F.when(F.col("step_id") == 21, 5).otherwise(0)).alias("counted"))
     audited = sampling.sample(rows, "sample_id", 200, 0).join(counted, "sample_id")
     return audited.groupBy((F.col("step_id") == 21).alias("last_step")).agg(F.count("*").alias("n"), F.count_if(F.col("pre_nodes") != F.col("counted")).alias("n_wrong"))
-
-
-@register("jon24_realigned", None)
-def jon24(spark: SparkSession, sf: str) -> DataFrame:
-    from gatelake.operators import reports
-
-    order = _plan(spark, sf)
-    values = order.select("batch_id", "pos", (F.col("n") * 2).cast("double").alias("value"))
-    return reports.realigned(order, values)

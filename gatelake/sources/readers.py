@@ -51,6 +51,7 @@ def strash(statements: DataFrame) -> DataFrame:
     equal fanins become one, which keeps its first name. A netlist is one unit, since its gates name one another."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("line")  # which of two equal gates keeps its name must not depend on the shuffle
         source = {r.out: (r.kind, list(r.ins)) for r in frame.itertuples() if r.kind not in ("INPUT", "OUTPUT")}
         found: dict[str, tuple[str, bool, int]] = {r.out: (r.out, False, 0) for r in frame.itertuples() if r.kind == "INPUT"}
         gates: dict[tuple, str] = {}
@@ -81,7 +82,7 @@ def strash(statements: DataFrame) -> DataFrame:
                 found[at] = (gates[key], False, level)
         return pd.DataFrame(rows, columns=["design", "gate", "a", "b", "inv_a", "inv_b", "level"])
 
-    return statements.orderBy("design", "line").groupBy("design").applyInPandas(run, AIG_SCHEMA)
+    return statements.groupBy("design").applyInPandas(run, AIG_SCHEMA)
 
 
 def _aiger(data: bytes) -> tuple[list[int], list[int], list[tuple[int, int, int]]]:
@@ -184,6 +185,22 @@ def csv_strings(spark: SparkSession, path, keys: Sequence[str] = ()) -> DataFram
     return raw.withColumns({k: F.trim(k) for k in keys if k in raw.columns})
 
 
+def csv_rows(spark: SparkSession, path, keys: Sequence[str] = ()) -> DataFrame:
+    """The same of files with bytes that are no UTF-8, which are left out."""
+    raw = csv_strings(spark, path, keys)
+    return raw.select(*[F.replace(c, F.lit("\ufffd"), F.lit("")).alias(c) for c in raw.columns])
+
+
+def prediction_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(source, target, prediction) of CSV tables by name; one that lacks a column, or has no rows, is skipped."""
+    out = spark.createDataFrame([], "source string, target double, prediction double")
+    for name, path in sorted(paths.items()):
+        raw = spark.read.csv(path, header=True, inferSchema=False)
+        if schemas.has_columns(raw, ["target", "prediction"]) and not raw.isEmpty():
+            out = out.unionByName(raw.select(F.lit(name).alias("source"), F.col("target").try_cast("double").alias("target"), F.col("prediction").try_cast("double").alias("prediction")))
+    return out
+
+
 def csv_folder(spark: SparkSession, folder: str, schema: T.StructType, prefix: str = "", column: str | None = None) -> DataFrame:
     """CSV files of a folder as one table, empty where there are none. ``column`` takes what a file's name has between
     ``prefix`` and ``.csv``, unless the file has that column itself."""
@@ -203,6 +220,10 @@ def csv_folder(spark: SparkSession, folder: str, schema: T.StructType, prefix: s
     return raw.select(*out)
 
 
+def splits_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path, schema="path string, split string")
+
+
 SPLITS = T.StructType([T.StructField(s, T.ArrayType(T.StringType())) for s in ("train", "val", "test")])
 
 

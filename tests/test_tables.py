@@ -95,16 +95,35 @@ def test_logs_need_two_lines(spark):
     assert {r.file_path: r.nodes for r in lineage.tier0_of_logs(logs).collect()} == {"base_aigs/a/tier0/synX_step0.aig": 10, "base_aigs/a/tier0/syn2_step1.aig": 7}
 
 
+def batches_of(sizes, budget):
+    """The plan as lists of places in the sorted sizes."""
+    ends = sampling.plan(np.array(sorted(sizes)), budget).tolist()
+    return [[len(sizes) - 1 - b, *range(start, end)] for b, (start, end) in enumerate(zip([0, *ends], ends))]
+
+
 def test_plans():
-    plan = sampling.plan([1, 2, 3, 4, 100, 101, 102, 103], 105)
+    plan = batches_of([1, 2, 3, 4, 100, 101, 102, 103], 105)
     assert len(plan) == 4 and all(len(b) == 2 for b in plan)
-    assert sampling.plan([1] * 40, 100) == [[39, *range(39)]]
-    alone = [b for b in sampling.plan([1, 2, 3, 4, 100, 101, 300, 350], 300) if b[0] in (6, 7)]
+    assert batches_of([1] * 40, 100) == [[39, *range(39)]]
+    alone = [b for b in batches_of([1, 2, 3, 4, 100, 101, 300, 350], 300) if b[0] in (6, 7)]
     assert alone == [[7], [6]]
+    assert batches_of([0, 0, 5], 5) == [[2, 0, 1]] and batches_of([], 5) == []
     draw = random.Random(2)
-    sizes = [draw.randint(1, 500) for _ in range(300)]
-    plan = sampling.plan(sizes, 600)
+    sizes = sorted(draw.randint(1, 500) for _ in range(300))
+    plan = batches_of(sizes, 600)
     assert sorted(i for b in plan for i in b) == list(range(300)) and all(len(b) == 1 or sum(sizes[i] for i in b) <= 600 for b in plan)
+    left = list(range(300))  # each batch could take no more
+    for b in plan:
+        assert b[0] == left[-1]
+        left = [i for i in left if i not in b]
+        assert not left or sum(sizes[i] for i in b) + sizes[left[0]] > 600
+
+
+def test_emitted_order(spark):
+    rows = spark.createDataFrame([(1, 0, "c"), (0, 1, "b"), (0, 0, "a")], "batch_id long, pos long, x string")
+    assert [r.x for r in sampling.emitted(rows).orderBy("at").collect()] == ["a", "b", "c"]
+    with pytest.raises(Exception, match="gaps"):
+        sampling.emitted(rows.where("x != 'a'")).collect()
 
 
 def test_batch_plan_of_a_table(spark):
