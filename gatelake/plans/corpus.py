@@ -36,7 +36,7 @@ k2 AS (SELECT *, regexp_extract(stem, '^(.+?)_({_ANY})_({_ANY})_tier2_(?:(.+?)_)
     regexp_extract(stem, '^(.+?)_({_ANY})_tier1_(?:(.+?)_)?syn([0-9X]+)_step(\d+)$', ['a','b','d','e','f']) AS m1, regexp_extract(stem, '^(.+?)_syn([0-9X]+)_step(\d+)$', ['a','e','f']) AS m0,
     regexp_extract(stem, '^syn([0-9X]+)_step(\d+)$', ['e','f']) AS mb, tier_part = 'tier0' AND hint IS NOT NULL AS at0 FROM k1),
 k3 AS (SELECT store, path, stem, m2, m1, m0, mb, hint, at0, CASE WHEN m2.a <> '' THEN 2 WHEN m1.a <> '' THEN 1 WHEN m0.a <> '' OR (at0 AND mb.e <> '') THEN 0 ELSE -1 END AS tier FROM k2),
-fx_keys AS (SELECT store, path, tier,
+fx_keys AS MATERIALIZED (SELECT store, path, tier,
     CASE tier WHEN 2 THEN m2.a WHEN 1 THEN m1.a WHEN 0 THEN CASE WHEN at0 THEN hint ELSE m0.a END END AS design, CASE tier WHEN 2 THEN m2.b END AS src, CASE tier WHEN 2 THEN m2.c WHEN 1 THEN m1.b END AS dst,
     CASE tier WHEN 2 THEN m2.e WHEN 1 THEN m1.e WHEN 0 THEN CASE WHEN m0.a <> '' THEN m0.e ELSE mb.e END END AS recipe, CASE tier WHEN 2 THEN m2.f WHEN 1 THEN m1.f WHEN 0 THEN CASE WHEN m0.a <> '' THEN m0.f ELSE mb.f END END AS step,
     CASE tier WHEN 2 THEN CASE WHEN m2.d <> '' THEN 'messy' ELSE 'clean' END WHEN 1 THEN CASE WHEN m1.d <> '' THEN 'messy' ELSE 'clean' END WHEN 0 THEN CASE WHEN at0 AND (m0.a = '' OR m0.a <> hint) THEN 'messy' ELSE 'clean' END ELSE 'unrecognized' END AS state FROM k3),
@@ -69,11 +69,11 @@ def scl05(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "scl09_input_graphs",
-    r""", s AS (SELECT file_path, tier_id, root_design, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\.aig$', '') AS stem FROM fx_master)
+    r""", s AS (SELECT file_path, tier_id, root_design, recipe_id, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\.aig$', '') AS stem FROM fx_master)
     SELECT file_path, CASE tier_id WHEN 0 THEN 'root/graphs/tier0/' || root_design || '/' || stem || '.pt'
       WHEN 1 THEN 'root/graphs/tier0/' || root_design || '/' || regexp_replace(stem, '^(.+?)_(C2RS|Deepsyn|Orchestrate|Syn4)_tier1_', '\1_') || '.pt'
       ELSE 'root/graphs/tier1/' || regexp_extract(stem, '^(.+?)_(C2RS|Deepsyn|Orchestrate|Syn4)_', 2) || '/' || root_design || '/' || regexp_replace(stem, '^(.+?)_(C2RS|Deepsyn|Orchestrate|Syn4)_(C2RS|Deepsyn|Orchestrate|Syn4)_tier2_', '\1_\2_tier1_') || '.pt' END AS input_path,
-      'syn' || recipe_id AS recipe FROM s JOIN (SELECT file_path, recipe_id FROM fx_master) USING (file_path)""",
+      'syn' || recipe_id AS recipe FROM s""",
     "master",
 )
 def scl09(spark: SparkSession, sf: str) -> DataFrame:

@@ -41,7 +41,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key.withColumn("graph_path", path).withColumn("target", scalars.relative_reduction(F.col("pre_nodes"), F.col("post_nodes")))
 
 
-SAMPLES = """fx_samples AS (
+SAMPLES = """fx_samples AS MATERIALIZED (
   SELECT *, round(CASE WHEN pre_nodes > 0 THEN (pre_nodes - post_nodes)::DOUBLE / pre_nodes ELSE 0.0::DOUBLE END, 4) AS target,
     CASE WHEN tier_id = 1 THEN '/gpfs/scratch1/shared/graphs/tier1/' || algorithm || '/' || design || '/' || design || '_' || algorithm || '_tier1_syn' || recipe_id || '_step' || step_id || '.pt'
          ELSE '/gpfs/scratch1/shared/graphs/tier0/' || design || '/' || design || '_syn' || recipe_id || '_step' || step_id || '.pt' END AS graph_path
@@ -100,7 +100,7 @@ fx_every AS (
   SELECT 'base_aigs/' || design || '/tier0/' || design || '_syn' || recipe_id || '_step' || step_id || '.aig' AS file_path, design AS root_design, design, recipe_id, step_id, 0 AS tier_id, '' AS algorithm, n0 AS nodes, 0::BIGINT AS edges, num_pi, num_po, d0 AS depth, n0 AS before, d0 AS depth_before FROM fx_base
   UNION ALL SELECT 'base_aigs/' || design || '/tier1/' || src || '/' || design || '_' || src || '_tier1_syn' || recipe_id || '_step' || step_id || '.aig', design, design, recipe_id, step_id, 1, src, n1, 0, num_pi, num_po, d1, n0, d0 FROM fx_one
   UNION ALL SELECT 'base_aigs/' || design || '/tier2/' || dst || '/' || design || '_' || src || '_' || dst || '_tier2_syn' || recipe_id || '_step' || step_id || '.aig', design, design || '_' || src, recipe_id, step_id, 2, dst, n2, 0, num_pi, num_po, d2, n1, d1 FROM fx_two),
-fx_master AS (SELECT * EXCLUDE (before, depth_before), round(CASE WHEN before > 0 THEN (before - nodes)::DOUBLE / before ELSE 0.0::DOUBLE END, 4) AS optimizability,
+fx_master AS MATERIALIZED (SELECT * EXCLUDE (before, depth_before), round(CASE WHEN before > 0 THEN (before - nodes)::DOUBLE / before ELSE 0.0::DOUBLE END, 4) AS optimizability,
     round(CASE WHEN depth_before > 0 THEN (depth_before - depth)::DOUBLE / depth_before ELSE 0.0::DOUBLE END, 4) AS depth_optimizability
   FROM fx_every WHERE cast('0x' || substr(md5('gap:' || file_path), 1, 8) AS BIGINT) / 4294967296::DOUBLE >= 0.05)"""
 
@@ -121,7 +121,7 @@ STORES = r"""fx_names AS (SELECT *, store || ':' || file_path AS k FROM fx_maste
 fx_named AS (SELECT *, CASE WHEN tier_id > 0 AND cast('0x' || substr(md5('messy:' || k), 1, 8) AS BIGINT) / 4294967296::DOUBLE < 0.02
     THEN regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '_tier([12])_', '_tier\1_tmp_Qx7_') ELSE regexp_extract(file_path, '([^/]*)$', 1) END AS name
   FROM fx_names WHERE cast('0x' || substr(md5('store:' || k), 1, 8) AS BIGINT) / 4294967296::DOUBLE >= 0.03),
-fx_stores AS (SELECT store, CASE WHEN store = 'pt' THEN concat_ws('/', 'graphs', 'tier' || tier_id, CASE WHEN tier_id = 1 THEN algorithm END, root_design, regexp_replace(name, '\.aig$', '.pt'))
+fx_stores AS MATERIALIZED (SELECT store, CASE WHEN store = 'pt' THEN concat_ws('/', 'graphs', 'tier' || tier_id, CASE WHEN tier_id = 1 THEN algorithm END, root_design, regexp_replace(name, '\.aig$', '.pt'))
     ELSE regexp_extract(file_path, '^(.*/)?[^/]*$', 1) || name END AS path FROM fx_named)"""
 
 

@@ -263,6 +263,11 @@ def manifest(spark: SparkSession, path: str, samples: DataFrame | None = None) -
     return rows
 
 
+def manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same of a manifest with a line of JSON an entry, for any number of graphs."""
+    return spark.read.json(path, schema="pos int, graph_path string, cache_path string, num_nodes long")
+
+
 def node_index(spark: SparkSession, path: str) -> DataFrame:
     """(graph_path, cache_path, num_nodes, tag) of an index of which a value is a count or [path, count, tag]."""
     held = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("graph_path", "v"))
