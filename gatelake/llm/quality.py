@@ -12,6 +12,7 @@ whatever their names, and ``facts`` reads only doc_id and text. Texts are judged
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable, Iterator
 from functools import cached_property
@@ -27,6 +28,8 @@ from gatelake.llm import text as tx
 #: Documents on which costs and rejections are estimated, and the longest taken; they set the order of rules only.
 SAMPLE_ROWS = 500
 SAMPLE_CHARS = 20_000
+#: Partitions, spread over the table, that the sample is read from.
+SAMPLE_PARTS = 8
 SYMBOLS = b"#*$%&|<>"
 
 _IS_SYMBOL = np.zeros(256, bool)
@@ -128,10 +131,14 @@ def verdicts(facts: Facts, order: list[str]) -> np.ndarray:
 
 
 def estimate(docs: DataFrame) -> list[str]:
-    """Rules by rejections per second, the best first, from the first SAMPLE_ROWS documents of at most SAMPLE_CHARS.
-
-    ``take`` reads as few partitions as it needs, and the sample has a bound in bytes, so it is measured on the driver."""
-    texts = [row.text.encode("utf-8") for row in docs.select("text").where(F.length("text") <= SAMPLE_CHARS).take(SAMPLE_ROWS)]
+    """Rules by rejections per second, the best first, on SAMPLE_ROWS documents of at most SAMPLE_CHARS.
+
+    They are the first ones of SAMPLE_PARTS partitions spread over the table, so a sorted table is not judged by its beginning.
+    Other partitions are not read, and the sample has a bound in bytes, so it is measured on the driver."""
+    rows = docs.select("text").where(F.length("text") <= SAMPLE_CHARS).rdd
+    parts = sorted({round(x) for x in np.linspace(0, rows.getNumPartitions() - 1, SAMPLE_PARTS)} if rows.getNumPartitions() else ())
+    each = -(-SAMPLE_ROWS // max(1, len(parts)))
+    texts = [row.text.encode("utf-8") for row in docs.sparkSession.sparkContext.runJob(rows, lambda held: list(itertools.islice(held, each)), parts)] if parts else []
     data, bounds = b"".join(texts), np.cumsum([0, *map(len, texts)])
     gain = {}
     for name, rule in RULES.items():

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +25,14 @@ def arrow(df: DataFrame, function, schema) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder: ``spark.checkpoint.dir``, or a new one where that is unset (as in tests)."""
+    """URI of the shared folder: ``spark.checkpoint.dir``, or the context's checkpoint folder. Where neither is set (as in
+    tests) a local session takes a new one; on a cluster, whose machines share no such folder, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gatelake-")
         spark.sparkContext.setCheckpointDir(found)
     # a path without a scheme is one of the cluster's default file system
@@ -38,7 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/gatelake-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gatelake-{name}-{uuid.uuid4().hex}"
+    for held in _scopes[-1:]:
+        held.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -49,6 +57,19 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that operators wrote within, for callers that have their results by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_scopes.pop())
+
+
+_scopes: list[list[str]] = []
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes tables in the shared folder that no later read needs."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

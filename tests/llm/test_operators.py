@@ -972,6 +972,21 @@ def test_quality_facts(spark, odd, empty):
     assert quality.facts(empty).collect() == [] and quality.cascade(empty).collect() == []
 
 
+def test_a_scope_removes_what_operators_wrote(spark, odd, tmp_path):
+    with shared.scope(spark):
+        out, path = shared.written(odd, "scoped")
+        assert out.count() == odd.count()
+    with pytest.raises(Exception, match="scoped"):
+        spark.read.parquet(path)
+
+
+def test_the_sample_is_spread_over_the_table(spark, monkeypatch):
+    """A table sorted by what a rule rejects is not judged by its first rows."""
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 16)
+    docs = spark.range(800).repartitionByRange(8, "id").selectExpr("id as doc_id", "if(id < 400, 'short', repeat('### ', 60)) as text")
+    assert sorted(quality.estimate(docs)) == sorted(quality.RULES) and quality.estimate(docs.limit(0)) is not None
+
+
 def test_the_order_of_rules_does_not_matter(odd):
     texts = [(r.text or "").encode() for r in odd.collect()]
     facts = lambda: quality.Facts(b"".join(texts), np.cumsum([0, *map(len, texts)]))

@@ -8,7 +8,7 @@ import re
 import corpus_pipeline
 import pytest
 from gatelake.llm import vocab
-from test_operators import ALNUM, brute_components, brute_facts, near_copies, prose, windows_hit, words
+from test_operators import ALNUM, KEYS, SPACED, brute_clean, brute_components, brute_dedup, brute_facts, near_copies, prose, windows_hit, words
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -64,3 +64,44 @@ def test_run(spark, tables):
         text = library.decode_bytes(ids)
         assert r.n_tokens == len(ids) and ids == library.encode_ordinary(text.decode())
         assert r.decoded_sha256 == hashlib.sha256(text).hexdigest() and re.search(rb"\S", text)
+
+
+def brute_pipeline(rows, items):
+    """doc_id and token ids of what must come out, by the brute-force versions of the stages."""
+    kept = [(i, t) for i, t in rows if not brute_facts(t)[5] and quality_verdict(t)]
+    least = {d: c for d, _, c, _ in brute_components(kept) if d is not None}
+    kept = [(i, t) for i, t in kept if i is None or least[i] == i]
+    KEYS.update({t: hash(t) for i, t in kept if i is None})
+    texts = brute_dedup(kept, 20, 20)
+    out = []
+    for (i, _), (_, text) in zip(kept, texts, strict=True):
+        text = text if text is None or not re.search(SPACED, text) else brute_clean(text, items, 10)
+        if text is not None and re.search(SPACED, text):
+            out.append((i, vocab.encoder(vocab.tiktoken_path()).encode_ordinary(text)))
+    return out
+
+
+def quality_verdict(text):
+    n, chars, symbols, again, _, _ = brute_facts(text)
+    lines = [x for x in (text or "").split("\n") if re.search(SPACED, x)]
+    return not (10 * symbols > n or 100 * again > 60 * len(lines) or chars < 2 * n or chars > 25 * n)
+
+
+def test_run_against_brute_force(spark, tables):
+    folder, rows, _, item = tables
+    got = [(r.doc_id, [int.from_bytes(r.ids[i : i + 4], "little") for i in range(0, len(r.ids), 4)]) for r in corpus_pipeline.run(spark, folder).collect()]
+    assert sorted(got) == sorted(brute_pipeline([(i, t) for i, t, *_ in rows], [(1, words(item, ALNUM))]))
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, columns of other names, and no rows at all."""
+    base = prose(80, 301)
+    rows = [(1, base, "x", 1), (1, base, "x", 1), (None, prose(90, 302), "x", 1), (None, None, None, None), (2, None, "x", 1), (3, "", "x", 1), (4, prose(3000, 303), "x", 1), (5, base, "y", 2)]
+    items = [(1, words(prose(20, 304), ALNUM))]
+    spark.createDataFrame([(1, prose(20, 304))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, removed string, n_words int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == sorted((i is None, i or 0, len(ids)) for i, ids in brute_pipeline([rows[0][:2], *[r[:2] for r in rows[2:]]], items))
+    spark.createDataFrame([], DOCUMENTS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
