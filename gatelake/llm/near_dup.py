@@ -47,6 +47,8 @@ SIDE = 18
 STARS = 2
 #: Rows of a shingle that a task joins in the pairwise round; a shingle of more is dealt over several.
 HOT_ROWS = 1024
+#: Classes with more than this part of all rows are joined back by a broadcast.
+HOT = 1000
 #: Logarithm of the ratio of two bands of set sizes, a little over that of the sizes of two sets that can be linked.
 BAND = math.log(1.005 * 100 / PERCENT)
 
@@ -224,11 +226,10 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     found, at_common = _candidates(classes)
     candidates, path = shared.written(found, "candidates")
     paths = [at_common, path]
-    # written, so that Spark knows its size: documents are shuffled only if it is too large for a broadcast
     owners, path = shared.written(candidates.select("node").join(classes.select("node", "doc_id", "text_key"), "node"), "owners")
     paths.append(path)
     # the class's smallest document; the digest of its text tells apart rows that share a doc_id
-    held = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").join(owners, ["doc_id", "text_key"])
+    held = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").join(owners.hint("merge"), ["doc_id", "text_key"])
     texts, path = shared.written(held.select("node", "text"), "texts")
     paths.append(path)
     if texts.count() > owners.count():  # rows that repeat
@@ -260,11 +261,11 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def classes_of(table: DataFrame) -> tuple[DataFrame, str]:
-    """(node, high, low, doc_id, text_key, keys): equal sets as one class each, with a number that no other has and its
-    smallest document; and the written table. The numbers hold once the table is written: it is read, never made again."""
+    """(node, high, low, n, doc_id, text_key, keys): equal sets as one class each, with a number that no other has, its rows and
+    its smallest document; and the written table. The numbers hold once the table is written: it is read, never made again."""
     least = F.min(F.struct("doc_id", "text_key", "keys")).alias("least")
-    found = table.where("doc_id is not null and high is not null").groupBy("high", "low").agg(least)
-    return shared.written(found.select(F.monotonically_increasing_id().alias("node"), "high", "low", "least.*"), "classes")
+    found = table.where("doc_id is not null and high is not null").groupBy("high", "low").agg(F.count("*").alias("n"), least)
+    return shared.written(found.select(F.monotonically_increasing_id().alias("node"), "high", "low", "n", "least.*"), "classes")
 
 
 def components_of(docs: DataFrame, table: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -272,13 +273,22 @@ def components_of(docs: DataFrame, table: DataFrame) -> tuple[DataFrame, list[st
     for an empty set or a null doc_id; and written tables."""
     classes, at_classes = classes_of(table)
     roots = links(docs, classes)
-    own = classes.select("node", "high", "low", F.struct("doc_id", "text_key").alias("own"))
+    own = classes.select("node", "high", "low", "n", F.struct("doc_id", "text_key").alias("own"))
     named, at_named = shared.written(own.join(roots, "node").select("root", "high", "low", "own"), "named")
     smallest, at_smallest = shared.written(named.groupBy("root").agg(F.min("own").alias("smallest")), "smallest")
     linked = named.join(smallest, "root").select(F.col("high").alias("_h"), F.col("low").alias("_l"), "smallest")
-    by_class = own.join(linked, (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l")), "left").select("high", "low", F.coalesce("smallest", "own").alias("least"))
-    named_docs = table.select("doc_id", "text_key", "n_shingles", *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("high", "low")])
-    return named_docs.join(by_class, ["high", "low"], "left").drop("high", "low"), [at_classes, at_named, at_smallest]
+    by_class = own.join(linked, (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l")), "left").select("high", "low", "n", F.coalesce("smallest", "own").alias("least"))
+    by_class, at_by_class = shared.written(by_class, "by-class")
+    rows = table.select("doc_id", "text_key", "n_shingles", "high", "low")
+    keyed = rows.where("doc_id is not null and high is not null")
+    alone = rows.where("doc_id is null or high is null").withColumn("least", F.lit(None).cast(by_class.schema["least"].dataType))
+    # classes of more than a HOT-th of all rows are less than HOT, and no row of theirs is shuffled
+    least_hot = max(1, table.count() // HOT)
+    hot = F.broadcast(by_class.where(F.col("n") > least_hot).drop("n"))
+    cold = by_class.where(F.col("n") <= least_hot).drop("n")
+    rest = keyed.join(hot.drop("least"), ["high", "low"], "left_anti").join(cold, ["high", "low"])
+    every = keyed.join(hot, ["high", "low"]).unionByName(rest).unionByName(alone)
+    return every.drop("high", "low"), [at_classes, at_named, at_smallest, at_by_class]
 
 
 def report(docs: DataFrame) -> DataFrame:
