@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatelake.sources import scratch
+
 BETA = 0.01
 
 
@@ -38,24 +40,29 @@ def errors(rows: DataFrame, by: Sequence[str], target: str = "target", predictio
     )
 
 
+def _ranks(counts: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """(by, value, name): midranks from counts ``_n`` of the distinct values. Values are dealt in ranges, which are written
+    once, and each range adds the counts of those before it, so no group is sorted in one task."""
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch.kept(counts.repartitionByRange(n, *by, value).withColumn("_cell", F.spark_partition_id()), "ranges")
+    cells = dealt.groupBy(*by, "_cell").agg(F.sum("_n").alias("_m"))
+    before = cells.select(*by, "_cell", (F.sum("_m").over(Window.partitionBy(*by).orderBy("_cell")) - F.col("_m")).alias("_before"))
+    below = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy(value)) - F.col("_n")
+    return dealt.join(before, [*by, "_cell"]).select(*by, value, (below + (F.col("_n") + 1) / 2).alias(name))
+
+
 def midranks(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
     """Rows with the rank of a value in its group; equal values share the mean of their places.
 
     Ranks come from counts of the distinct values, so a group is sorted by value and not by row."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy(*by).orderBy(value)) - F.col("_n")
-    return rows.join(counts.select(*by, value, (below + (F.col("_n") + 1) / 2).alias(name)), [*by, value])
+    return rows.join(_ranks(counts, by, value, name), [*by, value])
 
 
 def spearman(rows: DataFrame, by: Sequence[str], target: str = "target", prediction: str = "prediction") -> DataFrame:
     """Correlation of midranks by group, null for one row or a constant side."""
     pairs = rows.groupBy(*by, target, prediction).agg(F.count("*").alias("w"))
-
-    def ranked(value: str, name: str) -> DataFrame:
-        counts = pairs.groupBy(*by, value).agg(F.sum("w").alias("_n"))
-        below = F.sum("_n").over(Window.partitionBy(*by).orderBy(value)) - F.col("_n")
-        return counts.select(*by, value, (below + (F.col("_n") + 1) / 2).alias(name))
-
+    ranked = lambda value, name: _ranks(pairs.groupBy(*by, value).agg(F.sum("w").alias("_n")), by, value, name)
     held = pairs.join(ranked(target, "rt"), [*by, target]).join(ranked(prediction, "rp"), [*by, prediction])
     return weighted_pearson(held, by, "rt", "rp", "w").withColumnRenamed("pearson", "spearman")
 

@@ -35,7 +35,7 @@ def stratified(rows: DataFrame, key: str, size: str, k: int, seed: int, buckets:
     order = _ranked(rows, size, key).withColumn("bucket", _ntile(F.col("_rank"), n_rows, buckets))
     drawn = order.withColumn("_u", rng.uniform(seed, key)).withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("_u", key)))
     quota = F.lit(k // buckets) + F.when(F.col("bucket") < k % buckets, 1).otherwise(0)
-    chosen = drawn.where(F.col("r") <= quota)
+    chosen = drawn.where(F.col("r") <= k // buckets + 1).where(F.col("r") <= quota)  # the literal bound lets tasks drop rows before the shuffle
     short = k - sum(min(k // buckets + (b < k % buckets), n_rows // buckets + (b < n_rows % buckets)) for b in range(buckets))
     if short > 0:
         rest = drawn.where(F.col("r") > quota).orderBy("_u", key).limit(short)

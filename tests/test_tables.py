@@ -305,3 +305,31 @@ def test_work_resumes(spark, tmp_path):
     items = spark.createDataFrame([("a",), ("b",)], "graph_id string")
     done = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "graph_id string, algo string")
     assert [r.graph_id for r in incremental.remaining(items, done, "graph_id", ["x", "y"]).collect()] == ["b"]
+
+
+def test_search_takes_the_best_setting(spark):
+    from gatelake.operators import message_passing
+
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(90, 2))
+    y = 2 * x[:, 0] - x[:, 1] + 0.01 * draw.normal(size=90)
+    rows = spark.createDataFrame([(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "k long, x array<double>, y double")
+    got = message_passing.search(rows, "y", [0.0, 10.0], [0.0], "k").collect()
+    assert [r.penalty for r in got if r.best] == [0.0] and len(got) == 2
+    folds = {r.k: r.f for r in rows.select("k", rng.bucket(42, 3, "k").alias("f")).collect()}
+    errors = []
+    for f in range(3):
+        test = np.array([folds[i] == f for i in range(90)])
+        design = np.c_[np.ones(90), x]
+        b, *_ = np.linalg.lstsq(design[~test], y[~test], rcond=None)
+        errors.append(math.sqrt(np.mean((design[test] @ b - y[test]) ** 2)))
+    assert abs(next(r.rmse for r in got if r.best) - np.mean(errors)) < 1e-6
+
+
+def test_one_document_holds_a_bounded_table(spark, tmp_path, monkeypatch):
+    splits = spark.createDataFrame([("a", "train"), ("b", "val"), ("c", "test")], "path string, split string")
+    sinks.splits_lines(splits, f"{tmp_path}/lines")
+    assert sorted(map(tuple, readers.splits_lines(spark, f"{tmp_path}/lines").collect())) == sorted(map(tuple, splits.collect()))
+    monkeypatch.setattr(sinks, "DOCUMENT_PATHS", 2)
+    with pytest.raises(ValueError, match="lines"):
+        sinks.splits_document(splits, f"{tmp_path}/document")
