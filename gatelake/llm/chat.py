@@ -120,8 +120,7 @@ def packs(conversations: DataFrame, path: str) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     keyed = whole.withColumn("path", F.transform("turns", lambda t: F.xxhash64(t.role, t.text)))
-    n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartitionByRange(n, "path", "conv_id").sortWithinPartitions("path", "conv_id")
+    dealt = keyed.repartitionByRange(shared.ranges(conversations), "path", "conv_id").sortWithinPartitions("path", "conv_id")
     return dealt.select("conv_id", "turns").transform(shared.arrow, run, PACK)
 
 

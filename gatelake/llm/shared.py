@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch at most: texts make long rows, and a batch is held by Spark and by its Python worker.
 BATCH_ROWS = 1024
+#: Bytes of a table's files for each range that is sorted in one task.
+RANGE_BYTES = 1 << 30
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -24,6 +26,15 @@ def arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def ranges(df: DataFrame) -> int:
+    """How many ranges to sort ``df`` in: as many as shuffle partitions, or more where the tables that it is made of are large.
+    A source that doesn't know its size counts as empty."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(n for n in sizes if n < int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1))))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // RANGE_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder: ``spark.checkpoint.dir``, or the context's checkpoint folder. Where neither is set (as in
     tests) a local session takes a new one; on a cluster, whose machines share no such folder, that is an error."""

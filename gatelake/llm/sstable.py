@@ -346,7 +346,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, width: int = 2) ->
             store.move(name + ".part", name)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name.rsplit('/', 1)[1]}"], "n_docs": [n_docs], "n_ids": [writer.n_ids]})
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = shared.ranges(docs)
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
     ranged = keyed.repartitionByRange(n, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
     return ranged.select("doc_id", "text").transform(shared.arrow, run, MANIFEST)
@@ -388,8 +388,7 @@ def read(manifest: DataFrame) -> DataFrame:
 
     ordered = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard, not a document
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(ordered), F.lit(0)))
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.select("path", "before").repartition(n).transform(shared.arrow, run, REPORT)
+    return placed.select("path", "before").repartition(max(1, manifest.count())).transform(shared.arrow, run, REPORT)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

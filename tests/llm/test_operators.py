@@ -959,6 +959,17 @@ def brute_facts(text):
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), n < 50 or 100 * len(covered) > 50 * n
 
 
+def test_ranges_grow_with_bytes(spark, monkeypatch):
+    made = spark.createDataFrame([(i, "text " * 100) for i in range(50)], "doc_id long, text string")
+    docs, _ = shared.written(made, "test-ranges")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert shared.ranges(docs) == shared.ranges(made) == shared.ranges(docs.limit(0)) == least
+    monkeypatch.setattr(shared, "RANGE_BYTES", 500)
+    assert least < shared.ranges(docs) == shared.ranges(docs.unionByName(made)) < 100 and shared.ranges(made) == least
+    got = sstable.report(docs, vocab.tokenizers_path()).orderBy("start").collect()
+    assert [r.doc_id for r in got] == list(range(50))
+
+
 def test_quality_facts(spark, odd, empty):
     extra = documents(spark, [(50, "a b c a b c"), (51, "x\nx\n\n \nx y"), (52, "### $$ & | <b> " * 30), (53, prose(100, 61) + "\n" + prose(60, 62))])
     docs = odd.unionByName(extra)
