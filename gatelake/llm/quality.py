@@ -32,6 +32,7 @@ SAMPLE_CHARS = 20_000
 SAMPLE_PARTS = 8
 SYMBOLS = b"#*$%&|<>"
 
+_COUNTS = ("n_words", "word_chars", "n_symbols", "_lines", "n_repeat_words")
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 
@@ -45,6 +46,13 @@ class Facts:
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
+    def only(self, keep: np.ndarray) -> Facts:
+        """The facts of the documents under the mask; counts that are known are not made again."""
+        spans = [self.data[self.bounds[i] : self.bounds[i + 1]] for i in np.flatnonzero(keep)]
+        part = Facts(b"".join(spans), np.cumsum([0, *map(len, spans)]))
+        part.__dict__.update({name: self.__dict__[name][..., keep] for name in _COUNTS if name in self.__dict__})
+        return part
+
     def _per_document(self, flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(flags) + 1, np.int64)
         np.cumsum(flags, out=sums[1:])
@@ -68,12 +76,12 @@ class Facts:
         return self._per_document(_IS_SYMBOL[np.frombuffer(self.data, np.uint8)], self.bounds)
 
     @cached_property
-    def _lines(self) -> tuple[np.ndarray, np.ndarray]:
-        total, again = np.zeros(len(self), np.int64), np.zeros(len(self), np.int64)
+    def _lines(self) -> np.ndarray:
+        found = np.zeros((2, len(self)), np.int64)
         for i in range(len(self)):
             lines = [x for x in self.data[self.bounds[i] : self.bounds[i + 1]].split(b"\n") if x and not x.isspace()]
-            total[i], again[i] = len(lines), len(lines) - len(set(lines))
-        return total, again
+            found[:, i] = len(lines), len(lines) - len(set(lines))
+        return found
 
     @property
     def n_lines(self) -> np.ndarray:
@@ -124,9 +132,7 @@ def verdicts(facts: Facts, order: list[str]) -> np.ndarray:
     for name in order:
         rejected = RULES[name](facts)
         if rejected.any():
-            left = left[~rejected]
-            spans = [facts.data[facts.bounds[i] : facts.bounds[i + 1]] for i in np.flatnonzero(~rejected)]
-            facts = Facts(b"".join(spans), np.cumsum([0, *map(len, spans)]))
+            left, facts = left[~rejected], facts.only(~rejected)
     return left
 
 
@@ -172,10 +178,10 @@ def facts(docs: DataFrame) -> DataFrame:
     def count(batches):
         for batch in batches:
             for lo, hi, f in _slices(batch):
+                columns = [f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words]
+                failed = np.logical_or.reduce([RULES[name](f) for name in BASE_RULES])
                 kept = np.zeros(len(f), bool)
                 kept[verdicts(f, order)] = True
-                failed = np.logical_or.reduce([RULES[name](f) for name in BASE_RULES])
-                columns = [f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *map(pa.array, columns), pa.array(failed), pa.array(kept)], names=[x.split()[0] for x in FACTS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), "text").transform(shared.arrow, count, FACTS)

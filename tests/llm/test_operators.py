@@ -959,6 +959,18 @@ def brute_facts(text):
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), n < 50 or 100 * len(covered) > 50 * n
 
 
+def test_counts_are_carried_over():
+    texts = [b"", b"a b c a b c a b c", b"x # y\nx # y\n\n", "\u00e9t\u00e9 word ".encode() * 40]
+    whole = quality.Facts(b"".join(texts), np.cumsum([0, *map(len, texts)]))
+    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    known = {name: getattr(whole, name) for name in names}
+    keep = np.array([True, False, True, True])
+    part, fresh = whole.only(keep), quality.Facts(b"".join(texts), np.cumsum([0, *map(len, texts)])).only(keep)
+    for name in names:
+        assert getattr(part, name).tolist() == known[name][keep].tolist() == getattr(fresh, name).tolist()
+    assert "words" not in vars(part) and "words" in vars(fresh)
+
+
 def test_ranges_grow_with_bytes(spark, monkeypatch):
     made = spark.createDataFrame([(i, "text " * 100) for i in range(50)], "doc_id long, text string")
     docs, _ = shared.written(made, "test-ranges")
