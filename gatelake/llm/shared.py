@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,11 +21,24 @@ _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow(function, schema)`` in batches of at most BATCH_ROWS rows."""
+    """``df.mapInArrow(function, schema)`` in batches of at most BATCH_ROWS rows. A worker lives on into later stages, so
+    it gives back what a task has freed."""
+
+    def run(batches):
+        yield from function(batches)
+        _release()
+
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_ROWS)) <= BATCH_ROWS:
         conf.set(_ROWS, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
 
 
 def ranges(df: DataFrame) -> int:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _U = np.uint64
 #: An odd base and its inverse modulo 2**64, for hashes of byte strings by prefix sums.
 _BASE = _U(0x9E3779B97F4A7C55)
