@@ -40,15 +40,15 @@ def errors(rows: DataFrame, by: Sequence[str], target: str = "target", predictio
     )
 
 
-def _ranks(counts: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """(by, value, name): midranks from counts ``_n`` of the distinct values. Values are dealt in ranges, which are written
+def _ranks(counts: DataFrame, by: Sequence[str], value: str, name: str, *also: str) -> DataFrame:
+    """(by, value, name, also): midranks from counts ``_n`` of the distinct values. Values are dealt in ranges, which are written
     once, and each range adds the counts of those before it, so no group is sorted in one task."""
     n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = scratch.kept(counts.repartitionByRange(n, *by, value).withColumn("_cell", F.spark_partition_id()), "ranges")
     cells = dealt.groupBy(*by, "_cell").agg(F.sum("_n").alias("_m"))
     before = cells.select(*by, "_cell", (F.sum("_m").over(Window.partitionBy(*by).orderBy("_cell")) - F.col("_m")).alias("_before"))
     below = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy(value)) - F.col("_n")
-    return dealt.join(before, [*by, "_cell"]).select(*by, value, (below + (F.col("_n") + 1) / 2).alias(name))
+    return dealt.join(before, [*by, "_cell"]).select(*by, value, (below + (F.col("_n") + 1) / 2).alias(name), *also)
 
 
 def midranks(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
@@ -120,13 +120,42 @@ def mean_interval(rows: DataFrame, by: Sequence[str], key: str, value: str, time
     return out.select(*by, keep("low"), keep("high"))
 
 
+def _shifted(x: Column, places: Column) -> Column:
+    """x times 2 to ``places``, in two steps, since the power alone may be beyond a double."""
+    half = F.floor(places / 2)
+    return x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), places - half)
+
+
+def exact_means(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(by, columns): means by group of numbers that are not null, which depend on no order of rows or tasks.
+
+    A sum of doubles is rounded at every step, so copies of a group get means that differ in their last bits, are no ties any
+    more, and aren't found again by a second pass. Here numbers of like size (8 binary places) are summed as integers, without
+    rounding and partially before the shuffle; a group then adds at most 270 such sums, the smallest numbers first. NaN and
+    infinite numbers are summed beside them, as for them order does not matter."""
+    x = F.col("_x")
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    #: Next to a power of two the logarithm may fall on its other side; a scaled number is whole and below 2**63 either way.
+    size = F.when(finite & (x != 0), F.floor(F.log2(F.abs(x)) / 8).cast("int")).otherwise(0)
+    long = rows.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(by), list(columns), "_c", "_x").withColumn("_size", size)
+    whole = F.when(finite, _shifted(x, 54 - 8 * F.col("_size"))).cast("long").cast("decimal(28,0)")
+    sums = long.groupBy(*by, "_c", "_size").agg(F.sum(whole).alias("_whole"), F.sum(F.when(~finite, x)).alias("_other"), F.count("_x").alias("_n"))
+
+    def mean(c: str) -> Column:
+        here = F.col("_c") == c
+        parts = F.array_sort(F.collect_list(F.when(here & F.col("_whole").isNotNull(), F.struct("_size", "_whole"))))
+        total = F.aggregate(parts, F.lit(0.0), lambda t, p: t + _shifted(p["_whole"].cast("double"), 8 * p["_size"] - 54))
+        n = F.sum(F.when(here, F.col("_n")))
+        return F.when(n > 0, (total + F.coalesce(F.sum(F.when(here, F.col("_other"))), F.lit(0.0))) / n).alias(c)
+
+    return sums.groupBy(*by).agg(*map(mean, columns))
+
+
 def signed_ranks(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """By group of differences: n without zeros, sum of positive ranks, and the sum of t**3 - t over ties."""
-    held = rows.where(F.col(value) != 0).withColumn("_a", F.abs(value))
-    ranked = midranks(held, by, "_a", "_r")
-    sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col(value) > 0, F.col("_r"))), F.lit(0.0)).alias("w_plus"))
-    ties = held.groupBy(*by, "_a").agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.expr("t * t * t - t")).alias("ties"))
-    return sums.join(ties, list(by))
+    held = rows.where(F.col(value) != 0).groupBy(*by, F.abs(value).alias("_a")).agg(F.count("*").alias("_n"), F.count_if(F.col(value) > 0).alias("_up"))
+    ranked = _ranks(held, by, "_a", "_r", "_n", "_up")
+    return ranked.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum(F.col("_up") * F.col("_r")).alias("w_plus"), F.sum(F.expr("_n * _n * _n - _n")).alias("ties"))
 
 
 def wilcoxon(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gatelake.functions import scalars
 from gatelake.operators import metrics
+from gatelake.sources import scratch
 
 
 def same_method(a: Column, b: Column) -> Column:
@@ -20,14 +21,19 @@ def baseline_label(configs: DataFrame) -> DataFrame:
     return configs.where("kind = 'none'").agg(F.min("run_label").alias("base_label"))
 
 
-def per_graph_means(rows: DataFrame) -> DataFrame:
-    """Measurements averaged over the repeats of a graph in a run."""
+def per_graph_means(rows: DataFrame, exact: bool = False) -> DataFrame:
+    """Measurements averaged over the repeats of a graph in a run; ``exact``: like repeats in any order have the same means."""
+    if exact:
+        return metrics.exact_means(rows, ["run_label", "graph_id"], ["step_time_s", "vram_mb"]).withColumnsRenamed({"step_time_s": "time", "vram_mb": "vram"})
     return rows.groupBy("run_label", "graph_id").agg(F.avg("step_time_s").alias("time"), F.avg("vram_mb").alias("vram"))
 
 
-def paired_savings(rows: DataFrame, configs: DataFrame) -> DataFrame:
-    """(run_label, graph_id, vram_saving, time_saving): reduced graphs against themselves at full size, in percent."""
-    means = per_graph_means(rows)
+def paired_savings(rows: DataFrame, configs: DataFrame, exact: bool = False) -> DataFrame:
+    """(run_label, graph_id, vram_saving, time_saving): reduced graphs against themselves at full size, in percent. For
+    ranks take ``exact`` means, so that equal savings are ties."""
+    means = per_graph_means(rows, exact)
+    if exact:
+        means = scratch.kept(means, "means")  # both sides read it, and neither would take over the other's shuffle
     base = F.broadcast(baseline_label(configs))  # one row
     full = means.join(base, means.run_label == base.base_label).select("graph_id", F.col("time").alias("base_time"), F.col("vram").alias("base_vram"))
     reduced = means.join(base, means.run_label != base.base_label).drop("base_label")
@@ -48,7 +54,7 @@ def savings_table(rows: DataFrame, configs: DataFrame) -> DataFrame:
 
 def savings_tests(rows: DataFrame, configs: DataFrame, times: int = 200) -> DataFrame:
     """Interval of the mean VRAM saving and the signed-rank p of each reduced run."""
-    paired = paired_savings(rows, configs)
+    paired = paired_savings(rows, configs, exact=True)
     interval = metrics.mean_interval(paired, ["run_label"], "graph_id", "vram_saving", times)
     return interval.join(metrics.wilcoxon(paired, ["run_label"], "vram_saving"), "run_label")
 

@@ -131,7 +131,7 @@ def rep02t(spark: SparkSession, sf: str) -> DataFrame:
 @register("agg29_signed_ranks", _PAIRED + """, a AS (SELECT run_label, vram_saving AS d, abs(vram_saving) AS a FROM ps WHERE vram_saving <> 0), r AS (SELECT *, rank() OVER (PARTITION BY run_label ORDER BY a) + (count(*) OVER (PARTITION BY run_label, a) - 1) / 2.0::DOUBLE AS r FROM a),
     t AS (SELECT run_label, sum(n * n * n - n)::BIGINT AS ties FROM (SELECT run_label, a, count(*)::BIGINT AS n FROM a GROUP BY ALL) GROUP BY 1) SELECT run_label, count(*) AS n, round(coalesce(sum(r) FILTER (d > 0), 0.0::DOUBLE), 1) AS w_plus, any_value(ties) AS ties FROM r JOIN t USING (run_label) GROUP BY 1""", "per_graph")
 def agg29(spark: SparkSession, sf: str) -> DataFrame:
-    paired = reports.paired_savings(fx.per_graph(spark, sf), fx.configs(spark, sf))
+    paired = reports.paired_savings(fx.per_graph(spark, sf), fx.configs(spark, sf), exact=True)
     return metrics.signed_ranks(paired, ["run_label"], "vram_saving").withColumn("w_plus", F.round("w_plus", 1))
 
 

@@ -179,6 +179,48 @@ def test_signed_ranks(spark):
     assert p["few"] is None and p["same"] is None and 0.02 < p["x"] < 0.04
 
 
+def test_equal_savings_are_ties_in_any_order(spark):
+    parts, same = [0.1, 0.2, 0.3, 1e-9, 7e5], []
+    draw = random.Random(3)
+    for g in range(8):
+        for run, scale in (("base", 2.0), ("red", 1.0)):
+            same += [(run, g, scale * v, scale * v) for v in draw.sample(parts, len(parts))]
+    even = [(run, 8, v, v) for run, order in (("base", (0.1, 0.2, 0.3)), ("red", (0.3, 0.2, 0.1))) for v in order]
+    rows = spark.createDataFrame(same + even, "run_label string, graph_id long, step_time_s double, vram_mb double").coalesce(1)
+    configs = spark.createDataFrame([("base", "none", None), ("red", "partition", "random")], "run_label string, kind string, method string")
+    for table in (rows, rows.repartition(5)):
+        got = metrics.signed_ranks(reports.paired_savings(table, configs, exact=True), ["run_label"], "vram_saving").first()
+        assert (got.n, got.w_plus, got.ties) == (8, 36.0, 8**3 - 8)
+
+
+def test_exact_means_of_odd_numbers(spark):
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "cancel": [1e300, 1.0, -1e300, 1e-300],
+        "tiny": [5e-324, 1e-323, -5e-324],
+        "edges": [2.0**k for k in range(-1074, 1020, 8)] + [math.nextafter(2.0**k, 0) for k in range(-1000, 1020, 8)],
+        "big": [1.5e307, 1.7e307, -3e306],
+        "zero": [0.0, -0.0, 0.0],
+        "missing": [None, None],
+        "some": [None, 3.0, 4.0],
+        "nan": [1.0, nan, inf],
+        "inf": [1.0, inf],
+        "both": [inf, -inf],
+        "long": [(-1) ** i * 0.1 * i for i in range(500)],
+    }
+    rows = spark.createDataFrame([(g, v, 1.0) for g, vs in groups.items() for v in vs], "g string, v double, one double").repartition(7)
+    got = {r.g: r for r in metrics.exact_means(rows, ["g"], ["v", "one"]).collect()}
+    assert set(got) == set(groups) and all(r.one == 1.0 for r in got.values())
+    for g, vs in groups.items():
+        held = [v for v in vs if v is not None]
+        if g in ("nan", "both"):
+            assert math.isnan(got[g].v)
+        elif not held:
+            assert got[g].v is None
+        else:
+            assert got[g].v == pytest.approx(math.fsum(held) / len(held), rel=1e-15, abs=0)
+
+
 def test_paired_savings_by_hand(spark):
     rows = spark.createDataFrame([("base", 1, 1.0, 100.0), ("base", 1, 2.0, 200.0), ("red", 1, 0.5, 50.0), ("red", 1, 1.5, 150.0)], "run_label string, graph_id long, step_time_s double, vram_mb double")
     configs = spark.createDataFrame([("base", "none", None), ("red", "partition", "random")], "run_label string, kind string, method string")
