@@ -5,7 +5,7 @@ the stores and messy names are what the audit operators look for, so some keys a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatelake.functions import names, rng, scalars
@@ -141,12 +141,15 @@ LOGS = r"""fx_logs AS (SELECT regexp_replace(regexp_extract(file_path, '([^/]*)$
 INPUTS, FIRST_GATE = 8, 8
 
 
-def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(graph_id, gate, a, b, inv_a, inv_b): one graph a supplier, one AND a line item. Fanins have smaller ids."""
+def gates(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    """(graph_id, gate, a, b, inv_a, inv_b): one graph a supplier, one AND a line item. Fanins have smaller ids. ``where``
+    picks line items."""
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_quantity")
-    rows = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_returnflag", "l_linestatus").withColumn("g", F.row_number().over(order).cast("long"))
+    every = read(spark, sf_dir, "lineitem")
+    flags = (F.col("l_returnflag") == "R").alias("inv_a"), (F.col("l_linestatus") == "F").alias("inv_b")  # before the shuffle, where they are shorter
+    rows = (every if where is None else every.where(where)).select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_quantity", *flags).withColumn("g", F.row_number().over(order).cast("long"))
     fanin = lambda key: F.when(F.col(key) % F.col("g") == 0, 1 + F.col(key) % INPUTS).otherwise(FIRST_GATE + F.col(key) % F.col("g"))
-    return rows.select(F.col("l_suppkey").alias("graph_id"), (FIRST_GATE + F.col("g")).alias("gate"), fanin("l_partkey").alias("a"), fanin("l_orderkey").alias("b"), (F.col("l_returnflag") == "R").alias("inv_a"), (F.col("l_linestatus") == "F").alias("inv_b"))
+    return rows.select(F.col("l_suppkey").alias("graph_id"), (FIRST_GATE + F.col("g")).alias("gate"), fanin("l_partkey").alias("a"), fanin("l_orderkey").alias("b"), "inv_a", "inv_b")
 
 
 GATES = """fx_ordered AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate, l_quantity) AS g FROM lineitem),
