@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_PATH_DEPTH = 10
@@ -110,12 +110,16 @@ def edge_weights(edges: DataFrame) -> DataFrame:
     return both.select("graph_id", "edge_id", "src", "dst", (inverse("ds") * inverse("dd")).alias("weight"))
 
 
+def encoded(name: str) -> Column:
+    return F.log1p(F.col(name).cast("double"))
+
+
 def encodings(nodes: DataFrame, *features: DataFrame) -> DataFrame:
     """Nodes with their features on a log(1 + x) scale."""
     out = nodes.select("graph_id", "node_id")
     for feature in features:
         name = next(c for c in feature.columns if c not in ("graph_id", "node_id"))
-        out = out.join(feature, ["graph_id", "node_id"], "left").withColumn(name, F.log1p(F.col(name).cast("double")))
+        out = out.join(feature, ["graph_id", "node_id"], "left").withColumn(name, encoded(name))
     return out
 
 

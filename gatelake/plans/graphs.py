@@ -87,9 +87,8 @@ def grf04(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("grf05_encodings", _LOCAL + " SELECT l.graph_id, l.node_id, round(ln(1 + l.level), 8) AS level, round(ln(1 + coalesce(s.local_sum, 0)), 8) AS local_sum FROM fx_levels l LEFT JOIN s USING (graph_id, node_id)", "levels")
 def grf05(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges, levels = _levelled(spark, sf)
-    out = topology.encodings(nodes, levels, topology.local_sums(nodes, edges))
-    return out.select("graph_id", "node_id", F.round("level", 8).alias("level"), F.round("local_sum", 8).alias("local_sum"))
+    rows = passes.levels_and_sums(fx.gates(spark, sf))
+    return rows.select("graph_id", "node_id", *[F.round(topology.encoded(c), 8).alias(c) for c in ("level", "local_sum")])
 
 
 _DEGREE = ", g AS (SELECT graph_id, dst AS node_id, count(*) AS degree FROM fx_edges GROUP BY ALL)"

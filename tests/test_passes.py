@@ -68,6 +68,7 @@ def gates(spark, sf):
 #: Queries and their numbers of shuffles.
 SHUFFLES = {
     "grf09_pagerank_rounds": 1,
+    "grf05_encodings": 1,
 }
 
 
