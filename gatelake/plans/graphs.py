@@ -72,8 +72,7 @@ def grf02d(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("grf03_input_paths", None)
 def grf03(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges, levels = _levelled(spark, sf)
-    return topology.input_paths(nodes, edges, levels)
+    return passes.input_paths(fx.gates(spark, sf))
 
 
 _LOCAL = """, o AS (SELECT DISTINCT graph_id, src, dst FROM fx_edges WHERE src <> dst), t AS (SELECT DISTINCT a.graph_id, a.src, b.dst FROM o a JOIN o b ON a.graph_id = b.graph_id AND a.dst = b.src WHERE a.src <> b.dst),

@@ -65,10 +65,15 @@ def gates(spark, sf):
     return fx.gates(spark, sf)
 
 
+def levelled(spark, sf):
+    return graphs._levelled(spark, sf)
+
+
 #: Queries and their numbers of shuffles.
 SHUFFLES = {
     "grf09_pagerank_rounds": 1,
     "grf05_encodings": 1,
+    "grf03_input_paths": 1,
 }
 
 
@@ -94,3 +99,9 @@ def test_large_graphs_take_joins(spark, plain, name, monkeypatch):
     found = {r[:2]: r for r in map(tuple, split.collect())}
     assert found.keys() == whole.keys()
     assert all(found[k][2] == pytest.approx(whole[k][2], abs=1e-9) for k in whole)
+
+
+def test_input_paths(spark, plain, odd):
+    nodes, edges, levels = levelled(spark, plain)
+    assert ran(spark, "grf03_input_paths", plain) == rows(topology.input_paths(nodes, edges, levels).collect())
+    assert run(spark, "grf03_input_paths", odd).count() == graphs._graph(spark, odd)[0].count()
