@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelake.functions import names, scalars
-from gatelake.operators import baselines, message_passing, metrics, reports, sampling, topology
+from gatelake.operators import baselines, message_passing, metrics, passes, reports, sampling, topology
 from gatelake.plans import fixtures as fx
+from gatelake.plans import graphs
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -430,7 +432,10 @@ ou AS (SELECT graph_id, node_id, coalesce(p, 0) + 0.01 AS x0, coalesce(q, 0) - 0
 
 
 def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    gates = fx.gates(spark, sf)
+    return _featured(fx.gates(spark, sf))
+
+
+def _featured(gates: DataFrame) -> tuple[DataFrame, DataFrame]:
     x = F.array(F.col("role") / 2.0, (F.col("node_id") % 5) / 4.0)
     return topology.nodes(gates).select("graph_id", "node_id", x.alias("x")), topology.edges(gates)
 
@@ -450,7 +455,9 @@ def mlx14(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("mlx09_layer_block", None)
 def mlx09(spark: SparkSession, sf: str) -> DataFrame:
-    return message_passing.block(*_features(spark, sf), _WEIGHTS, _EDGE_WEIGHTS, _BIAS, [[0.3, 0.1], [-0.2, 0.4]])
+    args = _WEIGHTS, _EDGE_WEIGHTS, _BIAS, [[0.3, 0.1], [-0.2, 0.4]]
+    features = lambda roles, nodes: np.stack([roles / 2.0, nodes % 5 / 4.0], 1)
+    return graphs._by_size(spark, sf, lambda gates: passes.layer_block(gates, features, *args), lambda gates: message_passing.block(*_featured(gates), *args))
 
 
 @register("mlx11_graph_norm", ", nx AS (SELECT graph_id, node_id, (role / 2.0)::DOUBLE AS a FROM fx_nodes), s AS (SELECT graph_id, avg(a) AS m, var_pop(a) AS v FROM nx GROUP BY 1) SELECT graph_id, node_id, round((a - m) / sqrt(v + 1e-5), 6) + 0.0::DOUBLE AS x0 FROM nx JOIN s USING (graph_id)", "topology")

@@ -74,6 +74,7 @@ SHUFFLES = {
     "grf09_pagerank_rounds": 1,
     "grf05_encodings": 1,
     "grf03_input_paths": 1,
+    "mlx09_layer_block": 1,
 }
 
 
@@ -90,7 +91,7 @@ def test_sql(spark, name, table, request):
     assert ran(spark, name, sf) == rows(by_sql(name, sf))
 
 
-@pytest.mark.parametrize("name", ["grf09_pagerank_rounds"])
+@pytest.mark.parametrize("name", ["grf09_pagerank_rounds", "mlx09_layer_block"])
 def test_large_graphs_take_joins(spark, plain, name, monkeypatch):
     whole = {r[:2]: r for r in map(tuple, run(spark, name, plain).collect())}
     monkeypatch.setattr(passes, "LARGE", 100)
@@ -105,3 +106,12 @@ def test_input_paths(spark, plain, odd):
     nodes, edges, levels = levelled(spark, plain)
     assert ran(spark, "grf03_input_paths", plain) == rows(topology.input_paths(nodes, edges, levels).collect())
     assert run(spark, "grf03_input_paths", odd).count() == graphs._graph(spark, odd)[0].count()
+
+
+def test_layer_block(spark, plain):
+    args = evaluation._WEIGHTS, evaluation._EDGE_WEIGHTS, evaluation._BIAS, [[0.3, 0.1], [-0.2, 0.4]]
+    joined = message_passing.block(*evaluation._features(spark, plain), *args)
+    flat = lambda df: rows(((r.graph_id, r.node_id, *r.x) for r in df.select("graph_id", "node_id", "x").collect()), 7)
+    got, want = flat(run(spark, "mlx09_layer_block", plain)), flat(joined)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(a == pytest.approx(b, abs=1e-6) for a, b in zip(got, want, strict=True))
