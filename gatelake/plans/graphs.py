@@ -81,7 +81,7 @@ r AS (SELECT graph_id, src, dst, min(d) AS d FROM (SELECT *, 1 AS d FROM o UNION
 
 @register("grf04_local_sums", _LOCAL + " SELECT n.graph_id, n.node_id, coalesce(s.local_sum, 0)::BIGINT AS local_sum FROM fx_nodes n LEFT JOIN s USING (graph_id, node_id)", "topology")
 def grf04(spark: SparkSession, sf: str) -> DataFrame:
-    return topology.local_sums(*_graph(spark, sf))
+    return _by_size(spark, sf, passes.local_sums, lambda gates: topology.local_sums(topology.nodes(gates), topology.edges(gates)))
 
 
 @register("grf05_encodings", _LOCAL + " SELECT l.graph_id, l.node_id, round(ln(1 + l.level), 8) AS level, round(ln(1 + coalesce(s.local_sum, 0)), 8) AS local_sum FROM fx_levels l LEFT JOIN s USING (graph_id, node_id)", "levels")

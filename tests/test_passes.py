@@ -75,6 +75,7 @@ SHUFFLES = {
     "grf05_encodings": 1,
     "grf03_input_paths": 1,
     "mlx09_layer_block": 1,
+    "grf04_local_sums": 1,
 }
 
 
@@ -91,7 +92,7 @@ def test_sql(spark, name, table, request):
     assert ran(spark, name, sf) == rows(by_sql(name, sf))
 
 
-@pytest.mark.parametrize("name", ["grf09_pagerank_rounds", "mlx09_layer_block"])
+@pytest.mark.parametrize("name", ["grf09_pagerank_rounds", "mlx09_layer_block", "grf04_local_sums"])
 def test_large_graphs_take_joins(spark, plain, name, monkeypatch):
     whole = {r[:2]: r for r in map(tuple, run(spark, name, plain).collect())}
     monkeypatch.setattr(passes, "LARGE", 100)
