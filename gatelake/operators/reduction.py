@@ -6,6 +6,8 @@ need a whole graph and run as a pass a graph."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -198,19 +200,19 @@ def balanced_parts(nodes: DataFrame, edges: DataFrame, weight: str | None = None
         for frame in frames:
             out = []
             for g, ids, links, k in zip(frame["graph_id"], frame["nodes"], frame["edges"], frame["k"], strict=True):
-                part = _grow(np.asarray(ids).tolist(), [] if links is None else links, int(k))
+                part = _grow(np.asarray(ids).tolist(), [] if links is None else [(e["src"], e["dst"], e["w"]) for e in links], int(k))
                 out.append(pd.DataFrame({"graph_id": g, "node_id": list(part), "part": list(part.values()), "k": int(k)}))
             yield pd.concat(out) if out else pd.DataFrame({"graph_id": [], "node_id": [], "part": [], "k": []})
 
     return packed.mapInPandas(run, "graph_id long, node_id long, part int, k int")
 
 
-def _grow(ids: list[int], links, k: int) -> dict[int, int]:
+def _grow(ids: list[int], links: Iterable[tuple[int, int, int]], k: int) -> dict[int, int]:
     near: dict[int, dict[int, int]] = {v: {} for v in ids}
-    for e in links:
-        if e["src"] != e["dst"]:
-            for a, b in ((e["src"], e["dst"]), (e["dst"], e["src"])):
-                near[a][b] = near[a].get(b, 0) + e["w"]
+    for src, dst, w in links:
+        if src != dst:
+            for a, b in ((src, dst), (dst, src)):
+                near[a][b] = near[a].get(b, 0) + w
     part: dict[int, int] = {}
     size, number, queue, left = len(ids) / k, 0, [], iter(ids)
     while len(part) < len(ids):

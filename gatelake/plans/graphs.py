@@ -200,8 +200,11 @@ _RANDOM = _KS + f", p AS (SELECT graph_id, node_id, k, ({_u('42', 'graph_id', 'n
 _SLICES = ", n AS (SELECT graph_id, node_id, level, greatest(2, least(32, count(*) OVER (PARTITION BY graph_id) // 100))::INT AS k, count(*) OVER (PARTITION BY graph_id) AS c FROM fx_levels), p AS (SELECT graph_id, node_id, k, least(((row_number() OVER (PARTITION BY graph_id ORDER BY level, node_id) - 1) * k) // c, k - 1)::INT AS part FROM n)"
 
 
+_TARGET = 100
+
+
 def _with_k(nodes: DataFrame) -> DataFrame:
-    return reduction.with_k(nodes, target=100)
+    return reduction.with_k(nodes, target=_TARGET)
 
 
 @register("grf14_random_parts", _RANDOM + " SELECT graph_id, node_id, part, k FROM p", "topology")
@@ -228,8 +231,7 @@ def grf17(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("grf17_span_parts", None)
 def grf17p(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges, levels = _levelled(spark, sf)
-    return reduction.balanced_parts(_with_k(nodes), reduction.span_weights(edges, levels), "weight")
+    return passes.span_parts(fx.gates(spark, sf), _TARGET)
 
 
 @register("grf18_dynamic_k", "SELECT graph_id, greatest(2, least(32, count(*) // 100))::INT AS k, greatest(2, least(32, count(*) // 10000))::INT AS default_k FROM fx_nodes GROUP BY 1", "topology")

@@ -76,6 +76,7 @@ SHUFFLES = {
     "grf03_input_paths": 1,
     "mlx09_layer_block": 1,
     "grf04_local_sums": 1,
+    "grf17_span_parts": 1,
 }
 
 
@@ -116,3 +117,9 @@ def test_layer_block(spark, plain):
     got, want = flat(run(spark, "mlx09_layer_block", plain)), flat(joined)
     assert [r[:2] for r in got] == [r[:2] for r in want]
     assert all(a == pytest.approx(b, abs=1e-6) for a, b in zip(got, want, strict=True))
+
+
+def test_span_parts(spark, plain):
+    nodes, edges, levels = levelled(spark, plain)
+    parts = reduction.balanced_parts(graphs._with_k(nodes), reduction.span_weights(edges, levels), "weight")
+    assert ran(spark, "grf17_span_parts", plain) == rows(parts.collect())
