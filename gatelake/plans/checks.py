@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelake.functions import names, scalars
-from gatelake.operators import audit, baselines, lineage, message_passing, metrics, quality, reduction, reports, sampling, topology
+from gatelake.operators import audit, baselines, lineage, message_passing, metrics, passes, quality, reduction, reports, sampling, topology
 from gatelake.plans import corpus, evaluation, graphs
 from gatelake.plans import fixtures as fx
 from gatelake.sources import readers, scratch, sinks
@@ -340,10 +340,8 @@ _EMBED = [[0.5, -0.25], [0.125, 0.75], [1.0, 0.0], [-0.5, 0.25]]
     "levels",
 )
 def mlx12(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, _, levels = graphs._levelled(spark, sf)
-    rows = nodes.join(topology.encodings(nodes, levels), ["graph_id", "node_id"]).withColumn("part", C("node_id") % 3)
-    out = message_passing.node_inputs(rows, _EMBED, ["level"], ["graph_id", "part"])
-    return out.select("graph_id", "part", "node_id", *[(F.round(C("x")[i], 5) + 0.0).alias(f"x{i}") for i in range(3)])
+    out = passes.node_inputs(fx.gates(spark, sf), _EMBED, 3)
+    return out.select("graph_id", "part", "node_id", *[(F.round(f"x{i}", 5) + 0.0).alias(f"x{i}") for i in range(3)])
 
 
 @register("mlx13_head", "SELECT vec_id, round(1 / (1 + exp(-(1.5 * greatest(0.4 * embedding[1]::DOUBLE + 0.2 * embedding[2]::DOUBLE + 0.1, 0) - 0.7 * greatest(embedding[2]::DOUBLE - embedding[1]::DOUBLE, 0) + 0.05)::DOUBLE)), 6) AS prediction FROM embeddings")

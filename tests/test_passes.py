@@ -77,6 +77,7 @@ SHUFFLES = {
     "mlx09_layer_block": 1,
     "grf04_local_sums": 1,
     "grf17_span_parts": 1,
+    "mlx12_node_inputs": 1,
 }
 
 
