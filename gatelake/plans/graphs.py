@@ -120,8 +120,7 @@ def grf07(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("grf08_spanning_forest", None)
 def grf08(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = _graph(spark, sf)
-    return reduction.forest_mask(edges, reduction.spanning_forest(nodes, edges))
+    return passes.forest_mask(fx.gates(spark, sf))
 
 
 @register("grf09_pagerank", None)

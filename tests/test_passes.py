@@ -78,6 +78,7 @@ SHUFFLES = {
     "grf04_local_sums": 1,
     "grf17_span_parts": 1,
     "mlx12_node_inputs": 1,
+    "grf08_spanning_forest": 1,
 }
 
 
@@ -124,3 +125,9 @@ def test_span_parts(spark, plain):
     nodes, edges, levels = levelled(spark, plain)
     parts = reduction.balanced_parts(graphs._with_k(nodes), reduction.span_weights(edges, levels), "weight")
     assert ran(spark, "grf17_span_parts", plain) == rows(parts.collect())
+
+
+def test_spanning_forest(spark, plain, odd):
+    for sf in (plain, odd):
+        nodes, edges = graphs._graph(spark, sf)
+        assert ran(spark, "grf08_spanning_forest", sf) == rows(reduction.forest_mask(edges, reduction.spanning_forest(nodes, edges)).collect())
