@@ -151,8 +151,7 @@ def jon22(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("win02_level_slices", graphs._SLICES + " SELECT graph_id, part, min(level) AS lowest, max(level) AS highest, count(*) AS n FROM p JOIN fx_levels USING (graph_id, node_id) GROUP BY ALL", "levels")
 def win02(spark: SparkSession, sf: str) -> DataFrame:
-    levels = graphs._levelled(spark, sf)[2]
-    parts = reduction.level_slices(graphs._with_k(levels)).join(levels, ["graph_id", "node_id"])
+    parts = passes.level_slices(fx.gates(spark, sf), graphs._TARGET)
     return parts.groupBy("graph_id", "part").agg(F.min("level").alias("lowest"), F.max("level").alias("highest"), F.count("*").alias("n"))
 
 

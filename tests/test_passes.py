@@ -79,6 +79,7 @@ SHUFFLES = {
     "grf17_span_parts": 1,
     "mlx12_node_inputs": 1,
     "grf08_spanning_forest": 1,
+    "win02_level_slices": 2,
 }
 
 
