@@ -186,7 +186,11 @@ def level_slices(nodes: DataFrame) -> DataFrame:
 
 def span_weights(edges: DataFrame, levels: DataFrame, alpha: float = SPAN) -> DataFrame:
     """Edges with a weight that grows with the levels they span."""
-    return level_spans(edges, levels).select("graph_id", "edge_id", "src", "dst", F.floor(1 + alpha * F.col("span")).cast("long").alias("weight"))
+    return weighted(level_spans(edges, levels), alpha)
+
+
+def weighted(spans: DataFrame, alpha: float = SPAN) -> DataFrame:
+    return spans.select("graph_id", "edge_id", "src", "dst", F.floor(1 + alpha * F.col("span")).cast("long").alias("weight"))
 
 
 def balanced_parts(nodes: DataFrame, edges: DataFrame, weight: str | None = None) -> DataFrame:

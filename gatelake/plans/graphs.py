@@ -224,8 +224,7 @@ def grf16(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("grf17_span_weights", "SELECT e.graph_id, e.edge_id, e.src, e.dst, floor(1 + 10 * abs(a.level - b.level))::BIGINT AS weight FROM fx_edges e JOIN fx_levels a ON a.graph_id = e.graph_id AND a.node_id = e.src JOIN fx_levels b ON b.graph_id = e.graph_id AND b.node_id = e.dst", "levels")
 def grf17(spark: SparkSession, sf: str) -> DataFrame:
-    _, edges, levels = _levelled(spark, sf)
-    return reduction.span_weights(edges, levels)
+    return reduction.weighted(passes.level_spans(fx.gates(spark, sf)))
 
 
 @register("grf17_span_parts", None)

@@ -80,6 +80,7 @@ SHUFFLES = {
     "mlx12_node_inputs": 1,
     "grf08_spanning_forest": 1,
     "win02_level_slices": 2,
+    "grf17_span_weights": 1,
 }
 
 
