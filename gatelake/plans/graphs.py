@@ -243,8 +243,7 @@ _ENDS = ", e AS (SELECT e.*, a.part AS ps, b.part AS pd FROM fx_edges e JOIN p a
 
 @register("grf19_within_parts", _SLICES + _ENDS + " SELECT graph_id, edge_id, src, dst, inv, ps AS part FROM e WHERE ps = pd", "levels")
 def grf19(spark: SparkSession, sf: str) -> DataFrame:
-    _, edges, levels = _levelled(spark, sf)
-    return reduction.within_parts(edges, reduction.level_slices(_with_k(levels)))
+    return passes.within_slices(fx.gates(spark, sf), _TARGET)
 
 
 @register("grf20_random_within", _RANDOM + _ENDS + " SELECT graph_id, edge_id, src, dst, inv, ps AS part FROM e WHERE ps = pd", "topology")

@@ -81,6 +81,7 @@ SHUFFLES = {
     "grf08_spanning_forest": 1,
     "win02_level_slices": 2,
     "grf17_span_weights": 1,
+    "grf19_within_parts": 1,
 }
 
 
